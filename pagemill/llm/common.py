@@ -61,6 +61,22 @@ def sample_by_hash(df: DataFrame, key: str, rows: int, stratum: str | None = Non
     return df.join(F.broadcast(shares), F.col(stratum) == F.col("_stratum")).where(draw < F.col("_share")).drop("_stratum", "_share")
 
 
+#: Rows of a table that is sent to every task instead of dealt out, at most; parts of a key that is dealt out.
+MAX_BROADCAST, SALTS = 200_000, 16
+
+
+def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int = MAX_BROADCAST) -> DataFrame:
+    """Joins a table of few columns: sent to every task if it has at most `rows` rows, else dealt out.
+
+    Keys may be hot on the left, so each is dealt out in SALTS parts and the right rows are repeated for each part.
+    """
+    if right.limit(rows + 1).count() <= rows:
+        return left.join(F.broadcast(right), on, how)
+    parts = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    return left.withColumn("_salt", salt).join(parts.hint("merge"), [*on, "_salt"], how).drop("_salt")
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that `column` holds at most `limit` bytes, or one row."""
     for batch in batches:

@@ -18,14 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, shared_dir, slices, table, written
+from .common import SLICE_BYTES, join_sized, shared_dir, slices, table, written
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
 #: Parts, of about common.SLICE_BYTES each, of an archive file, at most. Whole files are read at once.
 FILE_PARTS = 8
-#: Revisits that are sent to every task instead of dealt out with the records, at most (about 100 bytes each).
-MAX_BROADCAST = 200_000
 #: Parts that revisits of one payload are dealt out to when they look for the record they refer to.
 SALTS = 16
 #: Fields of an ARC record's header line, by the version that the file's version block names.
@@ -231,7 +229,6 @@ def revisits(index: DataFrame) -> DataFrame:
 def convert(spark: SparkSession, arc: str, warc: str) -> None:
     """Writes the records of the ARC files in one folder as WARC files in another; repeated payloads become revisits."""
     again = written(revisits(arc_index(read_files(spark, arc))))
-    small = again.count() <= MAX_BROADCAST
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,8 +256,7 @@ def convert(spark: SparkSession, arc: str, warc: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([(END + END).join(out)], pa.binary())], names=["part"])
 
     records = read_files(spark, arc).mapInArrow(parse, "file string, offset long, url string, ip string, date string, mime string, block binary")
-    joined = records.join(F.broadcast(again) if small else again.hint("merge"), ["file", "offset"], "left")
-    write_files(joined.mapInArrow(write, "part binary"), warc, (END + END).decode())
+    write_files(join_sized(records, again, ["file", "offset"], "left").mapInArrow(write, "part binary"), warc, (END + END).decode())
 
 
 def warc_pages(files: DataFrame) -> DataFrame:
