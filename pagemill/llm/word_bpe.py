@@ -220,7 +220,7 @@ class Codec:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         unseen = []
-        for w in {w for ws in split for w in ws} - self.known.keys():
+        for w in {w for ws in split for w in ws if w not in self.known}:
             ids = self.transducer.lookup(w) if self.transducer else None
             if ids is None:
                 unseen.append(w)
