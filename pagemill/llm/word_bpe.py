@@ -6,9 +6,11 @@ into memory. A word that the automaton has costs one walk; the others are merged
 
 from __future__ import annotations
 
+import atexit
 import json
 import mmap
 import os
+import shutil
 import tempfile
 import uuid
 from collections import Counter
@@ -242,12 +244,12 @@ def encode_documents(docs: DataFrame, *, tokenizer: str | None = None, lexicon:
     codec = Codec(path)
     common = frequent(docs, lexicon)
     automaton = compiled({w: np.frombuffer(b, dtype="<u4") for w, b in zip(common, codec.merged(common), strict=True)})
-    # Spark hands the file to every executor
-    with tempfile.TemporaryDirectory() as top:
-        name = f"words-{uuid.uuid4().hex}.bin"
-        with open(os.path.join(top, name), "wb") as f:
-            f.write(automaton)
-        spark.sparkContext.addFile(os.path.join(top, name))
+    # the driver hands the file to every executor when its first task asks, so it stays until the driver ends
+    top, name = tempfile.mkdtemp(prefix="words-"), f"words-{uuid.uuid4().hex}.bin"
+    atexit.register(shutil.rmtree, top, ignore_errors=True)
+    with open(os.path.join(top, name), "wb") as f:
+        f.write(automaton)
+    spark.sparkContext.addFile(os.path.join(top, name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(tokenizer or tokenizer_path(TOKENIZER), Transducer.mapped(SparkFiles.get(name)))
