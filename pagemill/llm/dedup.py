@@ -4,8 +4,9 @@ A document's set holds the hashes of its distinct word shingles; the smallest K
 sets are one class. Inverted lists of the smallest retained values bring classes together; within a list, sketches estimate
 the similarity of unions, and what may reach the threshold is verified on full sets.
 
-Links are wanted for their components, so a list first passes on a spanning forest of its likeliest pairs, not all of them;
-after those are verified, it passes on only pairs between different components. Lists of shared passages stay out of the way:
+Links are wanted for their components, so a list first passes on a spanning forest of its likeliest pairs, not all of them.
+After those are verified, lists that still hold several components are looked through on full sets, and pass on a link for
+each two components that they join. Lists of shared passages stay out of the way:
 a value that very many classes retain is a key only for classes that consist of such values for the most part. Long lists are
 cut by size, since linked sets are of like size, and then in cells of two chunks that meet each other.
 """
@@ -29,8 +30,8 @@ SHINGLE, SIMILAR = 5, 85
 K, KEYS, AMONG = 128, 12, 32
 #: A value that more classes have as a key is common.
 COMMON = 256
-#: Lists of more classes are cut by size, and then in chunks of so many.
-LONG, CHUNK = 1_024, 768
+#: Lists of more classes, or with more shingles, are cut by size, and then in chunks of so many.
+LONG, LONG_SHINGLES, CHUNK, CHUNK_SHINGLES = 1_024, 1_000_000, 768, 500_000
 #: Standard deviations that an estimate may lie below the threshold before a pair is left out (a chance of about 1e-7).
 DEVIATIONS = 5.2
 #: Distinct words whose hashes a task remembers.
@@ -89,9 +90,10 @@ def short(values: np.ndarray) -> bytes:
 
 
 def candidates(ids: np.ndarray, sizes: np.ndarray, sketches_: list[np.ndarray], parts: np.ndarray | None) -> Iterator[tuple[int, int]]:
-    """Pairs of a list that may reach the threshold, by their sketches.
+    """Pairs of a list as (smaller id, larger id).
 
-    Without parts: a spanning forest of these pairs, the likeliest first. With parts: all of them that join two parts.
+    Without parts: a spanning forest of the pairs that may reach the threshold by their sketches, the likeliest first. With
+    parts, full sets stand in for sketches: pairs that reach the threshold, enough to join all parts that such pairs join.
     """
     g = len(ids)
     if g < 2:
@@ -111,7 +113,7 @@ def candidates(ids: np.ndarray, sizes: np.ndarray, sketches_: list[np.ndarray],
         m[rows[lo:hi], columns[lo:hi] - start] = 1
         shared += m @ m.T
     # values up to the smaller of both last values are a sample of the union; whole sets end nowhere
-    last = np.array([float(s[-1]) if n > K else math.inf for s, n in zip(sketches_, sizes, strict=True)])
+    last = np.array([float(s[-1]) if n > len(s) else math.inf for s, n in zip(sketches_, sizes, strict=True)])
     below = np.stack([np.searchsorted(s, last, side="right") for s in sketches_], axis=1).astype(np.float32)  # [i, j]: of j's, up to i's last
     own = np.where(last[:, None] <= last[None, :], lengths[:, None], below.T)  # i's values in the sample
     sample = own + own.T - shared
@@ -119,12 +121,26 @@ def candidates(ids: np.ndarray, sizes: np.ndarray, sketches_: list[np.ndarray],
     p = SIMILAR / 100
     slack = DEVIATIONS * np.sqrt(p * (1 - p) / sample * np.clip(1 - sample / union, 0, None))
     likely = shared / sample
-    fits = (likely >= p - slack - 1e-3) & (100 * np.minimum(sizes[:, None], sizes[None, :]) >= SIMILAR * np.maximum(sizes[:, None], sizes[None, :]))
+    if parts is None:
+        fits = likely >= p - slack - 1e-3
+    else:
+        fits = 100 * shared.astype(np.float64) >= SIMILAR * sample.astype(np.float64)
+    fits &= 100 * np.minimum(sizes[:, None], sizes[None, :]) >= SIMILAR * np.maximum(sizes[:, None], sizes[None, :])
     np.fill_diagonal(fits, False)
     if parts is not None:
         fits &= parts[:, None] != parts[None, :]
+        above = {int(x): int(x) for x in parts}
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
         for i, j in zip(*np.nonzero(np.triu(fits)), strict=True):
-            yield (int(ids[i]), int(ids[j])) if ids[i] < ids[j] else (int(ids[j]), int(ids[i]))
+            x, y = top(int(parts[i])), top(int(parts[j]))
+            if x != y:
+                above[max(x, y)] = min(x, y)
+                yield (int(ids[i]), int(ids[j])) if ids[i] < ids[j] else (int(ids[j]), int(ids[i]))
         return
     likely = np.where(fits, likely, -1.0)
     left = fits.any(axis=1)
@@ -157,24 +173,26 @@ def members_of_lists(classes: DataFrame) -> DataFrame:
         keys = rest.unionByName(more.where(chosen).select("value", "id", "n"))
     else:
         keys = firsts.select("value", "id", "n")
-    lists = keys.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
+    lists = keys.groupBy("value").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).where("members > 1")
     keys = written(keys.join(lists, "value"))
-    plain = keys.where(F.col("members") <= LONG).select(F.xxhash64("value").alias("cell"), "id")
-    long = keys.where(F.col("members") > LONG)
+    is_long = (F.col("members") > LONG) | (F.col("shingles") > LONG_SHINGLES)
+    plain = keys.where(~is_long).select(F.xxhash64("value").alias("cell"), "id")
+    long = keys.where(is_long)
     band = F.floor(F.log("n") / math.log(100 / SIMILAR)).cast("int")
-    banded = long.select("value", "id", F.explode(F.array(band, band + 1)).alias("band"))
-    sizes = banded.groupBy("value", "band").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    banded = long.select("value", "id", "n", F.explode(F.array(band, band + 1)).alias("band"))
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int")
+    sizes = banded.groupBy("value", "band").agg(chunks.alias("chunks"))
     cut = join_sized(banded, sizes, ["value", "band"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cells = met.select(F.xxhash64("value", "band", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"), "id")
     return plain.unionByName(cells)
 
 
-def pairs_in_lists(members: DataFrame, classes: DataFrame, parts: DataFrame | None = None) -> DataFrame:
-    """a and b of the pairs that `candidates` finds in each list."""
-    rows = members.join(classes.select("id", "n", "sketch"), "id")
-    between = parts is not None
-    rows = rows.join(parts, "id") if between else rows.withColumn("part", F.lit(None).cast("long"))
+def pairs_in_lists(members: DataFrame, classes: DataFrame, between: bool) -> DataFrame:
+    """a and b of the pairs that `candidates` finds in each list. classes: id, n, sketch; if `between`, with full sets as sketches, and part."""
+    rows = members.join(classes, "id")
+    if not between:
+        rows = rows.withColumn("part", F.lit(None).cast("long"))
     rows = rows.repartition("cell").sortWithinPartitions("cell", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +213,7 @@ def pairs_in_lists(members: DataFrame, classes: DataFrame, parts: DataFrame | No
                 if c != cell:
                     close()
                     cell = c
-                held.append((i, n, np.frombuffer(sketch, dtype="<u4"), part))
+                held.append((i, n, np.frombuffer(sketch, dtype="<i8" if between else "<u4"), part))
             if out:
                 yield to_batch(out)
                 out.clear()
@@ -275,20 +293,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     classes = written(classes.mapInArrow(with_keys, "digest binary, id long, n long, sketch binary, copies long, keys array<long>"))
     members = written(members_of_lists(classes).distinct())
-    likely = written(pairs_in_lists(members, classes))
+    likely = written(pairs_in_lists(members, classes.select("id", "n", "sketch"), False))
     ends = written(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct())
     sets = written(full_sets(docs, key, ends).distinct())
     links = written(verified(likely, sets))
     parts = components(links)
-    # what the forest left open: pairs between parts, in lists of classes that have a pair at all
+    # what the forest left open: lists of several parts, of classes that have a likely pair at all
     alone = ends.join(parts.select("id"), "id", "left_anti").select("id", F.col("id").alias("part"))
     of = written(parts.unionByName(alone))
-    open_members = members.join(ends, "id", "left_semi")
-    more = written(pairs_in_lists(open_members, classes, of).join(likely, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        found = written(verified(more, sets))
-        if found.limit(1).count():
-            parts = components(written(links.unionByName(found)))
+    held = written(members.join(of, "id"))
+    several = held.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("cell")
+    left = written(held.join(several, "cell", "left_semi").select("cell", "id"))
+    whole = sets.join(of, "id").select("id", (F.octet_length("set") / 8).cast("long").alias("n"), F.col("set").alias("sketch"), "part")
+    found = written(pairs_in_lists(left, whole, True))
+    if found.limit(1).count():
+        parts = components(written(links.unionByName(found)))
     # back to documents: only classes with copies and only parts of several classes need a join
     copied = classes.where("copies > 1").select("digest", F.col("id").alias("class"))
     out = join_sized(every.select("id", "n", "digest"), copied, ["digest"], "left").withColumn("class", F.coalesce("class", "id"))
