@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh128_digest
 
@@ -158,19 +158,17 @@ def candidates(ids: np.ndarray, sizes: np.ndarray, sketches_: list[np.ndarray],
 def members_of_lists(classes: DataFrame) -> DataFrame:
     """cell and id: the lists, or parts of long ones, that each class is in; of lists with two classes at least."""
     firsts = classes.select("id", "n", F.posexplode(F.slice("keys", 1, KEYS)).alias("at", "value"))
-    common = written(firsts.groupBy("value").count().where(F.col("count") > COMMON).select("value", F.lit(True).alias("common")))
+    common = written(firsts.groupBy("value").count().where(F.col("count") > COMMON).select("value"))
     if common.limit(1).count():
         # classes with a common value among their first: their first values that aren't, and the common ones if most are
-        touched = join_sized(firsts, common, ["value"]).select("id").distinct()
-        touched = written(touched.withColumn("touched", F.lit(True)))
-        rest = join_sized(firsts, touched.select("id"), ["id"], "left_anti").select("value", "id", "n")
-        more = join_sized(classes.select("id", "n", "keys"), touched.select("id"), ["id"], "left_semi").select("id", "n", F.size("keys").alias("of"), F.posexplode("keys").alias("at", "value"))
-        more = join_sized(more, common, ["value"], "left").withColumn("common", F.coalesce("common", F.lit(False)))
-        rare = (~F.col("common")).cast("int")
-        by_class = Window.partitionBy("id", "n")  # AMONG rows of a class at most
-        more = more.withColumn("rare", F.sum(rare).over(by_class)).withColumn("nth", F.sum(rare).over(by_class.orderBy("at")))
-        chosen = (~F.col("common") & (F.col("nth") <= KEYS)) | (F.col("common") & (F.col("at") < KEYS) & (2 * F.col("rare") < F.col("of")))
-        keys = rest.unionByName(more.where(chosen).select("value", "id", "n"))
+        touched = written(join_sized(firsts, common, ["value"]).select("id").distinct())
+        rest = join_sized(firsts, touched, ["id"], "left_anti").select("value", "id", "n")
+        mixed = written(join_sized(classes.select("id", "n", "keys"), touched, ["id"], "left_semi"))
+        hits = join_sized(mixed.select("id", F.explode("keys").alias("value")), common, ["value"]).groupBy("id").agg(F.collect_set("value").alias("hits"))  # AMONG at most
+        rare = F.array_except("keys", "hits")
+        frequent = F.array_intersect(F.slice("keys", 1, KEYS), "hits")
+        chosen = F.concat(F.slice(rare, 1, KEYS), F.when(2 * F.size(rare) < F.size("keys"), frequent).otherwise(F.array().cast("array<long>")))
+        keys = rest.unionByName(mixed.join(hits, "id").select(F.explode(chosen).alias("value"), "id", "n"))
     else:
         keys = firsts.select("value", "id", "n")
     lists = keys.groupBy("value").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).where("members > 1")
