@@ -100,9 +100,13 @@ def with_next(docs: DataFrame, key: str, make, schema: str) -> DataFrame:
     ids = docs.select(F.col(key).cast("double").alias("_id"))
     wanted = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MAX_RANGES, ids.count() // RANGE_ROWS))
     inner = sorted(set(ids.stat.approxQuantile("_id", [i / wanted for i in range(1, wanted)], min(0.01, 0.25 / wanted)))) if wanted > 1 else []
-    splits = [-float("inf"), *inner, float("inf")]
-    # null keys fall into a last range of their own
-    ranged = Bucketizer(splits=splits, inputCol="_id", outputCol="_range", handleInvalid="keep").transform(docs.withColumn("_id", F.col(key).cast("double"))).withColumn("_range", F.col("_range").cast("int"))
+    keyed = docs.withColumn("_id", F.col(key).cast("double"))
+    if inner:
+        keyed = Bucketizer(splits=[-float("inf"), *inner, float("inf")], inputCol="_id", outputCol="_in").transform(keyed)
+    else:
+        keyed = keyed.withColumn("_in", F.when(F.col("_id").isNotNull(), 0.0))
+    # null keys have a last range of their own
+    ranged = keyed.withColumn("_range", F.coalesce(F.col("_in").cast("int"), F.lit(len(inner) + 1)))
     firsts = ranged.groupBy("_range").agg(F.min(key).alias("_first"))  # at most a row for each range
     before = F.lag("_range").over(Window.orderBy("_range"))
     last = F.max("_range").over(Window.partitionBy())

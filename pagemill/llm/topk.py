@@ -22,7 +22,7 @@ BLOCK, RANGE_BLOCKS, GROUP = 256, 32, 512
 K = 5
 #: Integers up to here are exact as doubles.
 EXACT = float(1 << 53)
-#: Scores beyond a long are given as the nearest one.
+#: Scores beyond a long count as the nearest one.
 LONG = (1 << 63) - 1
 
 
@@ -33,6 +33,10 @@ def quantised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.select(key, vector).where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(sound).select(F.col(key).cast("long").alias("id"), x.alias("q"))
 
 
+def in_long(scores: np.ndarray) -> np.ndarray:
+    return np.clip(scores, -LONG, LONG) if scores.dtype == object else scores
+
+
 def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K, block: int = BLOCK) -> tuple[list[tuple[int, int, int]], int]:
     """(query, id, score) of each query's k best rows other than itself, ties to the smaller id; and the number of blocks scored.
 
@@ -42,7 +46,7 @@ def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np
     highs = np.array([rows[i : i + block].max(0) for i in starts])
     lows = np.array([rows[i : i + block].min(0) for i in starts])
     positive, negative = np.maximum(queries, 0), np.minimum(queries, 0)
-    bounds = positive @ highs.T + negative @ lows.T
+    bounds = in_long(positive @ highs.T + negative @ lows.T)
     orders = np.argsort(-bounds, axis=1, kind="stable")
     out, scored = [], 0
     for n, q in enumerate(queries):
@@ -54,7 +58,7 @@ def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np
                     break
                 continue
             scored += 1
-            scores = rows[start : start + block] @ q
+            scores = in_long(rows[start : start + block] @ q)
             some = ids[start : start + block]
             other = some != own
             if not other.all():
@@ -63,7 +67,7 @@ def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np
                 near = scores >= np.partition(scores, -k)[-k] if scores.dtype != object else np.ones(len(scores), bool)
                 scores, some = scores[near], some[near]
             best = sorted([*best, *zip((-scores).tolist(), some.tolist(), strict=True)])[:k]
-        out += [(int(own), int(i), max(-LONG, min(LONG, int(-s)))) for s, i in best]
+        out += [(int(own), int(i), int(-s)) for s, i in best]
     return out, scored
 
 
