@@ -161,10 +161,12 @@ def members_of_lists(classes: DataFrame) -> DataFrame:
     common = written(firsts.groupBy("value").count().where(F.col("count") > COMMON).select("value"))
     if common.limit(1).count():
         # classes with a common value among their first: their first values that aren't, and the common ones if most are
-        touched = written(join_sized(firsts, common, ["value"]).select("id").distinct())
+        early = written(join_sized(firsts, common, ["value"]).select("id", "value"))
+        touched = written(early.select("id").distinct())
         rest = join_sized(firsts, touched, ["id"], "left_anti").select("value", "id", "n")
         mixed = written(join_sized(classes.select("id", "n", "keys"), touched, ["id"], "left_semi"))
-        hits = join_sized(mixed.select("id", F.explode("keys").alias("value")), common, ["value"]).groupBy("id").agg(F.collect_set("value").alias("hits"))  # AMONG at most
+        late = join_sized(mixed.select("id", F.explode(F.slice("keys", KEYS + 1, AMONG)).alias("value")), common, ["value"]).select("id", "value")
+        hits = early.unionByName(late).groupBy("id").agg(F.collect_set("value").alias("hits"))  # AMONG at most
         rare = F.array_except("keys", "hits")
         frequent = F.array_intersect(F.slice("keys", 1, KEYS), "hits")
         chosen = F.concat(F.slice(rare, 1, KEYS), F.when(2 * F.size(rare) < F.size("keys"), frequent).otherwise(F.array().cast("array<long>")))
