@@ -66,9 +66,11 @@ class Models:
         return float(self.ratio[before, x].mean()) if len(x) else 0.0
 
 
-def add_pairs(counts: np.ndarray, s: str) -> None:
-    x = _INDEX[np.frombuffer(s.encode("ascii", "replace"), dtype=np.uint8)]
-    np.add.at(counts, (np.concatenate([[len(ALPHABET)], x[:-1]]), x), 1)
+def add_pairs(counts: np.ndarray, strings: Iterable[str]) -> None:
+    """Counts which character follows which, and which begins a string. Strings are ASCII and hold no line feed."""
+    x = _INDEX[np.frombuffer(("\n" + "\n".join(strings)).encode(), dtype=np.uint8)]
+    n = len(ALPHABET) + 1
+    counts += np.bincount(x[:-1] * n + x[1:], minlength=n * n).reshape(n, n)
 
 
 def no_pairs() -> np.ndarray:
@@ -86,6 +88,8 @@ def fit(random: np.ndarray, ordinary: np.ndarray) -> Models:
     """Both models from counts of pairs, the pairs' frequencies drawn towards the single characters'."""
 
     def logs(counts: np.ndarray) -> np.ndarray:
+        counts = counts.copy()
+        counts[:, -1] = 0  # ends of strings
         single = (counts.sum(0) + 1) / (counts.sum() + len(counts))
         return np.log((counts + 20 * single) / (counts.sum(1, keepdims=True) + 20))
 
@@ -116,8 +120,9 @@ def learn(docs: DataFrame, key: str = "doc_id", *, max_train: int = MAX_TRAIN) -
         held = (no_pairs(), no_pairs())
         for batch in slices(batches, "text"):
             for text in batch.column("text").to_pylist():
-                for s, random in set(samples(text)):
-                    add_pairs(held[random], s)
+                some = set(samples(text))
+                for random in (0, 1):
+                    add_pairs(held[random], [s for s, r in some if r == random])
         for random, c in enumerate(held):
             a, b = np.nonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([random] * len(a), pa.int32()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(c[a, b].astype(np.int64))], names=["random", "a", "b", "n"])
@@ -126,8 +131,7 @@ def learn(docs: DataFrame, key: str = "doc_id", *, max_train: int = MAX_TRAIN) -
     counts = (no_pairs(), no_pairs())
     for r in train.mapInArrow(count, "random int, a int, b int, n long").groupBy("random", "a", "b").sum("n").collect():
         counts[r["random"]][r["a"], r["b"]] += r["sum(n)"]
-    for s in made_strings():
-        add_pairs(counts[1], s)
+    add_pairs(counts[1], made_strings())
     return fit(counts[1], counts[0])
 
 
