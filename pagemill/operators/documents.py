@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -109,3 +112,136 @@ def evaluate(final: DataFrame) -> DataFrame:
         return F.coalesce(F.col(c) != "", F.lit(False))
 
     return final.select("page_id", there("raw_text").alias("has_raw_text"), there("corrected").alias("has_corrected"), n("options").alias("option_count"), n("formula_map").alias("formula_count"), n("ocr_records").alias("ocr_records"))
+
+
+def polygons(found: object) -> list[list[tuple[float, float]]]:
+    """Lists of four or more points, wherever they are in nested lists. What is inside a polygon isn't searched again."""
+    out, left = [], [found]
+    while left:
+        node = left.pop()
+        node = node.tolist() if hasattr(node, "tolist") else node
+        if not isinstance(node, list | tuple):
+            continue
+        points = [p for p in node if isinstance(p, list | tuple) and len(p) >= 2 and all(isinstance(v, int | float) for v in p[:2])]
+        if len(node) >= 4 and len(points) == len(node):
+            out.append([(float(p[0]), float(p[1])) for p in points])
+        else:
+            left.extend(reversed(node))
+    return out
+
+
+#: An option must be this like what the context says; or as like as the second number if that is clear of the next option.
+SURE, LIKELY, CLEAR, LONG_ENOUGH = 0.78, 0.66, 0.08, 4
+_SPANS = re.compile(r"\[[^\]\n]{1,160}[\]}]|\{[^}\n]{1,160}[}\]]|\([^)\n]{1,160}\)")
+_WORD = re.compile(r"[0-9A-Za-z가-힣]+")
+
+
+def answer_of(options: list[str], context: str | None) -> str | None:
+    """The option that the context says outside of brackets, as it is or nearly; None if that isn't clear."""
+    said = _WORD.findall(_SPANS.sub(" ", context or "").lower())
+    runs = ["".join(said[i : i + n]) for i in range(len(said)) for n in (1, 2, 3) if i + n <= len(said)]
+    scored = []
+    for option in options if said else []:
+        key = "".join(_WORD.findall(option.lower()))
+        if key:
+            like = 1.0 if key in "".join(said) else max(SequenceMatcher(None, key, r).ratio() for r in runs)
+            scored.append((like, key, option))
+    if not scored:
+        return None
+    scored.sort(key=lambda x: -x[0])
+    like, key, option = scored[0]
+    next_best = scored[1][0] if len(scored) > 1 else 0.0
+    sure = like >= SURE or (len(key) >= LONG_ENOUGH and like >= LIKELY and like - next_best >= CLEAR)
+    return option if sure else None
+
+
+def _item(question: dict, answer: str | None, note: str) -> dict:
+    return {
+        "no": question["question_no"], "type": "other", "instruction_ko": None, "prompt_en": question["text"], "options": question["options"], "tokens": [], "student_answer": answer,
+        "teacher_marks": {"symbols": [], "selected_option": answer, "is_correct": None},
+        "evidence": {"block_ids": question["block_ids"], "confidence_min": question["confidence_min"]}, "notes": note,
+    }
+
+
+def fallback_document(found: list[dict], source: str = "photo") -> str:
+    """A document of the questions alone, for when no model answered."""
+    some = [_item(q | {"text": (q["text"] or "").strip() or None}, answer_of(q["options"], q["context_text"]), "fallback_structured_from_ocr") for q in sorted(found, key=lambda q: q["question_no"])]
+    return json.dumps({"doc_type": "english_workbook_page", "page_meta": {"source": source, "page_no": None}, "items": some, "notes": "llm_unavailable_or_failed"}, ensure_ascii=False, indent=2)
+
+
+def _noted(item: dict, note: str) -> None:
+    old = item.get("notes")
+    if not isinstance(old, str):
+        item["notes"] = note
+    elif note not in old:
+        item["notes"] = f"{old}; {note}".strip("; ")
+
+
+def _locked(item: dict, question: dict) -> None:
+    """What the page itself says takes the place of what a model made of it."""
+    evidence = item["evidence"] if isinstance(item.get("evidence"), dict) else {}
+    item["evidence"] = evidence | {"block_ids": question["block_ids"], "confidence_min": question["confidence_min"]}
+    own, said = (question["text"] or "").strip(), str(item.get("prompt_en") or "").strip()
+    if own and (not said or SequenceMatcher(None, "".join(said.split()), "".join(own.split())).ratio() < 0.8):
+        item["prompt_en"] = own
+        _noted(item, "prompt_locked_from_ocr")
+    options = question["options"]
+    if not options:
+        return
+
+    def listed(name: str) -> list[str]:
+        v = item.get(name)
+        return [str(x) for x in v if str(x).strip()] if isinstance(v, list) else []
+
+    if listed("options") != options:
+        item["options"] = options
+        _noted(item, "options_locked_from_ocr")
+    if str(item.get("type") or "").lower() == "reorder_words" and not listed("tokens"):
+        item["tokens"] = options
+    if not str(item.get("student_answer") or "").strip() and (answer := answer_of(options, question["context_text"])):
+        item["student_answer"] = answer
+        marks = item["teacher_marks"] = item["teacher_marks"] if isinstance(item.get("teacher_marks"), dict) else {}
+        if not str(marks.get("selected_option") or "").strip():
+            marks["selected_option"] = answer
+        _noted(item, "student_answer_inferred_from_ocr")
+
+
+def repaired_document(corrected: str | None, found: list[dict]) -> str | None:
+    """A model's document with evidence, prompts and options of the page's questions, missing ones added, by number.
+
+    What isn't a JSON object with a list of items stays as it is.
+    """
+    try:
+        data = json.loads(corrected) if corrected and found else None
+    except json.JSONDecodeError:
+        data = None
+    if not isinstance(data, dict) or not isinstance(data.get("items"), list):
+        return corrected
+    of = {x["no"]: x for x in data["items"] if isinstance(x, dict) and isinstance(x.get("no"), int)}
+    for q in found:
+        if q["question_no"] in of:
+            _locked(of[q["question_no"]], q)
+        else:
+            data["items"].append(_item(q, None, ADDED))
+
+    def place(item: object) -> int:
+        try:
+            return int(item.get("no"))
+        except (AttributeError, TypeError, ValueError):
+            return 10**9
+
+    data["items"].sort(key=place)
+    return json.dumps(data, ensure_ascii=False, indent=2)
+
+
+def finish(corrected: DataFrame, questions: DataFrame) -> DataFrame:
+    """page_id and the final document: a model's answer repaired, or the questions alone where there is none."""
+    q = questions.groupBy("page_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("question_no", "text", "block_ids", "confidence_min", F.col("option_candidates").alias("options"), "context_text"))), {"ignoreNullFields": "false"}).alias("questions"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            found = [json.loads(x) if isinstance(x, str) else [] for x in df["questions"]]
+            out = [repaired_document(c, f) if isinstance(c, str) and c else fallback_document(f) for c, f in zip(df["corrected"], found, strict=True)]
+            yield pd.DataFrame({"page_id": df["page_id"], "document": out})
+
+    return corrected.select("page_id", "corrected").join(q, "page_id", "left").mapInPandas(run, "page_id long, document string")

@@ -108,3 +108,16 @@ def best_match(left: DataFrame, right: DataFrame, least: float, band: int | None
     top = scored.withColumn("_n", F.row_number().over(Window.partitionBy("page_id", "seq").orderBy(F.desc("ratio"), "r_seq"))).where("_n = 1")
     best = top.where(F.col("ratio") >= least).select("page_id", "seq", "match", F.round("ratio", 4).alias("ratio"))
     return left.join(best, ["page_id", "seq"], "left")
+
+
+def consistent(chosen: DataFrame, least_similarity: float, conf_margin: float, score_margin: float) -> DataFrame:
+    """Whether the original text stands (column reverted) against a chosen one that is unlike it and hardly better.
+
+    chosen has text, conf, original_text and original_conf. Where either text is empty they count as alike.
+    """
+    bare = [F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "") for c in ("text", "original_text")]
+    like = F.when((bare[0] != "") & (bare[1] != ""), similarity(*bare)).otherwise(1.0)
+    out = chosen.withColumn("similarity", like)
+    score_gap = T.heuristic_score(F.col("text")) - T.heuristic_score(F.col("original_text"))
+    unlike = F.col("similarity") < min(1.0, max(0.0, least_similarity))
+    return out.withColumn("reverted", unlike & (F.col("conf") - F.col("original_conf") < max(0.0, conf_margin)) & (score_gap < score_margin))

@@ -579,3 +579,19 @@ def token_ngrams(spark, sf):
 def notes(spark, sf):
     old = F.when(F.col("doc_id") % 2 == 0, "seen").when(F.col("doc_id") % 3 == 0, "checked twice")
     return table(spark, sf, "documents").select("doc_id", T.append_note(old, "checked").alias("note"))
+
+
+@query()
+def final_documents(spark, sf):
+    """Corrected documents, repaired by the questions of their pages; tests hold the repair against examples."""
+    b = _placed(spark, sf)
+    out = documents.finish(_documents(spark, sf).withColumn("corrected", F.when(F.col("page_id") % 5 != 0, F.col("corrected"))), questions.chunks(b))
+    return out.select("page_id", F.size(documents.items(F.col("document"))).alias("items"), F.length("document").alias("characters"))
+
+
+@query()
+def guarded_candidates(spark, sf):
+    c = _candidates(spark, sf).select("page_id", "cand_seq.turn", "cand_seq.role", "text", "conf")
+    first = c.where("turn = 1").groupBy("page_id").agg(F.min("text").alias("original_text"), F.min("conf").alias("original_conf"))
+    out = ranking.consistent(c.where("turn > 1").join(first, "page_id"), 0.5, 0.3, 20.0)
+    return out.select("page_id", "turn", "role", F.round("similarity", 4).alias("similarity"), "reverted")
