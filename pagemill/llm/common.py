@@ -18,7 +18,13 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+#: Rows that Spark hands to a Python worker at once: texts are long, and both sides hold a whole batch.
+BATCH_ROWS = "1000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Also bounds the session's Arrow batches, whose default counts rows as if they were short."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

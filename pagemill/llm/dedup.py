@@ -35,7 +35,7 @@ LONG, LONG_SHINGLES, CHUNK, CHUNK_SHINGLES = 1_024, 1_000_000, 768, 500_000
 #: Standard deviations that an estimate may lie below the threshold before a pair is left out (a chance of about 1e-7).
 DEVIATIONS = 5.2
 #: Distinct words whose hashes a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _M = np.uint64(0xFF51AFD7ED558CCD)
 
 

@@ -32,7 +32,7 @@ MAX_WORDS = 1 << 16
 #: A task leaves out words below this share of its own words. A word above the share in the corpus is above it in some task.
 LEAST_SHARE = 2e-6
 #: Distinct words that a task counts, or whose ids it remembers, at a time.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _HEADER = 6
 
 
