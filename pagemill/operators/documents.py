@@ -166,6 +166,7 @@ def _item(question: dict, answer: str | None, note: str) -> dict:
 def fallback_document(found: list[dict], source: str = "photo") -> str:
     """A document of the questions alone, for when no model answered."""
     some = [_item(q | {"text": (q["text"] or "").strip() or None}, answer_of(q["options"], q["context_text"]), "fallback_structured_from_ocr") for q in sorted(found, key=lambda q: q["question_no"])]
+    # keys and texts are fixed values
     return json.dumps({"doc_type": "english_workbook_page", "page_meta": {"source": source, "page_no": None}, "items": some, "notes": "llm_unavailable_or_failed"}, ensure_ascii=False, indent=2)
 
 
