@@ -81,7 +81,10 @@ def payload(blocks: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def ask(prompts: DataFrame, client: Callable[[], Callable[[str], str]], column: str = "prompt") -> DataFrame:
-    """Answers of a language model: `client` makes, once a task, a function from prompt to answer. Failures become the column error."""
+    """Answers of a language model: `client` makes, once a task, a function from prompt to answer. Failures become the column error.
+
+    A null prompt isn't asked: answer and error are null.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = client()
@@ -89,7 +92,7 @@ def ask(prompts: DataFrame, client: Callable[[], Callable[[str], str]], column:
             answers, errors = [], []
             for p in df[column]:
                 try:
-                    answers.append(call(p))
+                    answers.append(call(p) if isinstance(p, str) else None)
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001  one page's failure is that page's row
                     answers.append(None)
@@ -102,6 +105,28 @@ def ask(prompts: DataFrame, client: Callable[[], Callable[[str], str]], column:
     return prompts.mapInPandas(run, schema)
 
 
+def ask_again(answered: DataFrame, client: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """Answers that lack expected numbers, and what isn't JSON, are asked for once more; the second answer counts if it is JSON.
+
+    answered has answer and expected_numbers. Both passes are in one plan, so no answer is fetched twice.
+    """
+    gone = missing_numbers(F.col("expected_numbers"), F.col("answer"))
+    listed = [F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]")) for c in (F.col("expected_numbers"), gone)]
+    whole = F.concat(F.lit("Rewrite this JSON so that items.no has all of "), listed[0], F.lit(". Missing: "), listed[1], F.lit('. Use type "other" and short notes for what is unclear.\n\n'), F.col("answer"))
+    bad = F.concat(F.lit("Rewrite this as valid JSON and nothing else.\n\n"), F.col("answer"))
+    prompt = F.when(F.try_parse_json("answer").isNull(), bad).when(F.size(gone) > 0, whole)
+    first = answered.withColumn("_prompt", prompt).withColumnsRenamed({"answer": "_answer", "error": "_error"})
+    second = ask(first, client, "_prompt")
+    return second.withColumns({"answer": F.when(F.try_parse_json("answer").isNotNull(), F.col("answer")).otherwise(F.col("_answer")), "error": F.coalesce("error", "_error") if "error" in answered.columns else F.col("error")}).drop("_prompt", "_answer", "_error")
+
+
+def ask_twice(prompts: DataFrame, fast: Callable[[], Callable[[str], str]], final: Callable[[], Callable[[str], str]], column: str = "prompt") -> DataFrame:
+    """A quick model's draft, then the answer of a model that is shown the draft. Without a draft the second works alone."""
+    drafted = ask(prompts, fast, column).withColumnsRenamed({"answer": "draft", "error": "draft_error"})
+    shown = F.concat(F.col(column), F.coalesce(F.concat(F.lit("\n\nDRAFT:\n"), F.col("draft")), F.lit("")))
+    return ask(drafted.withColumn("_prompt", shown), final, "_prompt").drop("_prompt")
+
+
 def evaluate(final: DataFrame) -> DataFrame:
     """Whether a final document has texts, and how many options, formulas and records."""
 

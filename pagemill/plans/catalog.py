@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import documents, geometry, questions, ranking
+from ..operators import documents, geometry, hints, images, questions, ranking
 from ..sources import files
 from ..sources.adapters import WITH, blocks, boxes, table
 
@@ -595,3 +595,55 @@ def guarded_candidates(spark, sf):
     first = c.where("turn = 1").groupBy("page_id").agg(F.min("text").alias("original_text"), F.min("conf").alias("original_conf"))
     out = ranking.consistent(c.where("turn > 1").join(first, "page_id"), 0.5, 0.3, 20.0)
     return out.select("page_id", "turn", "role", F.round("similarity", 4).alias("similarity"), "reverted")
+
+
+@query()
+def cleanup_hints(spark, sf):
+    """Hints for each page; tests hold them against an example."""
+    b = _placed(spark, sf)
+    diagnosed = questions.diagnose(b)
+    return hints.cleanup_hints(diagnosed, questions.chunks(b)).select("page_id", F.length("hints").alias("characters"), F.get_json_object("hints", "$.suspect_block_ids").alias("suspect_block_ids"))
+
+
+# -- images -------------------------------------------------------------------------------------------------------------
+
+
+def _pixmap(width: int, height: int, colour: Callable) -> F.Column:
+    """An image whose pixel i has the six hexadecimal digits colour(i)."""
+    head = F.lit(f"P6 {width} {height} 255\n".encode())
+    return F.concat(head, F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), colour), "")))
+
+
+@query("""with px as (select p_partkey, (p_partkey * 37 + i * 11) % 256 as r, (p_partkey * 17 + i * 29) % 256 as g, (p_partkey * 7 + i * 53) % 256 as b from part, range(96) t(i)),
+c as (select *, greatest(r, g, b) as v, greatest(r, g, b) - least(r, g, b) as s from px)
+select p_partkey, cast(sum(case when r = v and (60 * abs(g - b) < 31 * s or s = 0) and 510 * s >= 139 * greatest(v, 1) and v >= 35 then 1 else 0 end) as bigint) as red from c group by p_partkey""")
+def red_ink_counts(spark, sf):
+    """Pixels of red ink in an image for each part."""
+
+    def colour(i):
+        return F.concat(*[F.lpad(F.hex((F.col("p_partkey") * a + i * b) % 256), 2, "0") for a, b in ((37, 11), (17, 29), (7, 53))])
+
+    drawn = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), _pixmap(12, 8, colour).alias("content"))
+    return images.apply(drawn, lambda image: [{"red": int(images.red_ink(image).sum())}], "red long").select(F.col("page_id").alias("p_partkey"), "red")
+
+
+@query("""select p_partkey, cast(2 + 20 * j as double) as x1, cast(2 + (p_partkey + j) % 4 as double) as y1, cast(2 + 20 * j + 4 + (p_partkey * (j + 3)) % 9 as double) as x2,
+cast(2 + (p_partkey + j) % 4 + 7 + (p_partkey * (j + 1)) % 8 as double) as y2 from part, range(3) t(j)""")
+def mark_boxes(spark, sf):
+    """Boxes of the marks of an image for each part: three dark rectangles, found again by threshold and connected regions."""
+    p = F.col("p_partkey")
+
+    def colour(i):
+        x, y = i % 60, F.floor(i / 60)
+        inside = F.lit(False)
+        for j in range(3):
+            left, top = 2 + 20 * j, 2 + (p + j) % 4
+            inside |= (x >= left) & (x < left + 4 + (p * (j + 3)) % 9) & (y >= top) & (y < top + 7 + (p * (j + 1)) % 8)
+        return F.when(inside, "202020").otherwise("F0F0F0")
+
+    def kernel(image):
+        found = images.mark_boxes(images.marks(images.grey(image), "otsu", blur=1), max_ratio=1.0)
+        return [dict(zip(("x1", "y1", "x2", "y2"), box, strict=True)) for box in found]
+
+    drawn = table(spark, sf, "part").select(p.alias("page_id"), _pixmap(60, 24, colour).alias("content"))
+    return images.apply(drawn, kernel, "x1 double, y1 double, x2 double, y2 double").select(F.col("page_id").alias("p_partkey"), "x1", "y1", "x2", "y2")
