@@ -6,6 +6,8 @@ order of its arguments.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -15,6 +17,9 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 
+#: Texts that a task holds prepared for comparison at once.
+PREPARED = 1_000
+
 
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -110,6 +115,73 @@ def best_match(left: DataFrame, right: DataFrame, least: float, band: int | None
     return left.join(best, ["page_id", "seq"], "left")
 
 
+def ratio_from(m: SequenceMatcher, least: float) -> float | None:
+    """The ratio of a matcher's texts; null as soon as what is left to compare can't bring it to `least`."""
+    total = len(m.a) + len(m.b)
+    if not total:
+        return 1.0
+    matched, left = 0, min(len(m.a), len(m.b))
+    todo = [(0, len(m.a), 0, len(m.b))]
+    while todo:
+        if 2.0 * (matched + left) / total < least:
+            return None
+        a, a_end, b, b_end = todo.pop()
+        left -= min(a_end - a, b_end - b)
+        i, j, k = m.find_longest_match(a, a_end, b, b_end)
+        if k:
+            matched += k
+            for part in ((a, i, b, j), (i + k, a_end, j + k, b_end)):
+                if part[0] < part[1] and part[2] < part[3]:
+                    todo.append(part)
+                    left += min(part[1] - part[0], part[3] - part[2])
+    ratio = 2.0 * matched / total
+    return ratio if ratio >= least else None
+
+
+def best_of_all(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """left with match and ratio: the most similar of all texts of right (seq, text) for each text; null below `least`; ties to the first.
+
+    right has few rows, which every task holds. Pairs that can't reach `least` or the best so far, by their characters or by
+    what a comparison has left, are given up: results are those of comparing all.
+    """
+    known = [r["text"] for r in right.where("text is not null").orderBy("seq").select("text").collect()]
+    spark = left.sparkSession
+
+    @F.pandas_udf("match string, ratio double")
+    def find(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def prepare(start: int) -> list[tuple]:
+            return [(at, SequenceMatcher(None, "", known[at]), Counter(known[at])) for at in range(start, min(len(known), start + PREPARED))]
+
+        first = prepare(0)
+        for texts in columns:
+            best = [(least, len(known))] * len(texts)
+            for start in range(0, len(known), PREPARED):
+                block = prepare(start) if start else first
+                for n, text in enumerate(texts):
+                    if text is None:
+                        continue
+                    counts = Counter(text)
+                    bounds = []
+                    for at, m, other in block:
+                        total = len(text) + len(m.b)
+                        bound = 2.0 * sum(min(k, other[c]) for c, k in counts.items() if c in other) / total if total else 1.0
+                        if bound >= best[n][0]:
+                            bounds.append((-bound, at, m))
+                    for bound, at, m in sorted(bounds, key=lambda x: x[:2]):
+                        if -bound < best[n][0]:
+                            break
+                        m.set_seq1(text)
+                        ratio = ratio_from(m, best[n][0])
+                        if ratio is not None and (ratio > best[n][0] or at < best[n][1]):
+                            best[n] = (ratio, at)
+            found = [(known[at], ratio) if at < len(known) else (None, None) for ratio, at in best]
+            yield pd.DataFrame({"match": pd.Series([x for x, _ in found], dtype=object), "ratio": pd.Series([x for _, x in found], dtype="float64")})
+
+    # a comparison costs far more than moving its text: small tables too are dealt out to all tasks
+    dealt = left.repartition(4 * spark.sparkContext.defaultParallelism)
+    return dealt.withColumn("_best", find("text")).select(*left.columns, F.col("_best.match").alias("match"), F.round("_best.ratio", 4).alias("ratio"))
+
+
 def consistent(chosen: DataFrame, least_similarity: float, conf_margin: float, score_margin: float) -> DataFrame:
     """Whether the original text stands (column reverted) against a chosen one that is unlike it and hardly better.
 

@@ -478,10 +478,10 @@ def engine_lists(spark, sf):
 
 @query()
 def matched_lines(spark, sf):
-    """The most similar benchmark text of conversations' turns, within a band of lengths."""
-    left = table(spark, sf, "conversations").select((F.col("conv_id") % 8).alias("page_id"), F.struct("conv_id", "turn", "role", "text").alias("seq"), F.substring("text", 1, 40).alias("text"))
-    right = table(spark, sf, "benchmark").select((F.col("item_id") % 8).alias("page_id"), F.col("item_id").alias("seq"), F.substring("text", 1, 40).alias("text"))
-    return ranking.best_match(left, right, 0.45, band=4).select("page_id", "seq.conv_id", "seq.turn", "match", "ratio")
+    """The most similar benchmark text of each of the conversations' turns: whole texts, all of them compared."""
+    left = table(spark, sf, "conversations").select((F.col("conv_id") % 8).alias("page_id"), "conv_id", "turn", "text")
+    right = table(spark, sf, "benchmark").select(F.col("item_id").alias("seq"), "text")
+    return ranking.best_of_all(left, right, 0.45).select("page_id", "conv_id", "turn", "match", "ratio")
 
 
 @query("select l_orderkey, avg(case when l_discount >= 0.02 then l_quantity / 100 end) as native_conf from lineitem group by l_orderkey")

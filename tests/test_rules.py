@@ -1,6 +1,7 @@
 """Rules that SQL can't express, against examples and plain versions."""
 
 import json
+import random
 import re
 from difflib import SequenceMatcher
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.operators import documents, geometry, questions, ranking
+from pagemill.plans import catalog
 from pagemill.sources import files
 
 
@@ -68,6 +70,31 @@ def test_consensus_against_plain_version(spark):
     assert [r.cand_seq for r in ranking.rank(ranking.consensus(df)).orderBy("rank").limit(2).collect()] == [1, 0] or got[0] == got[1]
 
 
+def test_best_of_all_against_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "PREPARED", 3)
+    r = random.Random(3)
+    words = "the quick brown fox jumps over a lazy dog near old river banks while seven wise men watch".split()
+    known = [(i, " ".join(r.choice(words) for _ in range(r.randint(12, 50)))) for i in range(10)] + [(20, None), (21, ""), (22, "abc")]
+    known.append((30, known[4][1]))  # a tie
+    texts = [None, "", "abc", "zzz", "cba" * 300, *(t for _, t in known[:10])]
+    texts += [" ".join(r.choice(words) for _ in range(r.randint(1, 80))) for _ in range(20)]
+    texts += [f"{'x' * 60} {t} and more" for _, t in known[:10]]  # alike beyond the first characters only
+    rows = list(enumerate(texts))
+    got = {x.conv_id: (x.match, x.ratio) for x in ranking.best_of_all(spark.createDataFrame(rows, "conv_id long, text string"), spark.createDataFrame(known, "seq long, text string"), 0.45).collect()}
+    for i, t in rows:
+        scored = [(SequenceMatcher(None, t, k).ratio(), -s, k) for s, k in known if k is not None] if t is not None else []
+        ratio, _, match = max(scored, default=(0.0, 0, None))
+        assert got[i] == ((match, round(ratio, 4)) if ratio >= 0.45 else (None, None))
+    assert len(got) == len(rows)
+
+
+def test_matched_lines_compares_whole_texts(spark, tmp_path):
+    passage = "seven wise men watch the old river banks while a quick brown fox jumps over the lazy dog"
+    spark.createDataFrame([(1, 0, "user", "So, before anything else, I would like to say this: " + passage)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.createDataFrame([(2, "nothing of it"), (4, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [r.match for r in catalog.QUERIES["matched_lines"](spark, str(tmp_path)).collect()] == [passage]
+
+
 def test_documents():
     q = [{"question_no": 1, "text": "1. He went home", "block_ids": ["b001"], "confidence_min": 0.9, "options": ["went", "goes"], "context_text": "1. He went home [went, goes]"}, {"question_no": 3, "text": "3. x", "block_ids": ["b002"], "confidence_min": None, "options": [], "context_text": ""}]
     done = json.loads(documents.repaired_document(json.dumps({"items": [{"no": "z"}, {"no": 1, "prompt_en": "else", "options": []}]}), q))
