@@ -25,6 +25,8 @@ MAX_GRAMS, LEAST_SHARE = 4_000, 0.02
 SLICES, HASHES = 1 << 17, 3
 #: Numbers of characters of the n-grams.
 ORDERS = (3, 4)
+#: n-grams that a filter holds at least to be evidence; share of a text's n-grams that some language has, below which it is foreign.
+LEAST_GRAMS, LEAST_KNOWN = 200, 0.05
 #: Characters whose n-grams are looked up at once.
 CHARACTERS = 1 << 18
 
@@ -71,12 +73,13 @@ def rows_of(hashes: np.ndarray, k: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Filters:
-    """languages in order; bits: (words of 64 languages, SLICES) masks; false: chance that a foreign n-gram passes; default: for texts without a known n-gram."""
+    """languages in order; bits: (words of 64 languages, SLICES) masks; false: chance that a foreign n-gram passes; default: for texts without a known n-gram; held: n-grams in each filter."""
 
     languages: tuple[str, ...]
     bits: np.ndarray
     false: np.ndarray
     default: str | None
+    held: np.ndarray
 
     def lookup(self, hashes: np.ndarray, word: int) -> np.ndarray:
         out = self.bits[word][rows_of(hashes, 0)]
@@ -94,16 +97,30 @@ class Filters:
                 out.append(int(np.count_nonzero(masks & np.uint64(1 << bit))))
         return np.array(out, dtype=np.float64)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language, and its share of the corrected counts above the next language's, between 0 and 1."""
-        if not self.languages or not any(x.isalpha() for x in text or ""):
-            return ("und", 0.0)
+    def evidence(self, text: str) -> tuple[int, np.ndarray]:
+        """The number of n-grams of a text, and of those that each language has, corrected for false positives."""
         n, hits = 0, np.zeros(len(self.languages))
         for start in range(0, len(text), CHARACTERS):
             # pieces of very long texts overlap, so that no n-gram is lost
             h = all_grams(text[start : start + CHARACTERS + max(ORDERS) - 1])
             n, hits = n + len(h), hits + self.counts(h)
-        true = np.clip((hits - n * self.false) / (1 - self.false), 0, None)
+        return n, np.clip((hits - n * self.false) / (1 - self.false), 0, None)
+
+    def keeps(self, text: str | None, lang: str | None) -> bool:
+        """Whether a text has letters and is in a learned language. Without evidence (no language, or not the row's, could be learned) letters decide."""
+        if not any(x.isalpha() for x in text or ""):
+            return False
+        learned = self.held >= LEAST_GRAMS
+        if not learned.any() or lang is not None and not any(x == lang and y for x, y in zip(self.languages, learned, strict=True)):
+            return True
+        n, true = self.evidence(text)
+        return bool(true.max() >= LEAST_KNOWN * n)
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """The language, and its share of the corrected counts above the next language's, between 0 and 1."""
+        if not self.languages or not any(x.isalpha() for x in text or ""):
+            return ("und", 0.0)
+        _, true = self.evidence(text)
         best = int(np.argmax(true))
         if true[best] <= 0:
             return (self.default or "und", 0.0)
@@ -116,7 +133,7 @@ def learn(docs: DataFrame, *, max_train: int = MAX_TRAIN) -> Filters:
     known = docs.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
-        return Filters((), np.zeros((1, SLICES), np.uint64), np.zeros(0), None)
+        return Filters((), np.zeros((1, SLICES), np.uint64), np.zeros(0), None, np.zeros(0))
     train = sample_by_hash(known, "doc_id", max_train, "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +165,7 @@ def learn(docs: DataFrame, *, max_train: int = MAX_TRAIN) -> Filters:
     top = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= MAX_GRAMS)
     languages = tuple(sorted(sizes))
     bits = np.zeros(((len(languages) + 63) // 64, SLICES), dtype=np.uint64)
-    fill = np.zeros(len(languages))
+    fill, held = np.zeros(len(languages)), np.zeros(len(languages))
     by_lang: dict[str, list[int]] = {}
     for r in top.select("lang", "gram").collect():
         by_lang.setdefault(r["lang"], []).append(r["gram"])
@@ -156,8 +173,8 @@ def learn(docs: DataFrame, *, max_train: int = MAX_TRAIN) -> Filters:
         hashes = np.array(by_lang.get(lang, []), dtype=np.int64).view(np.uint64)
         rows = np.unique(np.concatenate([rows_of(hashes, k) for k in range(HASHES)])) if len(hashes) else np.zeros(0, np.int64)
         bits[i // 64][rows] |= np.uint64(1 << (i % 64))
-        fill[i] = len(rows) / SLICES
-    return Filters(languages, bits, fill**HASHES, max(sizes, key=lambda x: (sizes[x], x)))
+        fill[i], held[i] = len(rows) / SLICES, len(hashes)
+    return Filters(languages, bits, fill**HASHES, max(sizes, key=lambda x: (sizes[x], x)), held)
 
 
 def predict(docs: DataFrame, filters: Filters, key: str = "doc_id") -> DataFrame:
@@ -179,11 +196,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the rows that have no language: null texts and texts without a letter."""
+    """docs without the rows that have no language: null texts, texts without a letter, and texts that the filters hardly know."""
     filters = learn(docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            yield batch.filter(pa.array([filters.predict(t)[0] != "und" for t in batch.column("text").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([filters.keeps(t, lang) for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

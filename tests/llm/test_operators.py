@@ -205,6 +205,18 @@ def test_language_edges(docs):
     assert filters.predict(long)[0] == filters.predict(long[: len(long) // 40])[0]
 
 
+def test_language_stage_rejects_on_evidence(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    more = [(-1, "Ωμέγα άλφα βήτα γάμμα δέλτα και πολλά άλλα", None, "s", 42), (-2, "Ωμέγα άλφα βήτα γάμμα", "el", "s", 21), (-3, "123 !!", "en", "s", 6), (-4, None, "en", "s", 0)]
+    every = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long").select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns]))
+    # a foreign text goes; one of a language too rare to be learned stays, as do all that were learned from
+    kept = {r.doc_id for r in language.stage(spark, every, DATA).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()} | {-2}
+    # no language could be learned: letters decide
+    unlabelled = every.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in language.stage(spark, unlabelled, DATA).select("doc_id").collect()} == kept | {-1}
+
+
 def plain_components(rows):
     sets = []
     for i, t in rows:
