@@ -24,8 +24,8 @@ from xxhash import xxh3_64_intdigest, xxh128_digest
 
 from .common import join_sized, slices, table, written
 
-#: Words of a shingle; links need SIMILAR hundredths of the union in common.
-SHINGLE, SIMILAR = 5, 85
+#: Words of a shingle; links need so many hundredths of the union in common, in op7 and in the pipeline's stage.
+SHINGLE, SIMILAR, STAGE_SIMILAR = 5, 85, 80
 #: Values that a sketch retains; those that are keys of inverted lists; those among which a key is looked for.
 K, KEYS, AMONG = 128, 12, 32
 #: A value that more classes have as a key is common.
@@ -89,7 +89,7 @@ def short(values: np.ndarray) -> bytes:
     return (values[:K] >> 31).astype("<u4").tobytes()
 
 
-def candidates(ids: np.ndarray, sizes: np.ndarray, sketches_: list[np.ndarray], parts: np.ndarray | None) -> Iterator[tuple[int, int]]:
+def candidates(ids: np.ndarray, sizes: np.ndarray, sketches_: list[np.ndarray], parts: np.ndarray | None, similar: int) -> Iterator[tuple[int, int]]:
     """Pairs of a list as (smaller id, larger id).
 
     Without parts: a spanning forest of the pairs that may reach the threshold by their sketches, the likeliest first. With
@@ -117,15 +117,15 @@ def candidates(ids: np.ndarray, sizes: np.ndarray, sketches_: list[np.ndarray],
     below = np.stack([np.searchsorted(s, last, side="right") for s in sketches_], axis=1).astype(np.float32)  # [i, j]: of j's, up to i's last
     own = np.where(last[:, None] <= last[None, :], lengths[:, None], below.T)  # i's values in the sample
     sample = own + own.T - shared
-    union = (sizes[:, None] + sizes[None, :]) / (1 + SIMILAR / 100)
-    p = SIMILAR / 100
+    union = (sizes[:, None] + sizes[None, :]) / (1 + similar / 100)
+    p = similar / 100
     slack = DEVIATIONS * np.sqrt(p * (1 - p) / sample * np.clip(1 - sample / union, 0, None))
     likely = shared / sample
     if parts is None:
         fits = likely >= p - slack - 1e-3
     else:
-        fits = 100 * shared.astype(np.float64) >= SIMILAR * sample.astype(np.float64)
-    fits &= 100 * np.minimum(sizes[:, None], sizes[None, :]) >= SIMILAR * np.maximum(sizes[:, None], sizes[None, :])
+        fits = 100 * shared.astype(np.float64) >= similar * sample.astype(np.float64)
+    fits &= 100 * np.minimum(sizes[:, None], sizes[None, :]) >= similar * np.maximum(sizes[:, None], sizes[None, :])
     np.fill_diagonal(fits, False)
     if parts is not None:
         fits &= parts[:, None] != parts[None, :]
@@ -155,7 +155,7 @@ def candidates(ids: np.ndarray, sizes: np.ndarray, sketches_: list[np.ndarray],
         best[better], by[better] = likely[i][better], i
 
 
-def members_of_lists(classes: DataFrame) -> DataFrame:
+def members_of_lists(classes: DataFrame, similar: int) -> DataFrame:
     """cell and id: the lists, or parts of long ones, that each class is in; of lists with two classes at least."""
     firsts = classes.select("id", "n", F.posexplode(F.slice("keys", 1, KEYS)).alias("at", "value"))
     common = written(firsts.groupBy("value").count().where(F.col("count") > COMMON).select("value"))
@@ -178,7 +178,7 @@ def members_of_lists(classes: DataFrame) -> DataFrame:
     is_long = (F.col("members") > LONG) | (F.col("shingles") > LONG_SHINGLES)
     plain = keys.where(~is_long).select(F.xxhash64("value").alias("cell"), "id")
     long = keys.where(is_long)
-    band = F.floor(F.log("n") / math.log(100 / SIMILAR)).cast("int")
+    band = F.floor(F.log("n") / math.log(100 / similar)).cast("int")
     banded = long.select("value", "id", "n", F.explode(F.array(band, band + 1)).alias("band"))
     chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int")
     sizes = banded.groupBy("value", "band").agg(chunks.alias("chunks"))
@@ -188,7 +188,7 @@ def members_of_lists(classes: DataFrame) -> DataFrame:
     return plain.unionByName(cells)
 
 
-def pairs_in_lists(members: DataFrame, classes: DataFrame, between: bool) -> DataFrame:
+def pairs_in_lists(members: DataFrame, classes: DataFrame, between: bool, similar: int) -> DataFrame:
     """a and b of the pairs that `candidates` finds in each list. classes: id, n, sketch; if `between`, with full sets as sketches, and part."""
     rows = members.join(classes, "id")
     if not between:
@@ -204,7 +204,7 @@ def pairs_in_lists(members: DataFrame, classes: DataFrame, between: bool) -> Dat
                 ids, sizes, sketched, part = zip(*held, strict=True)
                 known = np.array(part) if between else None
                 if known is None or (known != known[0]).any():
-                    out.extend(candidates(np.array(ids), np.array(sizes), list(sketched), known))
+                    out.extend(candidates(np.array(ids), np.array(sizes), list(sketched), known, similar))
             held.clear()
 
         cell = None
@@ -240,8 +240,8 @@ def full_sets(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return join_sized(texts, ids, ["id"], "left_semi").mapInArrow(run, "id long, set binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets have SIMILAR hundredths of their union in common."""
+def verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """The pairs whose full sets have `similar` hundredths of their union in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,7 +249,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
                 p, q = np.frombuffer(x, dtype="<i8"), np.frombuffer(y, dtype="<i8")
                 common = len(np.intersect1d(p, q, assume_unique=True))
-                linked.append(100 * common >= SIMILAR * (len(p) + len(q) - common) and common > 0)
+                linked.append(100 * common >= similar * (len(p) + len(q) - common) and common > 0)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     one, other = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
@@ -275,8 +275,8 @@ def components(links: DataFrame) -> DataFrame:
             return parts
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", *, similar: int = SIMILAR) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row; sets are linked that have `similar` hundredths of their union in common.
 
     Null and empty texts have empty sets and are linked with nothing; so are rows with a null id, whose component is null and
     which are kept. Rows with one id are one document: they are linked with each other.
@@ -292,11 +292,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=[*batch.schema.names, "keys"])
 
     classes = written(classes.mapInArrow(with_keys, "digest binary, id long, n long, sketch binary, copies long, keys array<long>"))
-    members = written(members_of_lists(classes).distinct())
-    likely = written(pairs_in_lists(members, classes.select("id", "n", "sketch"), False))
+    members = written(members_of_lists(classes, similar).distinct())
+    likely = written(pairs_in_lists(members, classes.select("id", "n", "sketch"), False, similar))
     ends = written(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct())
     sets = written(full_sets(docs, key, ends).distinct())
-    links = written(verified(likely, sets))
+    links = written(verified(likely, sets, similar))
     parts = components(links)
     # what the forest left open: lists of several parts, of classes that have a likely pair at all
     alone = ends.join(parts.select("id"), "id", "left_anti").select("id", F.col("id").alias("part"))
@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     several = held.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("cell")
     left = written(held.join(several, "cell", "left_semi").select("cell", "id"))
     whole = sets.join(of, "id").select("id", (F.octet_length("set") / 8).cast("long").alias("n"), F.col("set").alias("sketch"), "part")
-    found = written(pairs_in_lists(left, whole, True))
+    found = written(pairs_in_lists(left, whole, True, similar))
     if found.limit(1).count():
         parts = components(written(links.unionByName(found)))
     # back to documents: only classes with copies and only parts of several classes need a join
@@ -323,5 +323,5 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the rows that a row of a smaller id is linked with, directly or by others."""
-    gone = written(near_duplicates(docs).where("not kept").select("doc_id").distinct())
+    gone = written(near_duplicates(docs, similar=STAGE_SIMILAR).where("not kept").select("doc_id").distinct())
     return join_sized(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)

@@ -217,7 +217,7 @@ def test_language_stage_rejects_on_evidence(spark):
     assert {r.doc_id for r in language.stage(spark, unlabelled, DATA).select("doc_id").collect()} == kept | {-1}
 
 
-def plain_components(rows):
+def plain_components(rows, similar=85):
     sets = []
     for i, t in rows:
         w = (t or "").encode().lower().split()
@@ -231,7 +231,7 @@ def plain_components(rows):
 
     for n, (i, a) in enumerate(sets):
         for j, b in sets[:n]:
-            if i is not None and j is not None and a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if i is not None and j is not None and a and b and 100 * len(a & b) >= similar * len(a | b):
                 x, y = top(i), top(j)
                 above[max(x, y)] = min(x, y)
     return {(i, len(s), None if i is None else top(i), i is None or top(i) == i) for i, s in sets}
@@ -272,6 +272,15 @@ def test_near_duplicates_of_a_chain_and_a_cloud(spark, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_near_duplicates_threshold(spark):
+    near = " ".join(f"a{i}" for i in range(104))  # 100 shingles; without the last 18 words 82 of them
+    rows = [(i, t) for i, t in enumerate([near, near.rsplit(" ", 18)[0], *near_texts(60, seed=4, edits=1), *near_texts(40, seed=6, words=60)])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {s: {tuple(r) for r in dedup.near_duplicates(docs, similar=s).collect()} for s in (80, 85)}
+    assert got == {s: plain_components(rows, s) for s in (80, 85)} and got[80] != got[85]
+    assert {r.doc_id for r in dedup.stage(spark, docs, DATA).select("doc_id").collect()} == {r[0] for r in got[80] if r[3]}
+
+
 def test_packing_against_the_tokenizer(spark, docs):
     from tokenizers import Tokenizer
 
