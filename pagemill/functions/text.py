@@ -173,7 +173,9 @@ def preview(c: Column, n: int = 180) -> Column:
 
 
 def block_id(pos: Column, letter: str = "b") -> Column:
-    return F.concat(F.lit(letter), F.lpad(pos.cast("string"), 3, "0")) if letter else F.lpad(pos.cast("string"), 3, "0")
+    """Three digits at least; lpad would cut longer numbers."""
+    number = F.when(F.length(pos.cast("string")) < 3, F.lpad(pos.cast("string"), 3, "0")).otherwise(pos.cast("string"))
+    return F.concat(F.lit(letter), number) if letter else number
 
 
 def block_index(c: Column) -> Column:

@@ -127,3 +127,10 @@ def test_trace_files(spark, tmp_path):
     e = spark.createDataFrame([("a/b", "2026-01-01T00:00:00Z", None, "{}", {"image": "x.png"})], files.TRACE)
     files.write_trace(e, str(tmp_path / "t"))
     assert files.read_trace(spark, str(tmp_path / "t")).collect() == e.collect()
+
+
+def test_line_blocks_of_long_documents(spark, tmp_path):
+    lines = [f"line {i}" for i in range(1, 1206)]
+    spark.createDataFrame([(1, "\n\n".join(lines))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.id, r.text) for r in catalog.QUERIES["line_blocks"](spark, str(tmp_path)).collect()]
+    assert got == [(f"b{i:03d}", x) for i, x in enumerate(lines, 1)]
