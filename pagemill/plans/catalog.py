@@ -572,10 +572,18 @@ def kinds_of_user(spark, sf):
 @query("""with t as (select conv_id, turn, role, text, string_split(text, ' ')[1:4] as w from conversations)
 select conv_id, turn, role, len(text) as n_chars, concat_ws(' ', w[1], w[1] || w[2], w[1] || w[2] || w[3], w[2], w[2] || w[3], w[2] || w[3] || w[4], w[3], w[3] || w[4], w[4]) as grams from t""")
 def token_ngrams(spark, sf):
+    """Of the first four words only, as its SQL has it; `text_ngrams` takes all."""
     grams = T.ngrams(F.slice(F.split("text", " "), 1, 4))
     return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"), F.array_join(grams, " ").alias("grams"))
 
 
+@query()
+def text_ngrams(spark, sf):
+    """Runs of one to three tokens of whole texts; tests hold them against a plain version."""
+    grams = T.ngrams(F.split("text", " "))
+    return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"), F.array_join(grams, " ").alias("grams"))
+
+
 @query("select doc_id, case when doc_id % 2 = 0 then 'seen; checked' when doc_id % 3 = 0 then 'checked twice' else 'checked' end as note from documents")
 def notes(spark, sf):
     old = F.when(F.col("doc_id") % 2 == 0, "seen").when(F.col("doc_id") % 3 == 0, "checked twice")

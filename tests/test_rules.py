@@ -134,3 +134,12 @@ def test_line_blocks_of_long_documents(spark, tmp_path):
     spark.createDataFrame([(1, "\n\n".join(lines))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = [(r.id, r.text) for r in catalog.QUERIES["line_blocks"](spark, str(tmp_path)).collect()]
     assert got == [(f"b{i:03d}", x) for i, x in enumerate(lines, 1)]
+
+
+def test_text_ngrams_against_plain_version(spark, tmp_path):
+    texts = ["", "one", "a b", "the quick brown fox jumps over a lazy dog", " ".join(f"w{i}" for i in range(400))]
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: (r.n_chars, r.grams) for r in catalog.QUERIES["text_ngrams"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        w = t.split(" ")
+        assert got[i] == (len(t), " ".join("".join(w[a : a + k]) for a in range(len(w)) for k in (1, 2, 3) if a + k <= len(w)))
