@@ -23,18 +23,23 @@ BATCH_ROWS = "1000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. Also bounds the session's Arrow batches, whose default counts rows as if they were short."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """A table of the folder. Lowers the session's bound of Arrow batches, which counts rows as if they were short, if it is higher."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(size)) <= int(BATCH_ROWS):
+        spark.conf.set(size, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is missing (a single machine, as in tests) a temporary folder takes its place and goes at exit.
+    Where the setting is missing on a single machine, as in tests, a temporary folder takes its place and goes at exit. On a
+    cluster the setting must be there: executors don't see the driver's folders.
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="pagemill-")
         atexit.register(shutil.rmtree, top, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", top)
@@ -42,13 +47,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, **options: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
+    """df, written as Parquet in the shared folder and read again: cuts lineage, survives lost executors; goes when the driver ends."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.options(**options).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bins of a count for each doubling, by which a threshold is found.
+COUNT_BINS = 16
+
+
+def most_frequent(counts: DataFrame, n: str, limit: int) -> DataFrame:
+    """Rows of a written table whose count n is highest, at most `limit`: all rows above a threshold, which a histogram of counts gives.
+
+    Rows of one bin of counts stay or go together, so there may be fewer; nothing is sorted, and the driver sees the bins only.
+    """
+    at = F.floor(F.log2(n) * COUNT_BINS).cast("int")
+    left, least = limit, None
+    for r in sorted(counts.groupBy(at.alias("bin")).count().collect(), key=lambda r: -r["bin"]):
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["bin"]
+    return counts.where(at >= least) if least is not None else counts.limit(0)
+
+
 def fold_of(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo n; null keys give null."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(n)
@@ -78,17 +103,18 @@ def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     """
     if right.limit(rows + 1).count() <= rows:
         return left.join(F.broadcast(right), on, how)
-    parts = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    name = f"_salt_{uuid.uuid4().hex}"  # no column of the caller's
+    parts = right.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-    return left.withColumn("_salt", salt).join(parts.hint("merge"), [*on, "_salt"], how).drop("_salt")
+    return left.withColumn(name, salt).join(parts.hint("merge"), [*on, name], how).drop(name)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that `column` holds at most `limit` bytes, or one row."""
+def slices(batches: Iterable[pa.RecordBatch], *columns: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that the columns hold at most `limit` bytes together, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.array(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
+        sizes = sum(np.array(pa.compute.binary_length(batch.column(c)).fill_null(0), dtype=np.int64) for c in columns)
         ends = np.cumsum(sizes)
         start = 0
         while start < batch.num_rows:

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import fold_of, sample_by_hash, slices, table
 
-#: Labelled rows of a language that its filter is learned from, at most (in expectation).
-MAX_TRAIN = 4_000
+#: Labelled rows of a language that its filter is learned from, at most (in expectation); languages, the most frequent ones, at most.
+MAX_TRAIN, MAX_LANGUAGES = 4_000, 1_024
 #: n-grams that a language's filter holds, at most; share of the language's rows that must have one.
 MAX_GRAMS, LEAST_SHARE = 4_000, 0.02
 #: Rows of the bit matrix (a power of two) and rows that an n-gram sets.
@@ -61,9 +61,15 @@ def grams(c: np.ndarray, order: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def all_grams(text: str) -> np.ndarray:
+def blocks_of_grams(text: str) -> Iterator[np.ndarray]:
+    """The hashes of a text's n-grams, those that begin in the same CHARACTERS characters together."""
     c = codes(text)
-    return np.concatenate([grams(c, n) for n in ORDERS])
+    for start in range(0, len(c), CHARACTERS):
+        yield np.concatenate([grams(c[start : start + CHARACTERS + n - 1], n) for n in ORDERS])
+
+
+def all_grams(text: str) -> np.ndarray:
+    return np.concatenate(list(blocks_of_grams(text)))
 
 
 def rows_of(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -100,9 +106,7 @@ class Filters:
     def evidence(self, text: str) -> tuple[int, np.ndarray]:
         """The number of n-grams of a text, and of those that each language has, corrected for false positives."""
         n, hits = 0, np.zeros(len(self.languages))
-        for start in range(0, len(text), CHARACTERS):
-            # pieces of very long texts overlap, so that no n-gram is lost
-            h = all_grams(text[start : start + CHARACTERS + max(ORDERS) - 1])
+        for h in blocks_of_grams(text):
             n, hits = n + len(h), hits + self.counts(h)
         return n, np.clip((hits - n * self.false) / (1 - self.false), 0, None)
 
@@ -129,12 +133,15 @@ class Filters:
 
 
 def learn(docs: DataFrame, *, max_train: int = MAX_TRAIN) -> Filters:
-    """Learns filters from the text and lang of docs (doc_id, text, lang). Rows where one of the three is null take no part."""
+    """Learns filters from the text and lang of docs (doc_id, text, lang). Rows where one of the three is null take no part.
+
+    There are at most MAX_LANGUAGES filters, for the languages with most rows (ties: by name), of at most MAX_GRAMS n-grams each.
+    """
     known = docs.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not sizes:
         return Filters((), np.zeros((1, SLICES), np.uint64), np.zeros(0), None, np.zeros(0))
-    train = sample_by_hash(known, "doc_id", max_train, "lang")
+    train = sample_by_hash(known.where(F.col("lang").isin(*sizes)), "doc_id", max_train, "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """n-grams and the number of this task's rows that have them; -1 for all rows, in pieces of bounded size."""
@@ -196,7 +203,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the rows that have no language: null texts, texts without a letter, and texts that the filters hardly know."""
+    """docs without the rows that have no language: null texts, texts without a letter, and texts that the filters hardly know.
+
+    Rows of any id, repeated ones too, stay or go by their text; all columns stay. Where a row's own language has too few
+    texts to be learned, and where none could be learned (an empty table, no lang at all), letters decide.
+    """
     filters = learn(docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,18 +29,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the longest runs; shorter ones fail anyway
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+WORD, _DIGIT = re.compile(r"[A-Za-z0-9+/_=-]{3,}"), re.compile(r"[0-9]")
+_LETTER = re.compile(r"[A-Za-z]")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _INDEX = np.full(256, len(ALPHABET), dtype=np.int64)
 _INDEX[list(ALPHABET.encode())] = np.arange(len(ALPHABET))
-_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 Span = tuple[int, int, str]
 
 
-def mixed(s: str) -> bool:
-    return bool(_DIGIT.search(s) and _LETTER.search(s))
-
-
 def base_spans(text: str) -> list[Span]:
     """(start, end, kind) of the patterns' matches, leftmost and not overlapping within a kind; by start, then kind."""
     out = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
@@ -49,6 +46,22 @@ def base_spans(text: str) -> list[Span]:
     return [(a, b, KINDS[k]) for a, b, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
+def outside(text: str, pattern: re.Pattern, spans: list[Span], least: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of what the spans, which ascend, leave of the pattern's matches, if it has `least` characters. One pass over both."""
+    i, covered = 0, 0
+    for m in pattern.finditer(text):
+        at = m.start()
+        while at < m.end():
+            while i < len(spans) and spans[i][0] <= at:
+                covered = max(covered, spans[i][1])
+                i += 1
+            at = max(at, covered)
+            stop = min(m.end(), spans[i][0]) if i < len(spans) else m.end()
+            if stop - at >= least:
+                yield at, stop
+            at = max(at, stop)
+
+
 def joined(spans: Iterable[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
@@ -97,17 +110,21 @@ def fit(random: np.ndarray, ordinary: np.ndarray) -> Models:
 
 
 def samples(text: str) -> Iterator[tuple[str, int]]:
-    """(string, 1 if random) of a text: the patterns' values are random; words, numbers and identifiers made of words are ordinary."""
+    """(string, 1 if random) of a text: the patterns' values are random; words, numbers and identifiers made of words are ordinary.
+
+    Long strings of both digits and letters may be either, and are none.
+    """
     spans = base_spans(text)
     for start, end, kind in spans:
         yield (ASSIGN.fullmatch(text[start:end])[2] if kind == "assign" else text[start:end]), 1
     last = ""
-    for m in re.finditer(r"[A-Za-z0-9+/_=-]{3,}", text):
-        if not any(a < m.end() and m.start() < b for a, b, _ in spans) and (len(m[0]) < SHORTEST or not mixed(m[0])):
-            yield m[0], 0
+    for start, end in outside(text, WORD, spans, 3):
+        said = text[start:end]
+        if len(said) < SHORTEST or said.isdigit() or not _DIGIT.search(said):
+            yield said, 0
             if last:  # an identifier as programs have them, with a year or a version
-                yield f"{last}{'_-/'[m.start() % 3]}{m[0]}{'_-/'[m.end() % 3]}{1990 + m.start() % 40 if m.start() % 2 else m.end() % 10}", 0
-            last = m[0]
+                yield f"{last}{'_-/'[start % 3]}{said}{'_-/'[end % 3]}{1990 + start % 40 if start % 2 else end % 10}", 0
+            last = said
 
 
 def learn(docs: DataFrame, key: str = "doc_id", *, max_train: int = MAX_TRAIN) -> Models:
@@ -136,15 +153,14 @@ def learn(docs: DataFrame, key: str = "doc_id", *, max_train: int = MAX_TRAIN) -
 
 
 def find(text: str | None, models: Models | None) -> tuple[list[Span], list[Span]]:
-    """The patterns' spans, and all spans: the former and, where none of them is, strings likelier to be random (kind `markov`)."""
+    """The patterns' spans, and all spans: the former and, in what they leave of the text, strings likelier to be random (kind `markov`).
+
+    Strings without a letter are numbers or rules, and never random.
+    """
     base = base_spans(text) if text else []
     if models is None or not text:
         return base, base
-    more = [
-        (m.start(), m.end(), "markov")
-        for m in CANDIDATE.finditer(text)
-        if mixed(m[0]) and not any(a < m.end() and m.start() < b for a, b, _ in base) and models.score(m[0]) >= LEAST_RATIO
-    ]
+    more = [(start, end, "markov") for start, end in outside(text, CANDIDATE, base, SHORTEST) if _LETTER.search(text, start, end) and models.score(text[start:end]) >= LEAST_RATIO]
     order = {k: i for i, k in enumerate((*KINDS, "markov"))}
     return base, sorted(base + more, key=lambda x: (x[0], order[x[2]]))
 
@@ -179,7 +195,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with every secret replaced by a mark, and n_chars to match; no row goes."""
+    """docs with every secret replaced by a mark, and n_chars (null or not) set to match where the text changes; no row goes.
+
+    docs needs doc_id, text and n_chars; other columns stay, null and empty texts too, rows of equal ids are handled each by itself.
+    """
     models = learn(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

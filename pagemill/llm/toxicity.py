@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, sample_by_hash, slices, table, written
+from .common import fold_of, most_frequent, sample_by_hash, slices, table, written
 
 #: Labelled rows that a lexicon is learned from, at most (in expectation).
 MAX_TRAIN = 30_000
@@ -146,6 +146,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, fol
     docs has doc_id and text, labels doc_id and toxic. Null ids, texts and labels take no part; a document with several
     labels is toxic if one of them says so. Without toxic rows the lexicon is empty and every score is 0. `exceptions`
     are further phrases that never count.
+
+    Bounds: candidate terms are the MAX_CANDIDATES that most toxic rows have, the lexicon keeps the MAX_TERMS that stand out
+    most, and MAX_EXCEPTIONS phrases that most clean rows have.
     """
     known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").where(fold_of("doc_id", folds) != 0)
     known = sample_by_hash(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", max_train)
@@ -172,8 +175,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, fol
         return df.mapInArrow(count(make), "key string, one long, none long").groupBy("key").agg(F.sum("one").alias("one"), F.sum("none").alias("none"))
 
     least = max(3, n1 // 400)
-    common = counted(train.where("toxic > 0"), lambda t: grams(fold(t).split())).where(F.col("one") >= least).orderBy(F.desc("one"), "key").limit(MAX_CANDIDATES)
-    candidates = {r["key"] for r in common.select("key").collect()}
+    common = written(counted(train.where("toxic > 0"), lambda t: grams(fold(t).split())).where(F.col("one") >= least))
+    candidates = {r["key"] for r in most_frequent(common, "one", MAX_CANDIDATES).select("key").collect()}
     rows = counted(train, lambda t: grams(fold(t).split()) & candidates).collect()
     ratio = {r["key"]: math.log((r["one"] + 0.5) / (n1 + 1)) - math.log((r["none"] + 0.5) / (n0 + 1)) for r in rows}
     ones, nones = {r["key"]: r["one"] for r in rows}, {r["key"]: r["none"] for r in rows}
@@ -205,8 +208,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, fol
     for term in weights:
         finder.add_word(term, term)
     finder.make_automaton()
-    excused = counted(train, lambda t: {f"{p}\t{w}" for p, w in phrases(fold(t), finder)}).where((F.col("none") >= 5) & (F.col("one") * n0 < F.col("none") * n1)).orderBy(F.desc("none"), "key").limit(MAX_EXCEPTIONS)
-    excuses = {(p := r["key"].split("\t"))[0]: weights[p[1]] for r in excused.collect()}
+    excused = written(counted(train, lambda t: {f"{p}\t{w}" for p, w in phrases(fold(t), finder)}).where((F.col("none") >= 5) & (F.col("one") * n0 < F.col("none") * n1)))
+    excuses = {(p := r["key"].split("\t"))[0]: weights[p[1]] for r in most_frequent(excused, "none", MAX_EXCEPTIONS).collect()}
     for phrase in exceptions:
         excuses |= {fold(phrase): sum(w for _, term in finder.iter(fold(phrase)) for w in [weights[term]])}
     lexicon = Lexicon(weights, {p: w for p, w in excuses.items() if w > 0})
@@ -251,7 +254,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the rows that score one half or more; columns and clean rows stay as they are."""
+    """docs without the rows that score one half or more; columns and clean rows stay as they are.
+
+    Null and empty texts score 0 and stay. Rows of any id, null and repeated ones too, stay or go by their text; without toxic
+    labels for rows of docs all stay.
+    """
     lexicon = learn(docs, table(spark, sf_dir, "labels"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

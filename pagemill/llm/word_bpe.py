@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import most_frequent, slices, table, written
 from .packing import plain_bytes, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -160,7 +160,7 @@ def frequent(docs: DataFrame, limit: int = MAX_WORDS) -> list[str]:
         yield flush()
 
     counts = docs.select("text").where("text is not null").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(limit).collect()]
+    return [r["word"] for r in most_frequent(written(counts), "n", limit).select("word").collect()]
 
 
 class Merger:
