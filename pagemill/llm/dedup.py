@@ -14,11 +14,12 @@ cut by size, since linked sets are of like size, and then in cells of two chunks
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh128_digest
 
@@ -173,11 +174,21 @@ def members_of_lists(classes: DataFrame, similar: int) -> DataFrame:
         keys = rest.unionByName(mixed.join(hits, "id").select(F.explode(chosen).alias("value"), "id", "n"))
     else:
         keys = firsts.select("value", "id", "n")
+    return cells_of(written(keys), similar)
+
+
+def cells_of(keys: DataFrame, similar: int) -> DataFrame:
+    """cell and id of lists with two members at least, of keys (value, id, n): short lists are cells, long ones are cut.
+
+    Members of long lists are told apart by a join that deals out hot values, so the join by value has short lists alone.
+    """
     lists = keys.groupBy("value").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).where("members > 1")
-    keys = written(keys.join(lists, "value"))
     is_long = (F.col("members") > LONG) | (F.col("shingles") > LONG_SHINGLES)
-    plain = keys.where(~is_long).select(F.xxhash64("value").alias("cell"), "id")
-    long = keys.where(is_long)
+    lists = written(lists.select("value", is_long.alias("long")))
+    cut_up = lists.where("long").select("value")
+    rest = join_sized(keys, cut_up, ["value"], "left_anti")
+    plain = rest.join(lists.where("not long").select("value"), "value", "left_semi").select(F.xxhash64("value").alias("cell"), "id")
+    long = join_sized(keys, cut_up, ["value"], "left_semi")
     band = F.floor(F.log("n") / math.log(100 / similar)).cast("int")
     banded = long.select("value", "id", "n", F.explode(F.array(band, band + 1)).alias("band"))
     chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int")
@@ -188,6 +199,23 @@ def members_of_lists(classes: DataFrame, similar: int) -> DataFrame:
     return plain.unionByName(cells)
 
 
+def prefixes(sets: DataFrame, similar: int) -> DataFrame:
+    """value, id and n: the smallest values of each full set (id, n, sketch), so many that linked sets have one in common.
+
+    Linked sets share `similar` hundredths of the larger one at least; what a set has besides its smallest values is less.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "sketch"):
+            sizes = batch.column("n").to_pylist()
+            lengths = np.array([n - -(-similar * n // 100) + 1 for n in sizes], dtype=np.int64)
+            values = [np.frombuffer(s, dtype="<i8", count=k) for s, k in zip(batch.column("sketch").to_pylist(), lengths.tolist(), strict=True)]
+            ids, ns = (np.repeat(np.array(c, dtype=np.int64), lengths) for c in (batch.column("id").to_pylist(), sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(ids), pa.array(ns)], names=["value", "id", "n"])
+
+    return sets.select("id", "n", "sketch").mapInArrow(run, "value long, id long, n long")
+
+
 def pairs_in_lists(members: DataFrame, classes: DataFrame, between: bool, similar: int) -> DataFrame:
     """a and b of the pairs that `candidates` finds in each list. classes: id, n, sketch; if `between`, with full sets as sketches, and part."""
     rows = members.join(classes, "id")
@@ -208,7 +236,7 @@ def pairs_in_lists(members: DataFrame, classes: DataFrame, between: bool, simila
             held.clear()
 
         cell = None
-        for batch in batches:
+        for batch in slices(batches, "sketch"):
             for c, i, n, sketch, part in zip(*(batch.column(x).to_pylist() for x in ("cell", "id", "n", "sketch", "part")), strict=True):
                 if c != cell:
                     close()
@@ -244,7 +272,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """The pairs whose full sets have `similar` hundredths of their union in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "set_a", "set_b"):
             linked = []
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
                 p, q = np.frombuffer(x, dtype="<i8"), np.frombuffer(y, dtype="<i8")
@@ -275,27 +303,53 @@ def components(links: DataFrame) -> DataFrame:
             return parts
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", *, similar: int = SIMILAR) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row; sets are linked that have `similar` hundredths of their union in common.
-
-    Null and empty texts have empty sets and are linked with nothing; so are rows with a null id, whose component is null and
-    which are kept. Rows with one id are one document: they are linked with each other.
-    """
-    every = written(sketches(docs, key))
+def classes_of(every: DataFrame) -> DataFrame:
+    """A row for each set of `sketches`: digest, id (its smallest, which stands for it), n, sketch, number of copies and keys."""
     some = every.where("id is not null and digest is not null")
-    # one row for each set: its smallest id stands for it
-    classes = some.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
+    found = some.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
 
     def with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [np.frombuffer(s, dtype="<u4")[:AMONG].astype(np.int64) for s in batch.column("sketch").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=[*batch.schema.names, "keys"])
 
-    classes = written(classes.mapInArrow(with_keys, "digest binary, id long, n long, sketch binary, copies long, keys array<long>"))
+    return written(found.mapInArrow(with_keys, "digest binary, id long, n long, sketch binary, copies long, keys array<long>"))
+
+
+def sets_of(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """`full_sets`, written; rows of one id with equal sets once. Sets are compared only where an id has several rows."""
+    sets = written(full_sets(docs, key, ids))
+    repeated = sets.groupBy("id").count().where("count > 1").select("id")
+    if repeated.limit(1).count():
+        some = written(repeated)
+        once = join_sized(sets, some, ["id"], "left_semi").distinct()
+        sets = written(join_sized(sets, some, ["id"], "left_anti").unionByName(once))
+    return sets
+
+
+def as_cells(sets: DataFrame, part: Column) -> DataFrame:
+    """Sets as `pairs_in_lists` takes them between parts."""
+    return sets.select("id", (F.octet_length("set") / 8).cast("long").alias("n"), F.col("set").alias("sketch"), part.alias("part"))
+
+
+def exact_parts(docs: DataFrame, key: str, classes: DataFrame, similar: int) -> DataFrame:
+    """id and part of linked classes, by full sets alone: lists of all values of the sets' prefixes, cut in the same cells.
+
+    No chance and no bound of candidates is in it, but it moves a set for each value of its prefix: a means to check on the
+    sketches, and for corpora that are small enough.
+    """
+    sets = sets_of(docs, key, classes.select("id"))
+    whole = written(as_cells(sets, F.col("id")))
+    cells = written(cells_of(written(prefixes(whole, similar)), similar).distinct())
+    return components(written(pairs_in_lists(cells, whole, True, similar)))
+
+
+def likely_parts(docs: DataFrame, key: str, classes: DataFrame, similar: int) -> DataFrame:
+    """id and part of linked classes, by sketches and then full sets."""
     members = written(members_of_lists(classes, similar).distinct())
     likely = written(pairs_in_lists(members, classes.select("id", "n", "sketch"), False, similar))
     ends = written(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct())
-    sets = written(full_sets(docs, key, ends).distinct())
+    sets = sets_of(docs, key, ends)
     links = written(verified(likely, sets, similar))
     parts = components(links)
     # what the forest left open: lists of several parts, of classes that have a likely pair at all
@@ -304,10 +358,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", *, similar: int = SIMI
     held = written(members.join(of, "id"))
     several = held.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("cell")
     left = written(held.join(several, "cell", "left_semi").select("cell", "id"))
-    whole = sets.join(of, "id").select("id", (F.octet_length("set") / 8).cast("long").alias("n"), F.col("set").alias("sketch"), "part")
-    found = written(pairs_in_lists(left, whole, True, similar))
-    if found.limit(1).count():
-        parts = components(written(links.unionByName(found)))
+    found = written(pairs_in_lists(left, as_cells(sets.join(of, "id"), F.col("part")), True, similar))
+    return components(written(links.unionByName(found))) if found.limit(1).count() else parts
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", *, similar: int = SIMILAR, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row; sets are linked that have `similar` hundredths of their union in common.
+
+    Null and empty texts have empty sets and are linked with nothing; so are rows with a null id, whose component is null and
+    which are kept. Rows with one id are one document: they are linked with each other. With `exact`, full sets are joined
+    by their prefixes instead of sketches.
+    """
+    every = written(sketches(docs, key))
+    classes = classes_of(every)
+    parts = (exact_parts if exact else likely_parts)(docs, key, classes, similar)
     # back to documents: only classes with copies and only parts of several classes need a join
     copied = classes.where("copies > 1").select("digest", F.col("id").alias("class"))
     out = join_sized(every.select("id", "n", "digest"), copied, ["digest"], "left").withColumn("class", F.coalesce("class", "id"))
@@ -322,6 +386,18 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the rows that a row of a smaller id is linked with, directly or by others."""
-    gone = written(near_duplicates(docs, similar=STAGE_SIMILAR).where("not kept").select("doc_id").distinct())
-    return join_sized(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
+    """docs with one row of each group of linked rows, that of the smallest id; columns stay, texts without words stay too.
+
+    Where ids are null or repeated, rows are told apart by numbers of their own, so such rows are copies of each other like
+    any others; a null id counts as the largest.
+    """
+    columns = docs.columns
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        gone = written(near_duplicates(docs, similar=STAGE_SIMILAR).where("not kept").select("doc_id"))
+        return join_sized(docs, gone, ["doc_id"], "left_anti").select(*columns)
+    row = f"_row_{uuid.uuid4().hex}"
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = written(near_duplicates(rows.select(row, "text"), row, similar=STAGE_SIMILAR).join(rows.select(row, "doc_id"), row))
+    firsts = written(found.groupBy("component_id").agg(F.min_by(row, F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    gone = written(join_sized(found, firsts, ["component_id"]).where(F.col(row) != F.col("first")).select(row))
+    return join_sized(rows, gone, [row], "left_anti").select(*columns)

@@ -72,9 +72,15 @@ def all_grams(text: str) -> np.ndarray:
     return np.concatenate(list(blocks_of_grams(text)))
 
 
-def rows_of(hashes: np.ndarray, k: int) -> np.ndarray:
-    mixed = (hashes + np.uint64(k * 0xD6E8FEB86659FD93 % (1 << 64))) * np.uint64(0xFF51AFD7ED558CCD)
-    return (mixed >> np.uint64(40)).astype(np.int64) & (SLICES - 1)
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    out = hashes * np.uint64(0xFF51AFD7ED558CCD)
+    out = (out ^ (out >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return out ^ (out >> np.uint64(33))
+
+
+def rows_of(mixed_: np.ndarray, k: int) -> np.ndarray:
+    """The k-th row of each n-gram: bits of their own of one well-mixed hash, so that the rows tell nothing of each other."""
+    return (mixed_ >> np.uint64(64 // HASHES * k)).astype(np.int64) & (SLICES - 1)
 
 
 @dataclass(frozen=True)
@@ -88,9 +94,10 @@ class Filters:
     held: np.ndarray
 
     def lookup(self, hashes: np.ndarray, word: int) -> np.ndarray:
-        out = self.bits[word][rows_of(hashes, 0)]
+        at = mixed(hashes)
+        out = self.bits[word][rows_of(at, 0)]
         for k in range(1, HASHES):
-            out = out & self.bits[word][rows_of(hashes, k)]
+            out = out & self.bits[word][rows_of(at, k)]
         return out
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
@@ -177,8 +184,8 @@ def learn(docs: DataFrame, *, max_train: int = MAX_TRAIN) -> Filters:
     for r in top.select("lang", "gram").collect():
         by_lang.setdefault(r["lang"], []).append(r["gram"])
     for i, lang in enumerate(languages):
-        hashes = np.array(by_lang.get(lang, []), dtype=np.int64).view(np.uint64)
-        rows = np.unique(np.concatenate([rows_of(hashes, k) for k in range(HASHES)])) if len(hashes) else np.zeros(0, np.int64)
+        hashes = mixed(np.array(by_lang.get(lang, []), dtype=np.int64).view(np.uint64))
+        rows = np.unique(np.concatenate([rows_of(hashes, k) for k in range(HASHES)]))
         bits[i // 64][rows] |= np.uint64(1 << (i % 64))
         fill[i], held[i] = len(rows) / SLICES, len(hashes)
     return Filters(languages, bits, fill**HASHES, max(sizes, key=lambda x: (sizes[x], x)), held)

@@ -404,6 +404,29 @@ def test_near_duplicates_of_a_chain_and_a_cloud(spark, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_near_duplicates_exactly(spark, monkeypatch):
+    """The sketches find what a join of full sets finds, at their own bounds; and the latter what brute force finds."""
+    r = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [t for seed in range(12) for t in near_texts(40, seed=seed, words=r.choice((12, 40, 120, 400)), edits=r.choice((1, 2, 6)))]
+    texts += [" ".join(f"q{r.randint(0, 10**6)}" for _ in range(r.randint(5, 60))) + " " + passage for _ in range(300)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_components(rows)
+    assert {tuple(x) for x in dedup.near_duplicates(docs).collect()} == want
+    assert {tuple(x) for x in dedup.near_duplicates(docs, exact=True).collect()} == want
+    for name, value in (("LONG", 20), ("CHUNK", 8), ("LONG_SHINGLES", 500), ("CHUNK_SHINGLES", 300)):
+        monkeypatch.setattr(dedup, name, value)
+    assert {tuple(x) for x in dedup.near_duplicates(docs, exact=True).collect()} == want
+
+
+def test_near_duplicates_of_documents_exactly(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for similar in (80, 85):
+        got, want = ({tuple(x) for x in dedup.near_duplicates(docs, similar=similar, exact=e).collect()} for e in (False, True))
+        assert got == want and any(not x[3] for x in want)
+
+
 def test_near_duplicates_threshold(spark):
     near = " ".join(f"a{i}" for i in range(104))  # 100 shingles; without the last 18 words 82 of them
     rows = [(i, t) for i, t in enumerate([near, near.rsplit(" ", 18)[0], *near_texts(60, seed=4, edits=1), *near_texts(40, seed=6, words=60)])]
@@ -466,7 +489,7 @@ def test_stages_on_odd_rows(spark, monkeypatch, small):
     words = "river stone under bridge walked slowly morning garden yellow window quiet letter paper winter summer".split()
     r = random.Random(3)
     clean = [" ".join(r.choice(words) for _ in range(60)) for _ in range(20)]
-    secret = "my password = hunter2secret and more of the " + clean[0]
+    secret = "my password = hunter2secret and more of the " + " ".join(r.choice(words) for _ in range(60))
     texts = [*clean, None, "", " ", secret, " ".join(r.choice(words) for _ in range(60_000)), clean[3], clean[3] + " end"]
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
     rows += [(None, clean[5], "en", "s", 9), (None, clean[6] + " x", None, None, None), (None, None, None, None, None), (2, clean[2], "en", "s", 7), (2, clean[2], "en", "s", 7), (9, None, "en", "s", 0)]
