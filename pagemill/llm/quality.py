@@ -21,6 +21,8 @@ from .common import join_sized, sample_by_hash, slices, table, written
 
 #: Labelled rows that the evidence is learned from, at most (in expectation). Sites' counts take all rows.
 MAX_TRAIN = 40_000
+#: Parts of the labelled rows; a labelled document's evidence comes from the other parts, not from its own label.
+FOLDS = 2
 #: Bins of a feature, and rows that a bin counts as having besides its own, at the global rate.
 BINS, EXTRA = 24, 4.0
 #: What an unlabelled document counts for its site, next to a labelled one.
@@ -60,23 +62,16 @@ class Evidence:
     ratios: tuple[np.ndarray, ...]
     rate: float
 
-    def of(self, text: str | None) -> float:
-        x = features(text or "")
+    def of(self, x: list[float]) -> float:
+        """From a text's features."""
         total = sum(float(r[np.searchsorted(e, v, side="right")]) for e, r, v in zip(self.edges, self.ratios, x, strict=True))
         return max(-MOST, min(MOST, total))
 
 
-def learn_evidence(train: DataFrame) -> Evidence:
-    """Learns from rows with text and good (0 or 1), of which there is a bounded number; bins hold equally many rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64())), batch.column("good")], names=["x", "good"])
-
-    table_ = train.select("text", F.col("good").cast("int").alias("good")).mapInArrow(run, "x array<double>, good int").toPandas()
-    if not len(table_):
+def fit(x: np.ndarray, good: np.ndarray) -> Evidence:
+    """Learns from features and labels (0 or 1); bins hold equally many rows."""
+    if not len(good):
         return Evidence(tuple(np.zeros(0) for _ in FEATURES), tuple(np.zeros(1) for _ in FEATURES), 0.5)
-    x, good = np.array(table_["x"].tolist()), table_["good"].to_numpy()
     rate = (good.sum() + 1) / (len(good) + 2)
     edges, ratios = [], []
     for column in x.T:
@@ -94,6 +89,18 @@ def learn_evidence(train: DataFrame) -> Evidence:
     return Evidence(tuple(edges), tuple(r * factor for r in ratios), float(rate))
 
 
+def learn_evidence(train: DataFrame) -> list[Evidence]:
+    """Evidence from rows with text, good (0 or 1) and fold, of which there is a bounded number: from all, and for each fold from the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64())), batch.column("good"), batch.column("fold")], names=["x", "good", "fold"])
+
+    known = train.select("text", F.col("good").cast("int").alias("good"), "fold").mapInArrow(run, "x array<double>, good int, fold int").toPandas()
+    x, good, fold = np.array(known["x"].tolist()).reshape(-1, len(FEATURES)), known["good"].to_numpy(), known["fold"].to_numpy()
+    return [fit(x, good), *(fit(x[fold != f], good[fold != f]) for f in range(FOLDS))]
+
+
 def strength(groups: DataFrame, rate: Column) -> Column:
     """Rows that a prior counts for, by the method of moments: how much rates of groups differ beyond chance.
 
@@ -118,16 +125,19 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, *,
     known = known.groupBy("_key").agg((F.min("_label") > 0).cast("int").alias("_label"))
     some = sample_by_hash(known, "_key", max_train)
     own = docs.select(F.col(key).alias("_key"), F.coalesce("text", F.lit("")).alias("text"))
-    evidence = learn_evidence(own.join(F.broadcast(some), "_key").select("text", F.col("_label").alias("good")))
-    prior = math.log(evidence.rate / (1 - evidence.rate))
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "_key"), F.lit(FOLDS)).cast("int")
+    evidence = learn_evidence(own.join(F.broadcast(some), "_key").select("text", F.col("_label").alias("good"), fold.alias("fold")))
+    prior = math.log(evidence[0].rate / (1 - evidence[0].rate))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = pa.array([evidence.of(t) for t in batch.column("text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_host"), batch.column("_path"), found], names=["_key", "_host", "_path", "evidence"])
+            known_features = [features(t or "") for t in batch.column("text").to_pylist()]
+            found = pa.array([[e.of(x) for e in evidence] for x in known_features], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_host"), batch.column("_path"), found], names=["_key", "_host", "_path", "_evidence"])
 
     site = docs.select(F.col(key).alias("_key"), "text", F.coalesce(host.cast("string"), F.lit("")).alias("_host"), F.coalesce(path.cast("string"), F.lit("")).alias("_path"))
-    scored = site.mapInArrow(run, f"_key {kind}, _host string, _path string, evidence double").join(known, "_key", "left")
+    scored = site.mapInArrow(run, f"_key {kind}, _host string, _path string, _evidence array<double>")
+    scored = join_sized(scored, known, ["_key"], "left").withColumn("evidence", F.get("_evidence", F.when(F.col("_label").isNotNull(), fold + 1).otherwise(0))).drop("_evidence")
     soft = 1 / (1 + F.exp(-(F.lit(prior) + F.col("evidence"))))
     scored = scored.withColumn("_n", F.when(F.col("_label").isNotNull(), 1.0).otherwise(SOFT)).withColumn("_good", F.col("_n") * F.coalesce(F.col("_label").cast("double"), soft))
     scored = written(scored)

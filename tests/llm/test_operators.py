@@ -63,6 +63,109 @@ def test_quality_shrinks_sparse_sites(spark):
     assert 0.1 < out[5001].path_rate < 0.5
 
 
+def test_quality_against_closed_form(spark):
+    """Rates and scores of many sparse sites and a hot one, from the evidence, by sums in plain Python."""
+    r = random.Random(21)
+    words = "river stone under bridge walked slowly morning garden yellow window".split()
+    rows, known = [], {}
+    for i in range(1500):
+        host = "hot.example" if i % 3 == 0 else f"h{int(r.paretovariate(0.7)) % 300}.example"
+        path = f"/{r.randint(0, 2)}"
+        good = r.random() < (0.9 if hash_of(host) % 3 else 0.2)
+        text = " ".join(r.choice(words) for _ in range(30)) + ("." if good else " ##" * r.randint(0, 9))
+        rows.append((i, None if i % 50 == 0 else text, None if i % 97 == 0 else host, path))
+        if r.random() < 0.4:
+            known[i] = int(good)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    labels = spark.createDataFrame(list(known.items()), "doc_id long, quality int")
+    got = {x.doc_id: x for x in quality.classify(docs, labels, F.col("host"), F.col("path")).collect()}
+    rate = (sum(known.values()) + 1) / (len(known) + 2)
+    prior = math.log(rate / (1 - rate))
+    n, good = collections.Counter(), collections.Counter()
+    weight, part = {}, {}
+    for i, _, host, path in rows:
+        weight[i] = 1.0 if i in known else quality.SOFT
+        part[i] = weight[i] * (known[i] if i in known else 1 / (1 + math.exp(-(prior + got[i].evidence))))
+        for site in ((host or "",), (host or "", path)):
+            n[site] += weight[i]
+            good[site] += part[i]
+    hosts, paths = ([s for s in n if len(s) == k] for k in (1, 2))
+
+    def strength(sites, towards):
+        total = sum(n[s] for s in sites)
+        spread = sum(n[s] * (good[s] / n[s] - towards(s)) ** 2 for s in sites) / total
+        chance = sum(towards(s) * (1 - towards(s)) for s in sites) / total
+        within = sum(n[s] * towards(s) * (1 - towards(s)) for s in sites) / total
+        return max(quality.WEAKEST, min(quality.STRONGEST, within / (spread - chance) - 1 if spread > chance else quality.STRONGEST))
+
+    overall = (sum(good[s] for s in hosts) + 1) / (sum(n[s] for s in hosts) + 2)
+    of_host = strength(hosts, lambda s: overall)
+    of_path = strength(paths, lambda s: (good[s[:1]] + of_host * overall) / (n[s[:1]] + of_host))
+    for i, _, host, path in rows:
+        own, own_good = (weight[i], part[i]) if i in known else (0.0, 0.0)
+        h, p = (host or "",), (host or "", path)
+        host_rate = (good[h] - own_good + of_host * overall) / (n[h] - own + of_host)
+        path_rate = (good[p] - own_good + of_path * host_rate) / (n[p] - own + of_path)
+        sure = max(1e-6, min(1 - 1e-6, path_rate))
+        assert got[i].host_rate == pytest.approx(host_rate, abs=1e-9) and got[i].path_rate == pytest.approx(path_rate, abs=1e-9)
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-(math.log(sure / (1 - sure)) + got[i].evidence))), abs=1e-9)
+    # a site of few documents stays closer to what it is drawn to than its own share is
+    sparse = [i for i, _, host, path in rows if n[host or "", path] < 1 and i not in known]
+    assert sparse and all(abs(got[i].path_rate - got[i].host_rate) < 0.5 for i in sparse)
+
+
+def test_quality_evidence_of_the_other_fold(spark):
+    """A labelled document's evidence doesn't come from its own label: turning it changes nothing of it."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    known = {i: i % 2 for i in range(120)}
+    out = []
+    for turned in (False, True):
+        labels = spark.createDataFrame([(i, 1 - g if turned and i == 7 else g) for i, g in known.items()], "doc_id long, quality int")
+        out.append({x.doc_id: x.evidence for x in quality.classify(docs, labels, F.col("source"), F.col("lang")).collect()})
+    assert out[0][7] == out[1][7] and out[0] != out[1]
+
+
+def hash_of(s):
+    return zlib.crc32(s.encode())
+
+
+def plain_density(lexicon, text):
+    """Each term and each phrase looked for by itself, at every position of the folded text."""
+    folded = toxicity.fold(text)
+    weights = {p: lexicon.weights.get(p, 0.0) - w for p, w in lexicon.exceptions.items()}
+    weights = lexicon.weights | weights
+    total = sum(w for term, w in weights.items() for i in range(len(folded)) if folded.startswith(term, i))
+    return max(0.0, total) / (len(folded.split()) + toxicity.EXTRA_WORDS)
+
+
+def test_toxicity_against_plain_version(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    lexicon = toxicity.learn(docs, labels)
+    assert lexicon.weights
+    r = random.Random(4)
+    terms, phrases = list(lexicon.weights), list(lexicon.exceptions)
+    made = ["".join(r.choice([*terms, *phrases, " ", "a ", " THE", "\u0430", "0", "$"]) for _ in range(r.randint(0, 12))) for _ in range(500)]
+    texts = [t for _, t in rows_of(docs) if t and len(t) < 20_000] + made
+    automaton = lexicon.automaton()
+    for t in texts:
+        assert toxicity.density(automaton, t)[0] == pytest.approx(plain_density(lexicon, t), abs=1e-9)
+    told = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.score for x in toxicity.score(told, lexicon).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(toxicity.score_of(plain_density(lexicon, t), lexicon.threshold), abs=1e-9)
+    # weights: log odds of having the term, counted anew over the rows that may be learned from
+    toxic = collections.defaultdict(int)
+    for x in labels.collect():
+        if x.doc_id is not None and x.toxic is not None and zlib.crc32(str(x.doc_id).encode()) % 5:
+            toxic[x.doc_id] = max(toxic[x.doc_id], x.toxic)
+    train = [(" " + " ".join(toxicity.fold(t).split()) + " ", toxic[i]) for i, t in rows_of(docs) if i in toxic and t is not None]
+    n1 = sum(g for _, g in train)
+    for term, w in lexicon.weights.items():
+        one, none = (sum(term in t for t, g in train if g == k) for k in (1, 0))
+        assert w == pytest.approx(math.log((one + 0.5) / (n1 + 1)) - math.log((none + 0.5) / (len(train) - n1 + 1)), abs=1e-9)
+
+
 def test_toxicity_finds_disguised_terms(spark):
     r = random.Random(3)
     words = [a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnr"]
@@ -463,6 +566,37 @@ def test_packing_against_the_tokenizer(spark, docs):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def plain_pack(lengths, capacity):
+    """The same choices, one look at every sequence for each rest."""
+    out, n, rests = [], 0, []
+    for doc, length in enumerate(lengths):
+        at = 0
+        while length - at >= capacity:
+            out.append((doc, at, capacity, n, 0))
+            at, n = at + capacity, n + 1
+        if at < length:
+            rests.append((doc, at, length - at))
+    sequences = [[0.0, 0] for _ in range(math.ceil(sum(x for *_, x in rests) / capacity))]
+    for doc, at, left in sorted(rests, key=lambda x: (-x[2], x[0])):
+        while left:
+            fitting = [(s[0], i) for i, s in enumerate(sequences) if s[1] + left <= capacity]
+            i = min(fitting)[1] if fitting else min((s[1], i) for i, s in enumerate(sequences))[1]
+            part = min(left, capacity - sequences[i][1])
+            out.append((doc, at, part, n + i, sequences[i][1]))
+            sequences[i][0] += packing.LINEAR * part + packing.QUADRATIC * part**2
+            sequences[i][1] += part
+            at, left = at + part, left - part
+    return out
+
+
+def test_packing_against_plain_version():
+    r = random.Random(14)
+    for capacity in (8, 100, 1024):
+        for n in (0, 1, 5, 300):
+            lengths = [r.choice((1, r.randint(1, capacity), capacity, r.randint(1, 3 * capacity))) for _ in range(n)]
+            assert packing.pack(lengths, capacity) == plain_pack(lengths, capacity)
+
+
 def test_packing_wastes_little_and_balances():
     r = random.Random(6)
     lengths = [r.randint(1, 3000) for _ in range(2000)]
