@@ -1,7 +1,8 @@
 """Word BPE by a minimal acyclic transducer.
 
 Frequent words are compiled with their ids into an automaton with shared prefixes and suffixes, whose file each worker maps
-into memory. A word that the automaton has costs one walk; the others are merged by the tokenizer itself, so ids are exact.
+into memory. The distinct words of a batch walk through it together; those that it doesn't hold are merged by the vocabulary's
+own rules, so ids are exact.
 """
 
 from __future__ import annotations
@@ -31,9 +32,8 @@ TOKENIZER = "word_bpe_49k.json"
 MAX_WORDS = 1 << 16
 #: A task leaves out words below this share of its own words. A word above the share in the corpus is above it in some task.
 LEAST_SHARE = 2e-6
-#: Distinct words that a task counts, or whose ids it remembers, at a time.
+#: Distinct words that a task counts, or rare ones whose ids it remembers, at a time.
 REMEMBERED = 200_000
-_HEADER = 6
 
 
 def plain(text: str) -> str:
@@ -87,57 +87,68 @@ def compiled(entries: dict[str, Iterable[int]]) -> bytes:
     close(0)
     root = closed(path[0][0], path[0][1])
 
-    starts, labels, targets, before = [0], bytearray(), [], []
-    for final, arcs in states:
+    keys, targets, before = [], [], []
+    for number, (final, arcs) in enumerate(states):
         n = int(final)
         for label, target in arcs:
-            labels.append(label)
+            keys.append(number << 8 | label)
             targets.append(target)
             before.append(n)
             n += sizes[target]
-        starts.append(len(targets))
-    lengths = [len(ids) for _, ids in items]
-    numbers = [np.array(x, dtype="<u4").tobytes() for x in (starts, targets, before, np.concatenate([[0], np.cumsum(lengths)]), [i for _, ids in items for i in ids])]
-    finals = bytes(final for final, _ in states)
-    header = np.array([root, len(states), len(targets), len(items), sum(lengths), 0], dtype="<u4").tobytes()
-    return header + b"".join(numbers) + bytes(labels) + finals
+    bounds = np.cumsum([0, *(len(ids) for _, ids in items)])
+    header = np.array([root, len(states), len(targets), len(items), bounds[-1], 0], dtype="<u8").tobytes()
+    numbers = [np.array(x, dtype="<u4").tobytes() for x in (targets, before, bounds, [i for _, ids in items for i in ids])]
+    return header + np.array(keys, dtype="<u8").tobytes() + b"".join(numbers) + bytes(final for final, _ in states)
 
 
 class Transducer:
-    """Reads what `compiled` made, from memory or a mapped file."""
+    """Reads what `compiled` made, from memory or a mapped file.
+
+    An arc's key is its state and its byte; keys ascend, so that many words find their next arcs by one search.
+    """
 
     def __init__(self, data: bytes | mmap.mmap):
-        view = memoryview(data)
-        self.root, n_states, n_arcs, n_words, n_ids, _ = view[: 4 * _HEADER].cast("I")
-        at = 4 * _HEADER
+        header = np.frombuffer(data, "<u8", 6)
+        self.root, n_states, n_arcs, n_words, n_ids = (int(x) for x in header[:5])
+        at = header.nbytes
 
-        def numbers(n: int) -> memoryview:
+        def numbers(n: int, kind: str) -> np.ndarray:
             nonlocal at
-            at += 4 * n
-            return view[at - 4 * n : at].cast("I")
+            out = np.frombuffer(data, kind, n, at)
+            at += out.nbytes
+            return out
 
-        self.starts, self.targets, self.before, self.bounds, self.ids = (numbers(n) for n in (n_states + 1, n_arcs, n_arcs, n_words + 1, n_ids))
-        self.data, self.labels_at, self.finals_at = data, at, at + n_arcs
+        self.keys, self.targets, self.before = numbers(n_arcs, "<u8"), numbers(n_arcs, "<u4"), numbers(n_arcs, "<u4")
+        self.bounds, self.ids, self.finals = numbers(n_words + 1, "<u4"), numbers(n_ids, "<u4"), numbers(n_states, "u1")
 
     @classmethod
     def mapped(cls, path: str) -> Transducer:
         with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def lookup(self, word: str) -> bytes | None:
-        """Ids of the word as little-endian unsigned 32-bit integers; None for a word that it doesn't hold."""
-        state, number = self.root, 0
-        find, starts, targets, before, base = self.data.find, self.starts, self.targets, self.before, self.labels_at
-        key = word.encode("utf-8", "surrogatepass")
-        for i in range(len(key)):
-            arc = find(key[i : i + 1], base + starts[state], base + starts[state + 1]) - base
-            if arc < 0:
-                return None
-            number += before[arc]
-            state = targets[arc]
-        if not self.data[self.finals_at + state]:
-            return None
-        return self.ids[self.bounds[number] : self.bounds[number + 1]].tobytes()
+    def lookup(self, some: list[str]) -> list[bytes | None]:
+        """Ids of each word as little-endian unsigned 32-bit integers; None for a word that it doesn't hold."""
+        coded = [w.encode("utf-8", "surrogatepass") for w in some]
+        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+        text, begins = np.frombuffer(b"".join(coded), np.uint8), np.cumsum(sizes) - sizes
+        states, numbers, found = np.full(len(some), self.root, dtype=np.uint64), np.zeros(len(some), np.int64), np.ones(len(some), bool)
+        walking, depth = np.flatnonzero(sizes), 0
+        while len(walking):
+            key = states[walking] << np.uint64(8) | text[begins[walking] + depth]
+            at = np.searchsorted(self.keys, key)
+            there = at < len(self.keys)
+            there[there] = self.keys[at[there]] == key[there]
+            found[walking[~there]] = False
+            walking, at = walking[there], at[there]
+            states[walking] = self.targets[at]
+            numbers[walking] += self.before[at]
+            depth += 1
+            walking = walking[sizes[walking] > depth]
+        found[found] = self.finals[states[found].astype(np.int64)] > 0
+        numbers[~found] = 0
+        ids = memoryview(self.ids).cast("B")
+        some_found, lows, highs = found.tolist(), (4 * self.bounds[numbers].astype(np.int64)).tolist(), (4 * self.bounds[np.minimum(numbers + 1, len(self.bounds) - 1)].astype(np.int64)).tolist()
+        return [bytes(ids[a:b]) if f else None for f, a, b in zip(some_found, lows, highs, strict=True)]
 
 
 def frequent(docs: DataFrame, limit: int = MAX_WORDS) -> list[str]:
@@ -174,6 +185,7 @@ class Merger:
     #: Below it every character is composed and no library's character classes are older than it.
     LATIN = "\u0250"
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    BETWEEN = regex.compile(r"[^\S\n]+")
 
     def __init__(self, path: str):
         import tiktoken
@@ -186,13 +198,23 @@ class Merger:
             if token not in special:
                 whole = token.removesuffix(suffix)
                 ranks[bytes(of[c] for c in whole) + (self.END.encode() if whole != token else b"")] = i
-        self.encoding = tiktoken.Encoding("words", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("words", pat_str=r"\n|[^\x00\n]*\x00", mergeable_ranks=ranks, special_tokens={})
+        self.line = ranks[b"\n"]
+
+    def foreign(self, word: str) -> bool:
+        """Whether a word is left to the library."""
+        return not word.isascii() and max(word) >= self.LATIN or self.END in word or "<|" in word
 
-    def merged(self, word: str) -> bytes | None:
-        if self.END in word or "<|" in word or (not word.isascii() and max(word) >= self.LATIN):
-            return None
-        pieces = self.SPLIT.findall(word.lower())
-        return self.encoding.encode_to_numpy("".join([p + self.END for p in pieces])).astype("<u4").tobytes() if pieces else b""
+    def merged(self, some: list[str]) -> list[bytes | None]:
+        """Ids of each word; None for those that are left to the library. All words are split, then merged, by one call."""
+        own = [w for w in some if not self.foreign(w)]
+        # END after each piece; what stands between pieces is white space, and no part of any
+        said = self.BETWEEN.sub("", self.SPLIT.sub(r"\g<0>\0", "\n".join(own).lower()))
+        ids = self.encoding.encode_to_numpy(f"{said}\n").astype("<u4")
+        ends = np.flatnonzero(ids == self.line).tolist()
+        data = ids.tobytes()
+        found = iter([data[4 * a + 4 : 4 * b] for a, b in zip([-1, *ends], ends, strict=False)])
+        return [None if self.foreign(w) else next(found) for w in some]
 
 
 class Codec:
@@ -210,7 +232,7 @@ class Codec:
 
     def merged(self, some: list[str]) -> list[bytes]:
         """Ids of words by the vocabulary's merges."""
-        out = [self.merger.merged(w) for w in some]
+        out = self.merger.merged(some)
         left = [i for i, b in enumerate(out) if b is None]
         for i, e in zip(left, self.tokenizer.encode_batch([some[i] for i in left], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, dtype="<u4").tobytes()
@@ -219,17 +241,16 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [words(t) for t in texts]
-        if len(self.known) > REMEMBERED:
+        distinct = list(set().union(*split))
+        ids = dict(zip(distinct, self.transducer.lookup(distinct) if self.transducer else [None] * len(distinct), strict=True))
+        rare = [w for w, b in ids.items() if b is None]
+        unseen = [w for w in rare if w not in self.known]
+        if len(self.known) + len(unseen) > REMEMBERED:
             self.known.clear()
-        unseen = []
-        for w in {w for ws in split for w in ws if w not in self.known}:
-            ids = self.transducer.lookup(w) if self.transducer else None
-            if ids is None:
-                unseen.append(w)
-            else:
-                self.known[w] = ids
+            unseen = rare
         self.known.update(zip(unseen, self.merged(unseen), strict=True))
-        get = self.known.__getitem__
+        ids.update((w, self.known[w]) for w in rare)
+        get = ids.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
     def decode(self, ids: bytes) -> str:

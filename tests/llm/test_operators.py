@@ -674,12 +674,11 @@ def test_transducer():
     r = random.Random(1)
     entries = {"".join(r.choice("abé") for _ in range(r.randint(1, 8))): [r.randint(0, 9) for _ in range(r.randint(0, 3))] for _ in range(500)}
     a = word_bpe.Transducer(word_bpe.compiled(entries))
-    for w, ids in entries.items():
-        assert a.lookup(w) == np.array(ids, dtype="<u4").tobytes()
-    for _ in range(500):
-        w = "".join(r.choice("abéc") for _ in range(r.randint(0, 9)))
-        assert (a.lookup(w) is None) == (w not in entries)
-    assert word_bpe.Transducer(word_bpe.compiled({})).lookup("a") is None
+    assert a.lookup(list(entries)) == [np.array(ids, dtype="<u4").tobytes() for ids in entries.values()]
+    other = ["".join(r.choice("abéc") for _ in range(r.randint(0, 9))) for _ in range(500)]
+    assert [x is None for x in a.lookup(other)] == [w not in entries for w in other]
+    assert len(a.finals) < len({w.encode()[:n] for w in entries for n in range(len(w.encode()) + 1)})  # ends are shared
+    assert word_bpe.Transducer(word_bpe.compiled({})).lookup(["a", ""]) == [None, None] and a.lookup([]) == []
 
 
 def test_fingerprints_against_plain_order(spark, docs):
