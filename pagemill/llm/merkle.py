@@ -25,8 +25,8 @@ from .common import slices, table
 PARAGRAPH = re.compile(r".{32,}?(?:\n+|$)|.+", re.DOTALL)
 #: A section ends after an empty line, and after one paragraph in so many, by its hash.
 PARAGRAPHS = 8
-#: A piece has SHORTEST to LONGEST characters and ends after one of ENDS and a space, where there is one.
-SHORTEST, LONGEST, ENDS = 8, 64, "dnstrey.,;:!?"
+#: A piece has SHORTEST to LONGEST characters, and a space if it ends with one of ENDS and a space, where there is one.
+SHORTEST, LONGEST, ENDS = 8, 63, "dnstrey.,;:!?"
 PIECE = re.compile(rf".{{{SHORTEST},{LONGEST}}}?(?:(?<=[{ENDS}]) |$)|.{{{LONGEST}}}|.+", re.DOTALL)
 #: The first HEAD characters of a text are cut in parts of PART, so that the shortest texts have several pieces too.
 HEAD, PART = 24, 4

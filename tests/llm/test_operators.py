@@ -741,7 +741,18 @@ def test_likeness_against_plain_version(spark):
         for x, y in ((a, e), (a, b)):
             assert merkle.likeness(merkle.fingerprint(x), merkle.fingerprint(y)) == pytest.approx(plain_likeness(x, y), abs=0.02)
     assert all(len(merkle.fingerprint(t)) <= 2 * len(t) + 200 for t in texts)
-    assert len(merkle.fingerprint("\n" * 100_000)) < 1000 and len(merkle.fingerprint("a\n" * 50_000)) < 200_000
+    assert len(merkle.fingerprint("\n" * 100_000)) < 10_000 and len(merkle.fingerprint("a\n" * 50_000)) < 200_000
+
+
+def test_pieces_of_any_length():
+    r = random.Random(7)
+    for _ in range(300):
+        text = "".join(r.choice(["d ", "a", "bcbcbc", " ", "é", "\n", "x" * 60]) for _ in range(r.randint(0, 60)))
+        paragraphs = merkle.PARAGRAPH.findall(text)
+        assert "".join(paragraphs) == text and all("".join(merkle.pieces_of(p, i == 0)) == p for i, p in enumerate(paragraphs))
+        sizes = [merkle.size_of(label) for label, _ in merkle.sections_of(merkle.fingerprint(text))]
+        assert sum(sizes) == len(text)
+    assert max(len(x) for n in range(40, 80) for x in merkle.pieces_of("x" * n + "d " * 40, False)) == merkle.LONGEST + 1
 
 
 def test_merkle_trees_locate_edits():
