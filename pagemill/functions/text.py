@@ -5,7 +5,7 @@ White space is Unicode's, as in `(?U)\\s`; letters and digits are Unicode's in `
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HANGUL = "\\uAC00-\\uD7A3"
@@ -54,15 +54,27 @@ def nonempty_lines(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029]"), strip), lambda x: x != "")
 
 
-def quality(text: Column, conf: Column) -> dict[str, Column]:
-    """Counts, ratios and scores of recognised text, and why it looks wrong. Ratios are rounded to 4 digits, reasons come first."""
-    t = strip(F.coalesce(text, F.lit("")))
-    chars, tokens = F.length(t) - count_space(t), F.when(t == "", 0).otherwise(F.size(F.split(t, r"(?U)\s+")))
-    alnum = count_chars(t, r"\p{L}\p{N}") / F.greatest(F.lit(1), chars)
-    symbols = count_chars(t, SUSPICIOUS) / F.greatest(F.lit(1), chars)
-    words = count(t, rf"[A-Za-z]{{2,}}|[{HANGUL}]{{2,}}") / F.greatest(F.lit(1), tokens)
-    score = clamp(F.lit(0.58) * alnum + F.lit(0.22) * words + F.lit(0.20) * (F.lit(1.0) - symbols), 0.0, 1.0)
-    low = conf.isNotNull() & (conf < 0.5)
+#: What `with_quality` adds.
+QUALITY = ("char_count", "token_count", "alnum_ratio", "symbol_ratio", "word_ratio", "hangul_count", "latin_count", "digit_count", "quality_score", "noise_score", "suspect", "suspect_reasons")
+
+
+def with_quality(df: DataFrame, text: Column, conf: Column) -> DataFrame:
+    """Counts, ratios and scores of recognised text, and why it looks wrong. Ratios are rounded to 4 digits after the reasons are found.
+
+    Each step only uses columns of the one before, so that the text is stripped and counted once however often counts are used.
+    """
+    t, own = F.col("_text"), df.columns
+    out = df.withColumns({"_text": strip(F.coalesce(text, F.lit(""))), "_low": F.coalesce(conf < 0.5, F.lit(False))})
+    out = out.withColumns({
+        "char_count": F.length(t) - count_space(t), "token_count": F.when(t == "", 0).otherwise(F.size(F.split(t, r"(?U)\s+"))),
+        "_alnum": count_chars(t, r"\p{L}\p{N}"), "_symbols": count_chars(t, SUSPICIOUS), "_words": count(t, rf"[A-Za-z]{{2,}}|[{HANGUL}]{{2,}}"),
+        "hangul_count": count_chars(t, HANGUL), "latin_count": count_chars(t, "A-Za-z"), "digit_count": count_chars(t, "0-9"),
+    })
+    chars, tokens = F.col("char_count"), F.col("token_count")
+    out = out.withColumns({"_alnum": F.col("_alnum") / F.greatest(F.lit(1), chars), "_symbols": F.col("_symbols") / F.greatest(F.lit(1), chars), "_words": F.col("_words") / F.greatest(F.lit(1), tokens)})
+    alnum, symbols, words, low = (F.col(c) for c in ("_alnum", "_symbols", "_words", "_low"))
+    out = out.withColumn("_score", clamp(F.lit(0.58) * alnum + F.lit(0.22) * words + F.lit(0.20) * (F.lit(1.0) - symbols), 0.0, 1.0))
+    score = F.col("_score")
     noise = clamp(F.lit(1.0) - score + F.lit(0.60) * symbols + F.when(low, 0.25).otherwise(0.0), 0.0, 2.0)
     reasons = F.array_compact(
         F.array(
@@ -72,11 +84,8 @@ def quality(text: Column, conf: Column) -> dict[str, Column]:
             F.when(low, "low_confidence"),
         )
     )
-    return {
-        "char_count": chars, "token_count": tokens, "alnum_ratio": F.round(alnum, 4), "symbol_ratio": F.round(symbols, 4), "word_ratio": F.round(words, 4),
-        "hangul_count": count_chars(t, HANGUL), "latin_count": count_chars(t, "A-Za-z"), "digit_count": count_chars(t, "0-9"),
-        "quality_score": F.round(score, 4), "noise_score": F.round(noise, 4), "suspect": F.size(reasons) > 0, "suspect_reasons": reasons,
-    }
+    out = out.withColumns({"alnum_ratio": F.round(alnum, 4), "symbol_ratio": F.round(symbols, 4), "word_ratio": F.round(words, 4), "quality_score": F.round(score, 4), "noise_score": F.round(noise, 4), "suspect_reasons": reasons})
+    return out.withColumn("suspect", F.size("suspect_reasons") > 0).select(*[c for c in own if c not in QUALITY], *QUALITY)
 
 
 def heuristic_score(c: Column) -> Column:

@@ -74,6 +74,56 @@ def suppress(df: DataFrame, threshold: float = 0.5, most: int | None = None) ->
     return pages.select("page_id", F.posexplode("kept").alias("rank", "b")).select("page_id", (F.col("rank") + 1).alias("rank"), "b.det_seq", *[f"b.{c}" for c in BOX])
 
 
+def merged(groups: list[DataFrame], threshold: float = 0.5, most: int = 400) -> DataFrame:
+    """Boxes of several sources without those that overlap a larger one; the largest `most` of a page. Ties go to the earlier source."""
+    every = None
+    for i, g in enumerate(groups):
+        some = g.select("page_id", F.struct(F.lit(i).alias("source"), F.col("det_seq").alias("seq")).alias("of"), *BOX)
+        every = some if every is None else every.unionByName(some)
+    numbered = every.withColumn("det_seq", F.row_number().over(Window.partitionBy("page_id").orderBy("of")))
+    return suppress(numbered, threshold, most).drop("det_seq")
+
+
+def detected(polygons: DataFrame, pages: DataFrame, *, min_area: float = 20.0, threshold: float = 0.4, most: int = 400) -> DataFrame:
+    """Boxes of a detector's polygons (page_id, det_seq, polygon): around them, kept on the page (page_id, width, height), without overlaps, the largest `most`."""
+    on = polygons_to_boxes(polygons, min_area=min_area).join(pages.select("page_id", "width", "height"), "page_id")
+
+    def inside(c: str, side: str) -> Column:
+        return F.greatest(F.lit(0.0), F.least(F.col(side).cast("double"), F.col(c)))
+
+    kept = on.withColumns({"x1": inside("x1", "width"), "y1": inside("y1", "height"), "x2": inside("x2", "width"), "y2": inside("y2", "height")}).where("x2 > x1 and y2 > y1")
+    return suppress(kept.select("page_id", "det_seq", *BOX), threshold, most)
+
+
+def plugin_boxes(found: dict[str, DataFrame], enabled: list[str], pages: DataFrame, **options: float) -> DataFrame:
+    """Boxes of the enabled plugins' polygons, in the order of `enabled`: plugin, rank within it, det_seq over all."""
+    every = None
+    for i, name in enumerate(enabled):
+        some = detected(found[name], pages, **options).select("page_id", F.lit(i).alias("_i"), F.lit(name).alias("plugin"), "rank", *BOX)
+        every = some if every is None else every.unionByName(some)
+    if every is None:
+        return pages.sparkSession.createDataFrame([], "page_id long, det_seq int, plugin string, rank int, x1 double, y1 double, x2 double, y2 double")
+    seq = F.row_number().over(Window.partitionBy("page_id").orderBy("_i", "rank"))
+    return every.select("page_id", seq.alias("det_seq"), "plugin", "rank", *BOX)
+
+
+def option_blocks(options: DataFrame, texts: DataFrame, markers: DataFrame, priority: tuple[str, ...] | None = None) -> DataFrame:
+    """idx, text, mark, markers and reason of each option box (page_id, det_seq, box).
+
+    The text is that of the same place (page_id, idx, text), empty where there are fewer texts than options. Marks come by the
+    first appearance of their label.
+    """
+    place = Window.partitionBy("page_id").orderBy("det_seq")
+    placed = options.select("page_id", "det_seq", *BOX).withColumn("idx", F.row_number().over(place))
+    order = marker_order(markers).select("page_id", F.col("det_seq").alias("marker_seq"), "rank")
+    held = centred_in(placed, markers.where(is_marker())).join(order, ["page_id", "marker_seq"], "left")
+    mark = F.when(F.col("marker").isNotNull(), F.struct("rank", mark_of(F.col("marker")).alias("mark")))
+    out = held.groupBy("page_id", "idx").agg(F.transform(F.array_sort(F.collect_list(mark)), lambda x: x["mark"]).alias("markers"))
+    final, reason = resolve_marks(F.col("markers"), priority or PRIORITY)
+    out = out.join(texts.select("page_id", "idx", "text"), ["page_id", "idx"], "left")
+    return out.select("page_id", "idx", F.coalesce("text", F.lit("")).alias("text"), final.alias("mark"), "markers", reason.alias("reason"))
+
+
 def lines(df: DataFrame, threshold: float = 0.5, by_centre: bool = False) -> DataFrame:
     """line_no and reading_rank (both from 1) of each box.
 
@@ -109,12 +159,16 @@ def centred_in(options: DataFrame, markers: DataFrame) -> DataFrame:
     return o.join(m, hold, "left").select("o.*", "marker_seq", "marker")
 
 
-def proximity(ax1: str, ay1: str, ax2: str, ay2: str, penalty: float = 260.0, overlap: float = 0.2) -> Column:
-    """Distance of a box's centre from an anchor's, and more if they hardly share a column."""
-    shared = F.greatest(F.lit(0.0), F.least(F.col(ax2), F.col("x2")) - F.greatest(F.col(ax1), F.col("x1")))
-    narrow = F.greatest(F.lit(1.0), F.least(F.col(ax2) - F.col(ax1), F.col("x2") - F.col("x1")))
-    gap = F.abs((F.col("y1") + F.col("y2")) / 2 - (F.col(ay1) + F.col(ay2)) / 2)
-    return gap + F.when(shared / narrow >= overlap, 0.0).otherwise(penalty)
+#: Boxes that share less of the narrower one's width are in different columns, and so much further apart (fixed values).
+SHARED, APART = 0.2, 260.0
+
+
+def proximity_of(anchor: Column, box: Column) -> Column:
+    """Distance of a box's centre from an anchor's, and more if they hardly share a column; both are structs."""
+    shared = F.greatest(F.lit(0.0), F.least(anchor["x2"], box["x2"]) - F.greatest(anchor["x1"], box["x1"]))
+    narrow = F.greatest(F.lit(1.0), F.least(anchor["x2"] - anchor["x1"], box["x2"] - box["x1"]))
+    gap = F.abs((box["y1"] + box["y2"]) / 2 - (anchor["y1"] + anchor["y2"]) / 2)
+    return gap + F.when(shared / narrow >= SHARED, 0.0).otherwise(APART)
 
 
 def is_marker() -> Column:
@@ -167,8 +221,15 @@ def choose_source(own: DataFrame, plugin: DataFrame, strategy: str) -> DataFrame
     return both.withColumns({"choice": tag, "_take": take}).where("_take").drop("_take")
 
 
-def fallback_grid(pages: DataFrame, columns: int = 2, rows: int = 4, margin: int = 8) -> DataFrame:
-    """columns x rows boxes of each page (page_id, width, height), numbered by row, then column; without empty ones."""
+def fallback_grid(pages: DataFrame, columns: int = 2, rows: int = 4, margin: int = 8, *, enabled: bool = True, mode: str = "columns") -> DataFrame:
+    """columns x rows boxes of each page (page_id, width, height), numbered by row, then column; without empty ones.
+
+    In mode `full` a page has one box, empty or not; disabled it has none.
+    """
+    if mode.lower() == "full" or not enabled:
+        whole = {"x1": F.lit(float(margin)), "y1": F.lit(float(margin)), "x2": (F.col("width") - margin).cast("double"), "y2": (F.col("height") - margin).cast("double")}
+        return pages.where(F.lit(enabled)).withColumns(whole).select("page_id", F.lit(1).alias("det_seq"), *BOX)
+    columns, rows = max(1, columns), max(1, rows)
     grid = pages.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
     w, h = F.col("width") / columns, F.col("height") / rows
 

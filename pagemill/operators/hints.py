@@ -1,15 +1,20 @@
 """Hints for a language model that corrects a page: what suspect lines and tokens probably read.
 
-Lines and tokens meet the page's own canonical lines and words only, so all joins are by page. Ties go to the first.
+Lines and tokens meet the page's own canonical lines and words only, which stand in the same row, so nothing is shuffled or
+joined here. The likeness of two strings is difflib's ratio; it runs on Arrow batches. Ties go to the first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions import text as T
-from .ranking import similarity
 
 #: Least confidence of unsuspected blocks and of canonical ones; least likeness of lines and of tokens.
 SURE, CANONICAL, LINE_LIKENESS, TOKEN_LIKENESS = 0.72, 0.8, 0.45, 0.62
@@ -27,84 +32,103 @@ RULES = (
 )
 
 
-def _first(df: DataFrame, *same: str) -> DataFrame:
-    """Of a page's rows that are the same, the first by `at`."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy("page_id", *same).orderBy("at"))).where("_n = 1").drop("_n")
+@F.pandas_udf(ArrayType(StructType([StructField("at", IntegerType()), StructField("ratio", DoubleType())])))
+def closest(some: pd.Series, known: pd.Series, band: pd.Series) -> pd.Series:
+    """For each string of a page the place (0-based) of the likest known one, the first of several, and the ratio.
 
+    Lengths of both may differ by `band` at most, unless it is negative. Without anything alike the place is null, the ratio 0.
+    """
 
-def _lines(df: DataFrame, text: str, least: int, *at: Column, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Lines whose key has `least` characters, with their place (at) and key."""
-    rows = df.select("page_id", *keep, *[c.alias(f"_{i}") for i, c in enumerate(at)], F.posexplode(T.nonempty_lines(F.col(text))).alias("_i", "line"))
-    place = F.struct(*[F.col(f"_{i}").cast("int").alias(f"p{i}") for i in range(len(at))], F.col("_i").alias("i"))
-    return rows.select("page_id", *keep, place.alias("at"), "line", T.normalised(F.col("line")).alias("key")).where(F.length("key") >= least)
+    def best(keys: list[str], others: list[str], most: int) -> list[dict]:
+        found = [(0.0, None)] * len(keys)
+        matcher = SequenceMatcher(None)
+        for at, other in enumerate(others):
+            matcher.set_seq2(other)
+            for i, key in enumerate(keys):
+                if most >= 0 and abs(len(key) - len(other)) > most:
+                    continue
+                matcher.set_seq1(key)
+                # upper bounds first: they cost little, and leave the result as it is
+                if matcher.real_quick_ratio() > found[i][0] and matcher.quick_ratio() > found[i][0] and (ratio := matcher.ratio()) > found[i][0]:
+                    found[i] = (ratio, at)
+        return [{"at": at, "ratio": ratio} for ratio, at in found]
 
+    return pd.Series([best(list(k), list(o), int(b)) for k, o, b in zip(some, known, band, strict=True)], dtype=object)
 
-def canonical_lines(diagnosed: DataFrame, questions: DataFrame) -> DataFrame:
-    """Lines of questions, then those of blocks that were recognised with confidence, each once by its key."""
-    asked = _lines(questions, "text", LINE, F.lit(0), F.col("question_no"))
-    own = _lines(diagnosed.where(F.col("conf") >= CANONICAL), "txt", OWN_LINE, F.lit(1), F.col("pos"))
-    return _first(asked.unionByName(own), "key")
 
+def _keyed(lines: Column, least: int) -> Column:
+    """Lines with their keys, if these have `least` characters."""
+    return F.filter(F.transform(lines, lambda x: F.struct(x.alias("line"), T.normalised(x).alias("key"))), lambda x: F.length(x["key"]) >= least)
 
-def lexicon(questions: DataFrame) -> DataFrame:
-    """Words of questions and their options, each once by its key."""
-    parts = questions.select("page_id", "question_no", F.posexplode(F.concat(F.array("text"), "option_candidates")).alias("part", "said"))
-    words = parts.select("page_id", "question_no", "part", F.posexplode(T.lexicon_tokens(F.col("said"))).alias("i", "line"))
-    keyed = words.select("page_id", F.struct("question_no", "part", "i").alias("at"), "line", T.normalised(F.col("line")).alias("key"))
-    return _first(keyed.where(F.length("key") >= 2), "key")
 
+def _first(rows: Column, same: Callable[[Column], Column]) -> Column:
+    """Of rows that are the same, the first."""
+    keys = F.transform(rows, same)
+    return F.filter(rows, lambda x, i: F.array_position(keys, same(x)) == i + 1)
 
-def closest(some: DataFrame, known: DataFrame, least: float, band: int | None = None) -> DataFrame:
-    """some (page_id, at, line, key) with the likest known row of the page: match, match_key and ratio (0 if there is none).
 
-    match is null where the likeness is below `least`.
-    """
-    numbered = known.select("page_id", F.col("line").alias("match"), F.col("key").alias("match_key"), F.row_number().over(Window.partitionBy("page_id").orderBy("at")).alias("_k"))
-    pairs = some.select("page_id", "at", "key").join(numbered, "page_id")
-    if band is not None:
-        pairs = pairs.where(F.abs(F.length("key") - F.length("match_key")) <= band)
-    scored = pairs.withColumn("ratio", similarity("key", "match_key"))
-    best = scored.groupBy("page_id", "at").agg(F.max_by(F.struct("match", "match_key", "ratio"), F.struct("ratio", -F.col("_k"))).alias("b"))
-    out = some.join(best, ["page_id", "at"], "left").withColumn("ratio", F.coalesce("b.ratio", F.lit(0.0)))
-    return out.withColumns({c: F.when(F.col("ratio") >= least, F.col(f"b.{c}")) for c in ("match", "match_key")}).drop("b")
+def _each(rows: Column, texts: Callable[[Column], Column]) -> Column:
+    return F.flatten(F.transform(rows, texts))
+
+
+def _matched(rows: str, found: str, known: str, least: float) -> Column:
+    """Rows with ratio, and with match and match_key where the ratio is high enough."""
 
+    def one(x: Column, i: Column) -> Column:
+        f = F.get(F.col(found), i)
+        match = F.when(f["ratio"] >= least, F.get(F.col(known), f["at"]))
+        return F.struct(x.alias("of"), match["line"].alias("match"), match["key"].alias("match_key"), F.round(f["ratio"], 4).alias("ratio"))
 
-def _listed(df: DataFrame, name: str, value: Column) -> DataFrame:
-    held = F.array_sort(F.collect_list(F.struct("at", value.alias("value"))))
-    return df.groupBy("page_id").agg(F.transform(F.slice(held, 1, MOST[name]), lambda x: x["value"]).alias(name))
+    return F.transform(F.col(rows), one)
 
 
-def cleanup_hints(diagnosed: DataFrame, questions: DataFrame) -> DataFrame:
-    """page_id and hints (JSON) of each page of diagnosed blocks.
+def _listed(name: str, rows: Column, **fields: Callable[[Column], Column]) -> Column:
+    return F.transform(F.slice(rows, 1, MOST[name]), lambda x: F.struct(*[f(x).alias(k) for k, f in fields.items()])).alias(name)
 
-    diagnosed: page_id, pos, block_id, txt, conf, suspect. questions: page_id, question_no, text, option_candidates. A block
-    without confidence is suspect. Pages without suspect blocks have empty lists.
+
+def hints(of: DataFrame) -> DataFrame:
+    """of with the column hints (a struct). of: `questions.pages` of diagnosed blocks, which have the column suspect.
+
+    A block without confidence is suspect. Pages without suspect blocks have empty lists. Canonical lines are those of
+    questions, then those of blocks that were recognised with confidence, each once by its key.
     """
-    suspect = diagnosed.where(F.col("suspect") | (F.coalesce("conf", F.lit(0.0)) < SURE))
-    known = canonical_lines(diagnosed, questions)
-    lines = closest(_lines(suspect, "txt", LINE, F.col("pos"), keep=("block_id",)), known, LINE_LIKENESS)
-    rewritten = _first(lines.where("match is not null and match_key <> key"), "key", "match_key")
-    open_lines = _first(lines.where("match is null"), "block_id", "key")
-
-    found = suspect.select("page_id", "pos", F.posexplode(T.noisy_tokens(F.col("txt"))).alias("i", "line"))
-    noisy = _first(found.select("page_id", F.struct("pos", "i").alias("at"), "line", F.lower("line").alias("low")), "low").drop("low")
-    rank = F.row_number().over(Window.partitionBy("page_id").orderBy("at"))
-    noisy = noisy.withColumn("_n", rank).where(F.col("_n") <= TOKENS).drop("_n").withColumn("key", T.normalised(F.col("line"))).where(F.length("key") >= 2)
-    tokens = closest(noisy, lexicon(questions), TOKEN_LIKENESS, BAND)
-
-    likeness = F.round("ratio", 4)
-    blocks = suspect.select("page_id", F.struct("pos").alias("at"), "block_id")
-    parts = (
-        _listed(blocks, "suspect_block_ids", F.col("block_id")),
-        _listed(rewritten, "rewrite_hints", F.struct("block_id", F.col("line").alias("raw_line"), F.col("match").alias("suggested_line"), likeness.alias("similarity"))),
-        _listed(tokens.where("match is not null and match_key <> key"), "token_replacements", F.struct(F.col("line").alias("raw_token"), F.col("match").alias("suggested_token"), likeness.alias("similarity"))),
-        _listed(open_lines, "unresolved_lines", F.struct("block_id", F.col("line").alias("raw_line"), likeness.alias("best_similarity"))),
-        _listed(tokens.where("match is null"), "unresolved_tokens", F.struct(F.col("line").alias("raw_token"), likeness.alias("best_similarity"))),
-        _listed(known, "canonical_lines", F.col("line")),
+    suspects = F.filter("blocks", lambda b: b["suspect"] | (F.coalesce(b["conf"], F.lit(0.0)) < SURE))
+    page = of.withColumn("_suspects", suspects)
+    asked = _keyed(_each(F.col("questions"), lambda q: T.nonempty_lines(q["text"])), LINE)
+    sure = F.filter("blocks", lambda b: b["conf"] >= CANONICAL)
+    own = _keyed(_each(sure, lambda b: T.nonempty_lines(b["txt"])), OWN_LINE)
+    words = _each(F.col("questions"), lambda q: _each(F.concat(F.array(q["text"]), q["option_candidates"]), T.lexicon_tokens))
+    page = page.withColumns({
+        "_known": F.concat(asked, own), "_words": _keyed(words, 2),
+        "_lines": _each(F.col("_suspects"), lambda b: F.transform(_keyed(T.nonempty_lines(b["txt"]), LINE), lambda x: F.struct(b["block_id"].alias("block_id"), x["line"].alias("line"), x["key"].alias("key")))),
+        "_tokens": F.transform(_each(F.col("_suspects"), lambda b: T.noisy_tokens(b["txt"])), lambda x: F.struct(x.alias("line"), F.lower(x).alias("low"))),
+    })
+    key = lambda x: x["key"]
+    noisy = F.slice(_first(F.col("_tokens"), lambda x: x["low"]), 1, TOKENS)
+    page = page.withColumns({"_known": _first(F.col("_known"), key), "_words": _first(F.col("_words"), key), "_tokens": _keyed(F.transform(noisy, lambda x: x["line"]), 2)})
+    page = page.withColumns({
+        "_like": closest(F.transform("_lines", key), F.transform("_known", key), F.lit(-1)),
+        "_like_token": closest(F.transform("_tokens", key), F.transform("_words", key), F.lit(BAND)),
+    })
+    page = page.withColumns({"_lines": _matched("_lines", "_like", "_known", LINE_LIKENESS), "_tokens": _matched("_tokens", "_like_token", "_words", TOKEN_LIKENESS)})
+    found, missed = F.filter("_lines", lambda x: x["match"].isNotNull()), F.filter("_lines", lambda x: x["match"].isNull())
+    rewritten = _first(F.filter(found, lambda x: x["match_key"] != x["of"]["key"]), lambda x: F.struct(x["of"]["key"], x["match_key"]))
+    open_lines = _first(missed, lambda x: F.struct(x["of"]["block_id"], x["of"]["key"]))
+    replaced = F.filter("_tokens", lambda x: x["match_key"] != x["of"]["key"])
+    open_tokens = F.filter("_tokens", lambda x: x["match"].isNull())
+    block, line, match, ratio = (lambda x: x["of"]["block_id"]), (lambda x: x["of"]["line"]), (lambda x: x["match"]), (lambda x: x["ratio"])
+    body = F.struct(
+        F.array(*map(F.lit, RULES)).alias("rules"),
+        F.transform(F.slice("_suspects", 1, MOST["suspect_block_ids"]), lambda b: b["block_id"]).alias("suspect_block_ids"),
+        _listed("rewrite_hints", rewritten, block_id=block, raw_line=line, suggested_line=match, similarity=ratio),
+        _listed("token_replacements", replaced, raw_token=line, suggested_token=match, similarity=ratio),
+        _listed("unresolved_lines", open_lines, block_id=block, raw_line=line, best_similarity=ratio),
+        _listed("unresolved_tokens", open_tokens, raw_token=line, best_similarity=ratio),
+        F.transform(F.slice("_known", 1, MOST["canonical_lines"]), lambda x: x["line"]).alias("canonical_lines"),
     )
-    out = diagnosed.select("page_id").distinct()
-    for part in parts:
-        out = out.join(part, "page_id", "left")
-    names = [p.columns[1] for p in parts]
-    body = F.struct(F.array(*map(F.lit, RULES)).alias("rules"), *[F.coalesce(n, F.array().cast(out.schema[n].dataType)).alias(n) for n in names])
-    return out.select("page_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("hints"))
+    return page.select(*of.columns, body.alias("hints"))
+
+
+def cleanup_hints(of: DataFrame) -> DataFrame:
+    """page_id and hints (JSON) of each page; see `hints`."""
+    return hints(of).select("page_id", F.to_json("hints", {"ignoreNullFields": "false"}).alias("hints"))

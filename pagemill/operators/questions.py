@@ -10,6 +10,8 @@ from . import geometry
 
 #: An option text further than this from every question belongs to none.
 FARTHEST = 520.0
+#: A question is anchored by a block whose id has three digits; blocks further down anchor none.
+LAST_ANCHOR = 999
 
 
 def ordered(value: Column, *by: str) -> Column:
@@ -23,57 +25,74 @@ def pieces(blocks: DataFrame) -> DataFrame:
     return found.select("page_id", "pos", "conf", "nth", F.col("p.number").alias("question_no"), F.col("p.text").alias("piece")).where("piece <> ''")
 
 
-def chunks(blocks: DataFrame) -> DataFrame:
-    """Questions of each page: joined text, block ids, least confidence, options (each once, case counts) and context.
+BLOCK = ("pos", "conf", "txt", *geometry.BOX)
+
+
+def pages(blocks: DataFrame, *more: str) -> DataFrame:
+    """A row for each page: its blocks in order (with block_id, and `more` columns) and its questions.
 
-    Options of a block that begins no question go to the nearest question's, by the first block of the question, unless all
-    are too far; a block that begins several questions gives its options to the last.
+    A block is read once, for its pieces and options; what blocks of a page have to do with each other is then told from the
+    page's own arrays, so there is one shuffle and no join. Questions come by number: joined text, block ids, least confidence,
+    options (each once, case counts) and context. Options of a block that begins no question go to the nearest question's, by
+    the first block of the question, unless all are too far; a block that begins several questions gives its options to the
+    last.
     """
-    p = pieces(blocks).withColumn("options", T.option_candidates(F.col("piece")))
-    merged = p.groupBy("page_id", "question_no").agg(
-        T.strip(F.array_join(ordered(F.col("piece"), "pos", "nth"), "\n")).alias("text"),
-        F.array_distinct(ordered(F.col("pos"), "pos", "nth")).alias("positions"),
-        F.min("conf").alias("confidence_min"),
-        F.flatten(ordered(F.col("options"), "pos", "nth")).alias("own_options"),
-        F.min("pos").alias("anchor"),
-        F.min(F.struct("pos", "nth")).alias("first_seen"),
-    )
-    # a question's rank by first appearance; the last of those of a block owns it
-    seen = Window.partitionBy("page_id").orderBy("first_seen")
-    merged = merged.withColumn("seen", F.row_number().over(seen))
-    owners = merged.select("page_id", "question_no", "seen", F.explode("positions").alias("pos")).groupBy("page_id", "pos").agg(F.max_by("question_no", "seen").alias("owner"))
-    offers = blocks.withColumn("options", T.option_candidates(F.col("txt"))).where(F.size("options") > 0)
-    offers = offers.join(owners, ["page_id", "pos"], "left")
-    anchors = merged.join(blocks.select("page_id", F.col("pos").alias("anchor"), *[F.col(c).alias(f"a_{c}") for c in geometry.BOX]), ["page_id", "anchor"]).where("anchor <= 999")
-    near = offers.where("owner is null").join(anchors.select("page_id", "question_no", "seen", *[f"a_{c}" for c in geometry.BOX]), "page_id")
-    near = near.withColumn("cost", geometry.proximity(*[f"a_{c}" for c in geometry.BOX])).groupBy("page_id", "pos").agg(F.min(F.struct("cost", "seen", "question_no")).alias("best"))
-    near = near.where(F.col("best.cost") <= FARTHEST).select("page_id", "pos", F.col("best.question_no").alias("nearest"))
-    given = offers.join(near, ["page_id", "pos"], "left").withColumn("question_no", F.coalesce("owner", "nearest")).where("question_no is not null")
-    given = given.groupBy("page_id", "question_no").agg(F.flatten(ordered(F.col("options"), "pos")).alias("more_options"), ordered(T.strip(F.col("txt")), "pos").alias("more_context"))
-    out = merged.join(given, ["page_id", "question_no"], "left")
-    none = F.array().cast("array<string>")
-    return out.select(
-        "page_id", "question_no", "text",
-        F.transform("positions", lambda x: T.block_id(x)).alias("block_ids"),
-        "confidence_min",
-        F.array_distinct(F.concat("own_options", F.coalesce("more_options", none))).alias("option_candidates"),
-        T.strip(F.array_join(F.concat(F.array("text"), F.coalesce("more_context", none)), "\n")).alias("context_text"),
-    )
+    read = blocks.select("page_id", *BLOCK, *more, T.block_id(F.col("pos")).alias("block_id"), T.strip(F.col("txt")).alias("stripped"))
+    read = read.withColumn("pieces", F.when(F.col("stripped") != "", T.question_pieces(F.col("stripped"))).otherwise(F.array().cast("array<struct<number:int,text:string>>")))
+    said = F.transform("pieces", lambda p: F.struct(p["number"].alias("number"), p["text"].alias("text"), T.option_candidates(p["text"]).alias("options")))
+    read = read.withColumns({"pieces": F.filter(said, lambda p: p["text"] != ""), "options": T.option_candidates(F.col("txt"))})
+    held = read.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in read.columns if c not in ("page_id", "pos")]))).alias("blocks"))
+    found = F.flatten(F.transform("blocks", lambda b: F.transform(b["pieces"], lambda p: F.struct(b["pos"].alias("pos"), b["block_id"].alias("block_id"), b["conf"].alias("conf"), p["number"].alias("number"), p["text"].alias("text"), p["options"].alias("options")))))
+    held = held.withColumn("_pieces", found).withColumn("_numbers", F.array_distinct(F.transform("_pieces", lambda p: p["number"])))  # by first appearance
+    anchors = F.transform("_numbers", lambda n: F.filter("blocks", lambda b: F.exists(b["pieces"], lambda p: p["number"] == n))[0])
+    held = held.withColumn("_anchors", anchors)
+
+    def nearest(b: Column) -> Column:
+        """The least cost first, then the question seen first."""
+        costs = F.transform("_anchors", lambda a, i: F.struct(F.when(a["pos"] <= LAST_ANCHOR, geometry.proximity_of(a, b)).alias("cost"), i.alias("i")))
+        best = F.array_min(F.filter(costs, lambda c: c["cost"].isNotNull()))
+        return F.when(best["cost"] <= FARTHEST, F.get("_numbers", best["i"]))
+
+    def owner(b: Column) -> Column:
+        """Of the questions that the block begins, the one seen last."""
+        seen = F.array_max(F.transform(b["pieces"], lambda p: F.array_position("_numbers", p["number"]))).cast("int")
+        return F.when(F.size(b["pieces"]) > 0, F.get("_numbers", seen - 1)).otherwise(nearest(b))
+
+    offers = F.transform(F.filter("blocks", lambda b: F.size(b["options"]) > 0), lambda b: F.struct(owner(b).alias("number"), b["options"].alias("options"), b["stripped"].alias("text")))
+    held = held.withColumn("_offers", offers)
+
+    def question(n: Column) -> Column:
+        own = F.filter("_pieces", lambda p: p["number"] == n)
+        given = F.filter("_offers", lambda o: o["number"] == n)
+        text = T.strip(F.array_join(F.transform(own, lambda p: p["text"]), "\n"))
+        return F.struct(
+            n.alias("question_no"), text.alias("text"), F.array_distinct(F.transform(own, lambda p: p["block_id"])).alias("block_ids"), F.array_min(F.transform(own, lambda p: p["conf"])).alias("confidence_min"),
+            F.array_distinct(F.concat(F.flatten(F.transform(own, lambda p: p["options"])), F.flatten(F.transform(given, lambda o: o["options"])))).alias("option_candidates"),
+            T.strip(F.array_join(F.concat(F.array(text), F.transform(given, lambda o: o["text"])), "\n")).alias("context_text"),
+        )
+
+    asked = F.transform(F.array_sort("_numbers"), question)
+    return held.select("page_id", "blocks", asked.alias("questions"))
 
 
-def compose(blocks: DataFrame, questions: DataFrame) -> DataFrame:
-    """A page's text: its questions and what no question took, or all blocks if it has no question; with the coverage."""
-    filled = blocks.withColumn("t", T.strip(F.col("txt"))).where("t <> ''")
-    taken = questions.select("page_id", F.explode("block_ids").alias("block_id")).distinct().withColumn("taken", F.lit(True))
-    filled = filled.withColumn("block_id", T.block_id(F.col("pos"))).join(taken, ["page_id", "block_id"], "left")
-    dump = filled.groupBy("page_id").agg(
-        F.array_join(ordered(F.col("t"), "pos"), "\n").alias("page_dump_text"),
-        F.array_compact(ordered(F.when(F.col("taken").isNull(), F.col("block_id")), "pos")).alias("uncaptured_block_ids"),
-        F.array_compact(ordered(F.when(F.col("taken").isNull(), F.col("t")), "pos")).alias("rest"),
+def chunks(blocks: DataFrame) -> DataFrame:
+    """Questions of each page; see `pages`."""
+    return pages(blocks).select("page_id", F.explode("questions").alias("q")).select("page_id", "q.*")
+
+
+def compose(of: DataFrame) -> DataFrame:
+    """A page's text: its questions and what no question took, or all blocks if it has no question; with the coverage. of: `pages`."""
+    taken = F.array_distinct(F.flatten(F.transform("questions", lambda q: q["block_ids"])))
+    every = of.withColumn("_taken", taken).withColumn("_filled", F.filter("blocks", lambda b: b["stripped"] != ""))
+    every = every.withColumn("_rest", F.filter("_filled", lambda b: ~F.array_contains("_taken", b["block_id"])))
+    asked = F.filter("questions", lambda q: T.strip(q["text"]) != "")
+    every = every.select(
+        "page_id",
+        F.array_join(F.transform("_filled", lambda b: b["stripped"]), "\n").alias("page_dump_text"),
+        F.array_join(F.transform(asked, lambda q: q["text"]), "\n\n").alias("question_chunk_text"),
+        F.transform("_rest", lambda b: b["block_id"]).alias("uncaptured_block_ids"),
+        F.transform("_rest", lambda b: b["stripped"]).alias("rest"),
     )
-    asked = questions.where(T.strip(F.col("text")) != "").groupBy("page_id").agg(F.array_join(ordered(F.col("text"), "question_no"), "\n\n").alias("question_chunk_text"))
-    every = blocks.select("page_id").distinct().join(dump, "page_id", "left").join(asked, "page_id", "left")
-    every = every.withColumns({"page_dump_text": F.coalesce("page_dump_text", F.lit("")), "question_chunk_text": F.coalesce("question_chunk_text", F.lit("")), "rest": F.coalesce("rest", F.array().cast("array<string>")), "uncaptured_block_ids": F.coalesce("uncaptured_block_ids", F.array().cast("array<string>"))})
     solid = [T.count(F.col(c), r"(?U)\S") for c in ("question_chunk_text", "page_dump_text")]
     asked_any, rest = F.col("question_chunk_text") != "", F.size("rest") > 0
     mode = F.when(asked_any & rest, "hybrid").when(asked_any, "question_chunks").otherwise("page_dump")
@@ -83,8 +102,7 @@ def compose(blocks: DataFrame, questions: DataFrame) -> DataFrame:
 
 def diagnose(blocks: DataFrame) -> DataFrame:
     """Quality of each block, with what its size and numbers add to noise and reasons."""
-    q = T.quality(F.col("txt"), F.col("conf"))
-    out = blocks.withColumns({k: v for k, v in q.items() if k != "suspect"}).withColumn("question_numbers", T.question_numbers(F.col("txt"))).withColumn("box_area", geometry.area())
+    out = T.with_quality(blocks, F.col("txt"), F.col("conf")).withColumn("question_numbers", T.question_numbers(F.col("txt"))).withColumn("box_area", geometry.area())
     several = F.size("question_numbers") > 1
     large = (F.col("box_area") > 250000) & (F.col("char_count") > 80) & (F.size("question_numbers") == 0)
     over = F.col("char_count") > 180
@@ -100,11 +118,34 @@ def worst(diagnosed: DataFrame, most: int = 12) -> DataFrame:
     return diagnosed.where("suspect").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def page_report(diagnosed: DataFrame, composed: DataFrame, most: int = 12) -> DataFrame:
+    """A row for each page of what `diagnose` and `compose` say: counts, numbers, texts, the blocks, and the `most` noisiest suspect ones."""
+    block = F.struct("pos", "block_id", *geometry.BOX, F.round("box_area", 2).alias("box_area"), "conf", "question_numbers", F.col("txt").alias("text"), "text_preview", *T.QUALITY)
+    noisy = F.when(F.col("suspect"), F.struct((-F.col("noise_score")).alias("less"), "pos", "block_id", "noise_score", "quality_score", "suspect_reasons", "question_numbers", "text_preview"))
+    by_page = diagnosed.groupBy("page_id").agg(
+        F.count("*").alias("box_count"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("question_numbers")))).alias("detected_question_numbers"),
+        F.array_sort(F.collect_list(block)).alias("box_diagnostics"),
+        F.transform(F.slice(F.array_sort(F.collect_list(noisy)), 1, most), lambda x: x.dropFields("less", "pos")).alias("suspect_boxes"),
+    )
+    asked = F.size(F.filter(F.split("question_chunk_text", "\n\n"), lambda x: T.strip(x) != ""))
+    return by_page.join(composed, "page_id").select(
+        "page_id", F.col("mode").alias("selected_mode"), F.round("coverage_ratio", 4).alias("coverage_ratio"), asked.alias("question_chunk_count"), "box_count", "uncaptured_block_ids",
+        "detected_question_numbers", "selected_text", "question_chunk_text", "page_dump_text", "box_diagnostics", "suspect_boxes",
+    )
+
+
 def with_formulas(regions: DataFrame, prefix: str = "FORMULA") -> DataFrame:
-    """Texts of a page in reading order, formulas as numbered placeholders; regions has kind, text and box."""
+    """Texts of a page in reading order, formulas as numbered placeholders with a map to their boxes; regions has kind, text and box."""
     placed = regions.join(geometry.lines(regions), ["page_id", "det_seq"])
     order = Window.partitionBy("page_id").orderBy("reading_rank").rowsBetween(Window.unboundedPreceding, 0)
-    number = F.sum((F.col("kind") == "formula").cast("int")).over(order)
+    is_formula = F.col("kind") == "formula"
+    number = F.sum(is_formula.cast("int")).over(order)
     token = F.concat(F.lit(f"[{prefix}_"), number.cast("string"), F.lit("]"))
-    said = placed.withColumn("piece", F.when(F.col("kind") == "formula", token).otherwise(T.strip(F.coalesce("text", F.lit(""))))).where("piece <> ''")
-    return said.groupBy("page_id").agg(F.array_join(ordered(F.col("piece"), "reading_rank"), "\n").alias("merged_text"), F.count(F.when(F.col("kind") == "formula", 1)).alias("formula_count"))
+    said = placed.withColumn("piece", F.when(is_formula, token).otherwise(T.strip(F.coalesce("text", F.lit(""))))).where("piece <> ''")
+    formula = F.when(is_formula, F.struct("reading_rank", F.col("piece").alias("key"), F.array(*geometry.BOX).alias("value")))
+    return said.groupBy("page_id").agg(
+        F.array_join(ordered(F.col("piece"), "reading_rank"), "\n").alias("merged_text"),
+        F.count(F.when(is_formula, 1)).alias("formula_count"),
+        F.map_from_entries(F.transform(F.array_sort(F.collect_list(formula)), lambda x: F.struct(x["key"], x["value"]))).alias("formula_map"),
+    )

@@ -43,11 +43,12 @@ def consensus(candidates: DataFrame, by_value: bool = False) -> DataFrame:
 
 def rank(candidates: DataFrame, consensus_column: str | None = "consensus") -> DataFrame:
     """composite and rank of each candidate; the composite is rounded to 4 digits before ranking, the earliest wins ties."""
-    q = T.quality(F.col("text"), F.coalesce("conf", F.lit(0.0)))
     agree = F.col(consensus_column) if consensus_column else F.lit(0.0)
-    score = T.heuristic_score(F.col("text"))
-    composite = F.round(score + agree * 4.5 + F.coalesce("conf", F.lit(0.0)) * 10.0 + q["quality_score"] * 8.0 - q["noise_score"] * 3.0, 4)
-    out = candidates.withColumns({"score": F.round(score, 4), "quality_score": q["quality_score"], "noise_score": q["noise_score"], "composite": composite})
+    conf = F.coalesce("conf", F.lit(0.0))
+    out = T.with_quality(candidates, F.col("text"), conf).drop(*[c for c in T.QUALITY if c not in ("quality_score", "noise_score")])
+    out = out.withColumn("_score", T.heuristic_score(F.col("text")))
+    composite = F.round(F.col("_score") + agree * 4.5 + conf * 10.0 + F.col("quality_score") * 8.0 - F.col("noise_score") * 3.0, 4)
+    out = out.withColumns({"score": F.round("_score", 4), "composite": composite}).drop("_score")
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("page_id", "box_id").orderBy(F.desc("composite"), "cand_seq")))
 
 

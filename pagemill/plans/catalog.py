@@ -32,6 +32,11 @@ def query(sql: str | None = None):
 _BOX = "page_id, det_seq, x1, y1, x2, y2"
 
 
+def _id(pos: str) -> str:
+    """Three digits at least; lpad alone would cut longer numbers."""
+    return f"'b' || lpad(cast({pos} as varchar), cast(greatest(3, len(cast({pos} as varchar))) as int), '0')"
+
+
 # -- boxes --------------------------------------------------------------------------------------------------------------
 
 
@@ -263,9 +268,8 @@ qe as (select *, greatest(cast(0 as double), least(cast(2 as double), cast(1 as
 
 @query(f"with {_quality_sql('documents', 'doc_id', 'text', '(doc_id % 10) / 10.0')} select doc_id, chars as char_count, tokens as token_count, {_r4('a')} as alnum_ratio, {_r4('s')} as symbol_ratio, {_r4('w')} as word_ratio, latin_count, digit_count, {_r4('q')} as quality_score, {_r4('z')} as noise_score, reasons <> '' as suspect, reasons as suspect_reasons from qe")
 def text_quality(spark, sf):
-    q = T.quality(F.col("text"), (F.col("doc_id") % 10) / 10.0)
-    q.pop("hangul_count")
-    return table(spark, sf, "documents").select("doc_id", *[(F.array_join(v, ",") if k == "suspect_reasons" else v).alias(k) for k, v in q.items()])
+    out = T.with_quality(table(spark, sf, "documents").select("doc_id", "text"), F.col("text"), (F.col("doc_id") % 10) / 10.0)
+    return out.drop("text", "hangul_count").withColumn("suspect_reasons", F.array_join("suspect_reasons", ","))
 
 
 @query(f"""with s as (select doc_id, ({_n('text', '[\\p{L}\\p{N}]')} + cast(0.3 as double) * {_n('text', '[\\s]')}) - cast(0.5 as double) * {_n('text', '[@#$%^&*<>]')} + cast(0.01 as double) * length(text) as score, case when doc_id % 3 = 0 then null else (doc_id % 13) / 10.0 end as native from documents),
@@ -288,7 +292,7 @@ def text_roles(spark, sf):
 
 
 @query(f"""{WITH} select page_id, pos, lower(regexp_replace(regexp_replace(txt, '^\\s*[0-9]{{1,3}}[.,]\\s*', ''), '[^0-9A-Za-z가-힣]', '', 'g')) as normalised,
- regexp_replace(lower(trim(txt)), '\\s+', ' ', 'g') as compact, regexp_replace(lower(txt), '[^0-9A-Za-z가-힣]+', '', 'g') as answer_key, substr(txt, 1, 12) as preview, 'b' || lpad(cast(pos as varchar), 3, '0') as block_id,
+ regexp_replace(lower(trim(txt)), '\\s+', ' ', 'g') as compact, regexp_replace(lower(txt), '[^0-9A-Za-z가-힣]+', '', 'g') as answer_key, substr(txt, 1, 12) as preview, {_id('pos')} as block_id,
  translate(txt, '/ ', '__') as stage_name from wb_blocks""")
 def text_keys(spark, sf):
     t = F.col("txt")
@@ -301,10 +305,9 @@ def text_lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(lines).alias("n"), F.get(lines, 0).alias("first_line"))
 
 
-@query("""with l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as lines from documents), u as (select doc_id, unnest(lines) as text, unnest(range(1, len(lines) + 1)) as i from l)
-select doc_id, 'b' || lpad(cast(i as varchar), 3, '0') as id, text from u where i <= 999""")
+@query(f"""with l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as lines from documents), u as (select doc_id, unnest(lines) as text, unnest(range(1, len(lines) + 1)) as i from l)
+select doc_id, {_id('i')} as id, text from u""")
 def line_blocks(spark, sf):
-    """All lines; the SQL stops at a document's 999th, so the two differ where a document has more."""
     out = table(spark, sf, "documents").select("doc_id", F.explode(documents.blocks_of_lines(F.col("text"))).alias("b"))
     return out.select("doc_id", "b.id", "b.text")
 
@@ -329,7 +332,7 @@ def question_pieces(spark, sf):
 
 _MERGED = f"""{_PIECES},
 qm as (select page_id, question_no, string_agg(piece, chr(10) order by pos, nth) as text, min(conf) as confidence_min, min(pos) as anchor from pc group by page_id, question_no),
-qi as (select page_id, question_no, string_agg('b' || lpad(cast(pos as varchar), 3, '0'), ',' order by pos) as block_ids from (select distinct page_id, question_no, pos from pc) d group by page_id, question_no)"""
+qi as (select page_id, question_no, string_agg({_id('pos')}, ',' order by pos) as block_ids from (select distinct page_id, question_no, pos from pc) d group by page_id, question_no)"""
 
 
 def _placed(spark, sf) -> DataFrame:
@@ -343,9 +346,39 @@ def question_chunks(spark, sf):
     return questions.chunks(_placed(spark, sf)).select("page_id", "question_no", "text", F.array_join("block_ids", ",").alias("block_ids"), "confidence_min")
 
 
-@query()
+def _options_sql(name: str, source: str, keys: str, text: str) -> str:
+    """A list l of alternatives inside brackets for each row of source, in clauses that begin with the name."""
+    found = [rf"regexp_extract_all({text}, '{p}', 1)" for p in (r"\[([^\[\]\n]{{2,120}})[\]}}]", r"\{{([^{{}}\n]{{2,120}})[}}\]]", r"\(([^()\n]{{2,120}})\)")]
+    found = [x.replace("{{", "{").replace("}}", "}") for x in found]
+
+    def parts(pattern: str) -> str:
+        return f"list_filter(list_transform(regexp_split_to_array(g, '{pattern}'), lambda x: trim(x)), lambda x: x <> '')"
+
+    signs, words = parts(r"\s*[,|/·ㆍ]\s*"), parts(r"\s+(?:or|OR|또는)\s+")
+    split = f"case when len({signs}) >= 2 then {signs} when len({words}) >= 2 then {words} else [] end"
+    quotes = "['\"“”‘’`]+".replace("'", "''")
+    compact = r"lower(regexp_replace(trim({0}), '\s+', ' ', 'g'))"
+    return f"""
+{name}_a as (select {keys}, list_filter(list_transform(list_concat({found[0]}, list_concat({found[1]}, {found[2]})), lambda g: trim(g)), lambda g: g <> '' and not regexp_matches(g, '^[0-9]+[.)]?$')) as gs from {source}),
+{name}_b as (select {keys}, list_filter(list_transform(flatten(list_transform(gs, lambda g: {split})), lambda x: regexp_replace(x, '^{quotes}|{quotes}$', '', 'g')), lambda x: x <> '') as l from {name}_a),
+{name}_c as (select {keys}, l, list_transform(l, lambda x: {compact.format('x')}) as k from {name}_b),
+{name} as (select {keys}, list_filter(l, lambda x, i: list_position(k, {compact.format('x')}) = i) as l from {name}_c)"""
+
+
+@query(f"""{WITH}, {_MERGED}, {_options_sql('po', 'pc', 'page_id, pos, nth, question_no', 'piece')}, {_options_sql('bo', 'wb_blocks', 'page_id, pos, txt', 'txt')},
+sn as (select page_id, question_no, min(pos) as anchor, row_number() over (partition by page_id order by min(pos * 1000 + nth)) as seen from pc group by page_id, question_no),
+ow as (select p.page_id, p.pos, arg_max(p.question_no, s.seen) as owner from pc p join sn s using (page_id, question_no) group by p.page_id, p.pos),
+fr as (select o.page_id, o.pos, b.x1, b.y1, b.x2, b.y2 from bo o left join ow on ow.page_id = o.page_id and ow.pos = o.pos join wb_boxes b on b.page_id = o.page_id and b.det_seq = o.pos where ow.owner is null and len(o.l) > 0),
+co as (select f.page_id, f.pos, s.question_no, s.seen, abs((f.y1 + f.y2) / 2 - (a.y1 + a.y2) / 2) + case when greatest(0.0, least(a.x2, f.x2) - greatest(a.x1, f.x1)) / greatest(1.0, least(a.x2 - a.x1, f.x2 - f.x1)) >= 0.2 then 0 else 260 end as cost
+ from fr f join sn s on s.page_id = f.page_id and s.anchor <= 999 join wb_boxes a on a.page_id = s.page_id and a.det_seq = s.anchor),
+nr as (select page_id, pos, question_no from (select *, row_number() over (partition by page_id, pos order by cost, seen) as k from co) t where k = 1 and cost <= 520),
+gi as (select o.page_id, coalesce(ow.owner, nr.question_no) as question_no, o.pos, o.l, trim(o.txt) as t from bo o left join ow on ow.page_id = o.page_id and ow.pos = o.pos left join nr on nr.page_id = o.page_id and nr.pos = o.pos where len(o.l) > 0),
+gs as (select page_id, question_no, flatten(list(l order by pos)) as l, string_agg(t, chr(10) order by pos) as t from gi where question_no is not null group by page_id, question_no),
+os as (select page_id, question_no, flatten(list(l order by pos, nth)) as l from po group by page_id, question_no),
+al as (select q.page_id, q.question_no, list_concat(os.l, coalesce(gs.l, [])) as l, trim(q.text) || coalesce(chr(10) || gs.t, '') as context_text from qm q join os using (page_id, question_no) left join gs using (page_id, question_no))
+select page_id, question_no, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') as options, context_text from al""")
 def question_options(spark, sf):
-    """Options and context, with the nearest question's; tests hold them against a plain version."""
+    """Options and context, with those of the blocks that are nearest."""
     out = questions.chunks(_placed(spark, sf))
     return out.select("page_id", "question_no", F.array_join("option_candidates", "|").alias("options"), "context_text")
 
@@ -353,15 +386,14 @@ def question_options(spark, sf):
 @query(f"""{WITH}, {_MERGED},
 tk as (select distinct page_id, pos from pc),
 bl as (select w.page_id, w.pos, trim(w.txt) as t, tk.pos is not null as taken from wb_blocks w left join tk on tk.page_id = w.page_id and tk.pos = w.pos where trim(w.txt) <> ''),
-du as (select page_id, string_agg(t, chr(10) order by pos) as dump, string_agg(t, chr(10) order by pos) filter (where not taken) as rest, string_agg('b' || lpad(cast(pos as varchar), 3, '0'), ',' order by pos) filter (where not taken) as ids from bl group by page_id),
+du as (select page_id, string_agg(t, chr(10) order by pos) as dump, string_agg(t, chr(10) order by pos) filter (where not taken) as rest, string_agg({_id('pos')}, ',' order by pos) filter (where not taken) as ids from bl group by page_id),
 qt as (select page_id, string_agg(text, chr(10) || chr(10) order by question_no) as q from qm group by page_id),
 al as (select p.page_id, coalesce(dump, '') as dump, coalesce(rest, '') as rest, coalesce(ids, '') as ids, coalesce(q, '') as q from (select distinct page_id from wb_blocks) p left join du using (page_id) left join qt using (page_id))
 select page_id, case when q <> '' and rest <> '' then 'hybrid' when q <> '' then 'question_chunks' else 'page_dump' end as mode,
  case when q <> '' and rest <> '' then q || chr(10) || chr(10) || rest when q <> '' then q else dump end as selected_text, ids as uncaptured,
  round(cast({_n('q', '[^\\s]')} as double) / greatest(1, {_n('dump', '[^\\s]')}), 4) as coverage_ratio from al""")
 def composed_pages(spark, sf):
-    b = _placed(spark, sf)
-    out = questions.compose(b, questions.chunks(b))
+    out = questions.compose(questions.pages(_placed(spark, sf)))
     return out.select("page_id", "mode", "selected_text", F.array_join("uncaptured_block_ids", ",").alias("uncaptured"), F.round("coverage_ratio", 4).alias("coverage_ratio"))
 
 
@@ -388,10 +420,10 @@ pp as (select page_id, reading_rank, kind, case when kind = 'formula' then '[FOR
 select page_id, string_agg(piece, chr(10) order by reading_rank) as merged_text, count(*) filter (where kind = 'formula') as formula_count from pp where piece <> '' group by page_id""")
 def formula_pages(spark, sf):
     regions = _placed(spark, sf).select("page_id", F.col("pos").alias("det_seq"), *geometry.BOX, F.col("txt").alias("text"), F.when(F.col("label") == "formula_region", "formula").otherwise("text").alias("kind"))
-    return questions.with_formulas(regions)
+    return questions.with_formulas(regions).drop("formula_map")
 
 
-@query()
+@query(f"{WITH}, {_options_sql('bo', 'wb_blocks', 'page_id, pos', 'txt')} select page_id, pos, array_to_string(l, '|') as options from bo where len(l) > 0")
 def option_candidates(spark, sf):
     o = T.option_candidates(F.col("txt"))
     return blocks(spark, sf).where(F.size(o) > 0).select("page_id", "pos", F.array_join(o, "|").alias("options"))
@@ -403,7 +435,10 @@ def lexicon_sizes(spark, sf):
     return blocks(spark, sf).where(F.size(w) > 0).select("page_id", "pos", F.size(w).cast("long").alias("n"))
 
 
-@query()
+@query(f"""{WITH}, t as (select page_id, pos, regexp_extract_all(txt, '([A-Za-z0-9가-힣{{}}\\[\\]|`~^_+-]{{2,32}})', 1) as l from wb_blocks),
+n as (select page_id, pos, list_filter(l, lambda x: len(regexp_replace(regexp_replace(x, '^[0-9]{{1,3}}[.,]', ''), '[^0-9A-Za-z가-힣]', '', 'g')) >= 2 and (regexp_matches(x, '[{{}}\\[\\]|`~^]') or (regexp_matches(x, '[A-Za-z]') and regexp_matches(x, '[가-힣]')))) as l from t),
+k as (select *, list_transform(l, lambda x: lower(x)) as k from n)
+select page_id, pos, array_to_string(list_filter(l, lambda x, i: list_position(k, lower(x)) = i), ' ') as tokens from k where len(l) > 0""")
 def noisy_tokens(spark, sf):
     n = T.noisy_tokens(F.col("txt"))
     return blocks(spark, sf).where(F.size(n) > 0).select("page_id", "pos", F.array_join(n, " ").alias("tokens"))
@@ -569,17 +604,11 @@ def kinds_of_user(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.array_join(kinds, ",").alias("kinds"), F.size(kinds).cast("long").alias("n"))
 
 
-@query("""with t as (select conv_id, turn, role, text, string_split(text, ' ')[1:4] as w from conversations)
-select conv_id, turn, role, len(text) as n_chars, concat_ws(' ', w[1], w[1] || w[2], w[1] || w[2] || w[3], w[2], w[2] || w[3], w[2] || w[3] || w[4], w[3], w[3] || w[4], w[4]) as grams from t""")
+@query("""with t as (select conv_id, turn, role, text, string_split(text, ' ') as w from conversations)
+select conv_id, turn, role, len(text) as n_chars, array_to_string(flatten(list_transform(range(1, len(w) + 1), lambda i: list_filter([w[i],
+ case when i + 1 <= len(w) then w[i] || w[i + 1] end, case when i + 2 <= len(w) then w[i] || w[i + 1] || w[i + 2] end], lambda x: x is not null))), ' ') as grams from t""")
 def token_ngrams(spark, sf):
-    """Of the first four words only, as its SQL has it; `text_ngrams` takes all."""
-    grams = T.ngrams(F.slice(F.split("text", " "), 1, 4))
-    return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"), F.array_join(grams, " ").alias("grams"))
-
-
-@query()
-def text_ngrams(spark, sf):
-    """Runs of one to three tokens of whole texts; tests hold them against a plain version."""
+    """Runs of one to three tokens of whole texts."""
     grams = T.ngrams(F.split("text", " "))
     return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"), F.array_join(grams, " ").alias("grams"))
 
@@ -608,10 +637,8 @@ def guarded_candidates(spark, sf):
 
 @query()
 def cleanup_hints(spark, sf):
-    """Hints for each page; tests hold them against an example."""
-    b = _placed(spark, sf)
-    diagnosed = questions.diagnose(b)
-    return hints.cleanup_hints(diagnosed, questions.chunks(b)).select("page_id", F.length("hints").alias("characters"), F.get_json_object("hints", "$.suspect_block_ids").alias("suspect_block_ids"))
+    """Hints for each page; tests hold them against a plain version."""
+    return hints.cleanup_hints(questions.pages(questions.diagnose(_placed(spark, sf)), "suspect")).select("page_id", F.length("hints").alias("characters"), F.get_json_object("hints", "$.suspect_block_ids").alias("suspect_block_ids"))
 
 
 # -- images -------------------------------------------------------------------------------------------------------------

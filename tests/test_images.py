@@ -3,9 +3,15 @@
 import colorsys
 import json
 
+import re
+from difflib import SequenceMatcher
+
 import numpy as np
+from pyspark.sql import functions as F
 
-from pagemill.operators import documents, hints, images
+from pagemill.functions import text as T
+from pagemill.operators import documents, hints, images, questions
+from pagemill.plans import catalog
 
 
 def test_red_ink_against_plain_hues():
@@ -105,6 +111,64 @@ def test_unreadable_images_are_rows(spark):
     assert all(got[i]["red"] is None and got[i]["errors"] for i in (2, 3, 4))
 
 
+def once(rows, key):
+    out = {}
+    for x in rows:
+        out.setdefault(key(x), x)
+    return list(out.values())
+
+
+def plain_key(line):
+    return re.sub("[^0-9A-Za-z가-힣]", "", re.sub(r"^\s*[0-9]{1,3}[.,]\s*", "", line)).lower()
+
+
+def plain_best(key, known, least, band=None):
+    """(match, its key, ratio): of all known lines, each compared."""
+    scored = [(SequenceMatcher(None, key, k).ratio(), -i, line, k) for i, (line, k) in enumerate(known) if band is None or abs(len(k) - len(key)) <= band]
+    ratio, _, line, k = max(scored, default=(0.0, 0, None, None))
+    return (line, k, ratio) if ratio >= least and ratio > 0 else (None, None, ratio)
+
+
+def plain_hints(blocks, asked, noisy_of, words_of):
+    def lines(text, least):
+        return [(x.strip(), plain_key(x.strip())) for x in text.splitlines() if x.strip() and len(plain_key(x.strip())) >= least]
+
+    suspects = [b for b in blocks if b.suspect or (b.conf or 0) < 0.72]
+    known = once([x for q in asked for x in lines(q.text, 6)] + [x for b in blocks if (b.conf or 0) >= 0.8 for x in lines(b.txt, 10)], lambda x: x[1])
+    matched = [(b.block_id, line, key, *plain_best(key, known, 0.45)) for b in suspects for line, key in lines(b.txt, 6)]
+    words = once([(w, plain_key(w)) for q in asked for t in (q.text, *q.option_candidates) for w in words_of[t] if len(plain_key(w)) >= 2], lambda x: x[1])
+    noisy = [t for t in once([t for b in suspects for t in noisy_of[b.txt]], str.lower)[:120] if len(plain_key(t)) >= 2]
+    tokens = [(t, plain_key(t), *plain_best(plain_key(t), words, 0.62, 4)) for t in noisy]
+    return {
+        "suspect_block_ids": [b.block_id for b in suspects][:40],
+        "rewrite_hints": [(b, line, m) for b, line, _, m, _, _ in once([x for x in matched if x[3] is not None and x[4] != x[2]], lambda x: (x[2], x[4]))][:40],
+        "token_replacements": [(t, m) for t, k, m, mk, _ in tokens if m is not None and mk != k][:80],
+        "unresolved_lines": [(b, line) for b, line, _, m, _, _ in once([x for x in matched if x[3] is None], lambda x: (x[0], x[2]))][:60],
+        "unresolved_tokens": [t for t, _, m, _, _ in tokens if m is None][:120],
+        "canonical_lines": [line for line, _ in known][:40],
+    }
+
+
+def test_cleanup_hints_against_plain_version(spark):
+    of = questions.pages(questions.diagnose(catalog._placed(spark, "/root/testdata/sf0.001")), "suspect").where("page_id % 4 = 0").cache()
+    got = {r.page_id: json.loads(r.hints) for r in hints.cleanup_hints(of).collect()}
+    rows = of.collect()
+    texts = [(t,) for t in {t for r in rows for t in [b.txt for b in r.blocks] + [x for q in r.questions for x in (q.text, *q.option_candidates)]}]
+    told = spark.createDataFrame(texts, "t string").select("t", T.noisy_tokens(F.col("t")).alias("n"), T.lexicon_tokens(F.col("t")).alias("w")).collect()
+    noisy_of, words_of = {r.t: r.n for r in told}, {r.t: r.w for r in told}
+    for r in rows:
+        h = got[r.page_id]
+        said = {
+            "suspect_block_ids": h["suspect_block_ids"], "canonical_lines": h["canonical_lines"],
+            "rewrite_hints": [(x["block_id"], x["raw_line"], x["suggested_line"]) for x in h["rewrite_hints"]],
+            "token_replacements": [(x["raw_token"], x["suggested_token"]) for x in h["token_replacements"]],
+            "unresolved_lines": [(x["block_id"], x["raw_line"]) for x in h["unresolved_lines"]],
+            "unresolved_tokens": [x["raw_token"] for x in h["unresolved_tokens"]],
+        }
+        assert said == plain_hints(r.blocks, r.questions, noisy_of, words_of)
+    assert sum(len(h["rewrite_hints"]) for h in got.values()) > 100 and sum(len(h["unresolved_tokens"]) for h in got.values()) > 0
+
+
 def test_cleanup_hints(spark):
     blocks = [
         (1, 1, "b001", "the quick brown fox", 0.9, False), (1, 2, "b002", "the quick brawn f0x\nzzzz yyyy xxxx\nthe quick brawn f0x", 0.5, False), (1, 3, "b003", "qu|ck {vvvvvv", None, False),
@@ -112,7 +176,10 @@ def test_cleanup_hints(spark):
     ]
     b = spark.createDataFrame(blocks, "page_id long, pos int, block_id string, txt string, conf double, suspect boolean")
     q = spark.createDataFrame([(1, 1, "1. quick words", ["brown"])], "page_id long, question_no int, text string, option_candidates array<string>")
-    got = {r["page_id"]: json.loads(r["hints"]) for r in hints.cleanup_hints(b, q).collect()}
+    b = b.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "block_id", "txt", "conf", "suspect"))).alias("blocks"))
+    q = q.groupBy("page_id").agg(F.collect_list(F.struct("question_no", "text", "option_candidates")).alias("questions"))
+    none = F.array().cast(q.schema["questions"].dataType)
+    got = {r["page_id"]: json.loads(r["hints"]) for r in hints.cleanup_hints(b.join(q, "page_id", "left").withColumn("questions", F.coalesce("questions", none))).collect()}
     one, two = got[1], got[2]
     assert one["canonical_lines"] == ["1. quick words", "the quick brown fox"] and one["suspect_block_ids"] == ["b002", "b003"]
     assert [(h["block_id"], h["raw_line"], h["suggested_line"]) for h in one["rewrite_hints"]] == [("b002", "the quick brawn f0x", "the quick brown fox")]

@@ -39,7 +39,7 @@ def test_text_measures(spark):
     assert one(spark, "빈칸에 쓰시오", T.role) == "instruction"
     assert one(spark, "a{b} a{b} ok 가b plain x_y", T.noisy_tokens) == ["a{b}", "가b"]
     assert one(spark, "  a \t b \n", T.compact) == "a b"
-    q = spark.createDataFrame([("|{}@#$% x ~^ |||||", 0.4), ("", None)], "t string, c double").select(T.quality(F.col("t"), F.col("c"))["suspect_reasons"].alias("r")).collect()
+    q = spark.createDataFrame([("|{}@#$% x ~^ |||||", 0.4), ("", None)], "t string, c double").transform(lambda df: T.with_quality(df, F.col("t"), F.col("c"))).select(F.col("suspect_reasons").alias("r")).collect()
     assert q[0].r == ["low_quality_score", "high_symbol_ratio", "low_confidence"] and q[1].r == []
 
 
@@ -136,10 +136,21 @@ def test_line_blocks_of_long_documents(spark, tmp_path):
     assert got == [(f"b{i:03d}", x) for i, x in enumerate(lines, 1)]
 
 
-def test_text_ngrams_against_plain_version(spark, tmp_path):
+def test_ids_of_a_page_of_many_blocks(spark):
+    """b999 is followed by b1000, in questions, in what they leave and in diagnoses."""
+    rows = [(1, i, 0.9, f"1. part {i}" if i % 2 else f"said {i}", 0.0, 30.0 * i, 100.0, 30.0 * i + 20) for i in range(1, 1002)]
+    b = spark.createDataFrame(rows, "page_id long, pos int, conf double, txt string, x1 double, y1 double, x2 double, y2 double")
+    [q] = questions.chunks(b).collect()
+    assert q.block_ids == [f"b{i:03d}" for i in range(1, 1002, 2)] and q.block_ids[-1] == "b1001"
+    [page] = questions.compose(questions.pages(b)).collect()
+    assert page.uncaptured_block_ids == [f"b{i:03d}" for i in range(2, 1002, 2)] and page.uncaptured_block_ids[-1] == "b1000"
+    assert [r.block_id for r in questions.diagnose(b).orderBy("pos").collect()] == [f"b{i:03d}" for i in range(1, 1002)]
+
+
+def test_token_ngrams_against_plain_version(spark, tmp_path):
     texts = ["", "one", "a b", "the quick brown fox jumps over a lazy dog", " ".join(f"w{i}" for i in range(400))]
     spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = {r.conv_id: (r.n_chars, r.grams) for r in catalog.QUERIES["text_ngrams"](spark, str(tmp_path)).collect()}
+    got = {r.conv_id: (r.n_chars, r.grams) for r in catalog.QUERIES["token_ngrams"](spark, str(tmp_path)).collect()}
     for i, t in enumerate(texts):
         w = t.split(" ")
         assert got[i] == (len(t), " ".join("".join(w[a : a + k]) for a in range(len(w)) for k in (1, 2, 3) if a + k <= len(w)))
