@@ -196,6 +196,11 @@ def stage_file_name(c: Column) -> Column:
     return F.translate(c, "/ ", "__")
 
 
+def base_name(path: Column) -> Column:
+    """The last part of a path; slashes at its end aside."""
+    return F.regexp_extract(F.regexp_replace(path, "/+$", ""), "[^/]*$", 0)
+
+
 def append_note(note: Column, more: str) -> Column:
     """The note with `more` after a semicolon, unless it says so already."""
     old = F.coalesce(note, F.lit(""))

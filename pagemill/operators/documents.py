@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import geometry
 
 ITEM = "struct<no:string,type:string,prompt_en:string,options:array<string>,tokens:array<string>,student_answer:string,notes:string>"
 #: What a question added by rule says of itself (fixed value).
@@ -66,18 +67,47 @@ def messages(system: str, user: Column) -> Column:
     return F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))
 
 
-def basic_prompt(text: Column, instruction: str, rules: list[str]) -> Column:
-    return F.concat_ws("\n", F.lit(instruction), *[F.lit(f"- {r}") for r in rules], F.lit("TEXT:"), text)
+NULLS = {"ignoreNullFields": "false"}
 
 
-def payload(blocks: DataFrame, questions: DataFrame) -> DataFrame:
-    """A page's blocks and questions as JSON, nulls included, and the numbers expected in the answer."""
-    block = F.struct("pos", T.block_id(F.col("pos")).alias("id"), T.role(F.col("txt")).alias("role"), T.strip(F.col("txt")).alias("text"), "conf", F.get(T.question_numbers(F.col("txt")), 0).alias("question_no"))
-    b = blocks.where(T.strip(F.col("txt")) != "").groupBy("page_id").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
-    q = questions.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("question_no", "text", "block_ids"))).alias("question_chunks"), F.array_sort(F.collect_set("question_no")).alias("expected"))
-    both = b.join(q, "page_id", "left")
-    body = F.struct(F.transform("blocks", lambda x: x.dropFields("pos")).alias("blocks"), F.coalesce("question_chunks", F.array().cast("array<struct<question_no:int,text:string,block_ids:array<string>>>")).alias("question_chunks"))
-    return both.select("page_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"), F.coalesce("expected", F.array().cast("array<int>")).alias("expected_numbers"))
+def payload(of: DataFrame, markers: DataFrame | None = None, source: Column | None = None) -> DataFrame:
+    """What a model gets of a page: payload (JSON, nulls included), hints (JSON) and the numbers expected in the answer.
+
+    of: `hints.hints` of a page's blocks and questions; blocks may have the column engine. Blocks without text are left out.
+    markers (page_id, det_seq, label, box) follow the blocks, by the first appearance of their label.
+    """
+    fields = of.schema["blocks"].dataType.elementType.fieldNames()
+    numbered = F.transform(F.filter("blocks", lambda b: b["stripped"] != ""), lambda b: F.struct(b.alias("b"), T.question_numbers(b["txt"]).alias("nos")))
+    page = of.withColumn("_blocks", numbered)
+    if markers is not None:
+        m = geometry.marker_order(markers).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.array(*geometry.BOX).alias("bbox")))).alias("_markers"))
+        page = page.join(m, "page_id", "left")
+    none = F.array().cast("array<struct<rank:int,bbox:array<double>>>")
+    marked = F.coalesce("_markers", none) if markers is not None else none
+
+    def block(x: Column) -> Column:
+        b = x["b"]
+        kind = T.kind(b["engine"]) if "engine" in fields else F.lit("printed")
+        box = F.array(*[b[c] for c in geometry.BOX])
+        said = F.struct(b["block_id"].alias("id"), kind.alias("kind"), T.role(b["txt"]).alias("role"), b["stripped"].alias("text"), box.alias("bbox"), F.coalesce(b["conf"], F.lit(0.0)).alias("conf"), F.get(x["nos"], 0).alias("question_no"), x["nos"].alias("question_nos"))
+        return F.to_json(said, NULLS)
+
+    def mark(x: Column, i: Column) -> Column:
+        said = F.struct(T.block_id(i + 1, "m").alias("id"), F.lit("mark").alias("kind"), F.lit("misc").alias("role"), F.lit("").alias("text"), x["bbox"].alias("bbox"), F.lit(None).cast("double").alias("conf"))
+        return F.to_json(said, NULLS)
+
+    asked = F.transform("questions", lambda q: F.struct(*[q[c].alias(c) for c in ("question_no", "text", "block_ids", "confidence_min", "option_candidates")]))
+    first = F.array_compact(F.transform("_blocks", lambda x: F.get(x["nos"], 0)))
+    expected = F.array_sort(F.array_distinct(F.concat(F.transform("questions", lambda q: q["question_no"]), first)))
+    detected = F.array_sort(F.array_distinct(F.flatten(F.transform("_blocks", lambda x: x["nos"]))))
+    name = F.regexp_replace(F.to_json(F.array(T.base_name(source) if source is not None else F.lit(None).cast("string")), NULLS), r"^\[|\]$", "")
+    page = page.withColumn("expected_numbers", expected)
+    body = F.concat(
+        F.lit('{"page_no":null,"source":'), name, F.lit(',"blocks":['), F.array_join(F.concat(F.transform("_blocks", block), F.transform(marked, mark)), ","),
+        F.lit('],"question_chunks":'), F.to_json(asked, NULLS), F.lit(',"expected_question_nos":'), F.to_json("expected_numbers"),
+        F.lit(',"detected_question_nos_from_blocks":'), F.to_json(detected), F.lit("}"),
+    )
+    return page.select("page_id", body.alias("payload"), F.to_json("hints", NULLS).alias("hints"), "expected_numbers")
 
 
 def ask(prompts: DataFrame, client: Callable[[], Callable[[str], str]], column: str = "prompt") -> DataFrame:
@@ -105,26 +135,41 @@ def ask(prompts: DataFrame, client: Callable[[], Callable[[str], str]], column:
     return prompts.mapInPandas(run, schema)
 
 
-def ask_again(answered: DataFrame, client: Callable[[], Callable[[str], str]]) -> DataFrame:
-    """Answers that lack expected numbers, and what isn't JSON, are asked for once more; the second answer counts if it is JSON.
+#: Parts of a final document, in order (fixed values).
+PARTS = ("raw_text", "raw_text_debug", "corrected", "fast_preview", "formula_map", "options", "ocr_records", "text_detection", "llama", "question_chunks")
+
+
+def assembled(pages: DataFrame) -> DataFrame:
+    """page_id and document: the JSON of a page's parts, nulls included. A part that pages don't have is null."""
+    parts = [(F.col(c) if c in pages.columns else F.lit(None).cast("string")).alias(c) for c in PARTS]
+    return pages.select("page_id", F.to_json(F.struct(*parts), NULLS).alias("document"))
+
+
+def write_documents(final: DataFrame, path: str) -> None:
+    """Final documents (page_id, document) as text, a line each: page_id and the document."""
+    final.select(F.to_json(F.struct(F.col("page_id"), F.try_parse_json("document").alias("document")), NULLS)).write.mode("overwrite").text(path)
+
+
+#: What an evaluation reads of a final document.
+READ = "raw_text string, corrected string, options array<string>, formula_map map<string,string>, ocr_records array<string>"
+
+
+def read_documents(spark: SparkSession, path: str, *, whole_files: bool = False) -> DataFrame:
+    """page_id and the parts that `evaluate` reads, of what `write_documents` wrote, or of files that hold one document each.
 
-    answered has answer and expected_numbers. Both passes are in one plan, so no answer is fetched twice.
+    A missing path raises. The id of a file is a hash of its path. What isn't JSON has null parts.
     """
-    gone = missing_numbers(F.col("expected_numbers"), F.col("answer"))
-    listed = [F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]")) for c in (F.col("expected_numbers"), gone)]
-    whole = F.concat(F.lit("Rewrite this JSON so that items.no has all of "), listed[0], F.lit(". Missing: "), listed[1], F.lit('. Use type "other" and short notes for what is unclear.\n\n'), F.col("answer"))
-    bad = F.concat(F.lit("Rewrite this as valid JSON and nothing else.\n\n"), F.col("answer"))
-    prompt = F.when(F.try_parse_json("answer").isNull(), bad).when(F.size(gone) > 0, whole)
-    first = answered.withColumn("_prompt", prompt).withColumnsRenamed({"answer": "_answer", "error": "_error"})
-    second = ask(first, client, "_prompt")
-    return second.withColumns({"answer": F.when(F.try_parse_json("answer").isNotNull(), F.col("answer")).otherwise(F.col("_answer")), "error": F.coalesce("error", "_error") if "error" in answered.columns else F.col("error")}).drop("_prompt", "_answer", "_error")
+    if whole_files:
+        found = spark.read.text(path, wholetext=True).select(F.xxhash64("_metadata.file_path").alias("page_id"), F.from_json("value", READ).alias("d"))
+    else:
+        parts = ",".join(p.replace(" ", ":") for p in READ.split(", "))
+        found = spark.read.schema(f"page_id long, document struct<{parts}>").json(path).select("page_id", F.col("document").alias("d"))
+    return found.select("page_id", "d.*")
 
 
-def ask_twice(prompts: DataFrame, fast: Callable[[], Callable[[str], str]], final: Callable[[], Callable[[str], str]], column: str = "prompt") -> DataFrame:
-    """A quick model's draft, then the answer of a model that is shown the draft. Without a draft the second works alone."""
-    drafted = ask(prompts, fast, column).withColumnsRenamed({"answer": "draft", "error": "draft_error"})
-    shown = F.concat(F.col(column), F.coalesce(F.concat(F.lit("\n\nDRAFT:\n"), F.col("draft")), F.lit("")))
-    return ask(drafted.withColumn("_prompt", shown), final, "_prompt").drop("_prompt")
+def write_report(report: DataFrame, path: str) -> None:
+    """An evaluation as JSON lines."""
+    report.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def evaluate(final: DataFrame) -> DataFrame:
@@ -155,15 +200,19 @@ def polygons(found: object) -> list[list[tuple[float, float]]]:
     return out
 
 
-#: An option must be this like what the context says; or as like as the second number if that is clear of the next option.
+#: An option must be this like what the context says; or as like as the second number if that is clear of the next option.
 SURE, LIKELY, CLEAR, LONG_ENOUGH = 0.78, 0.66, 0.08, 4
-_SPANS = re.compile(r"\[[^\]\n]{1,160}[\]}]|\{[^}\n]{1,160}[}\]]|\([^)\n]{1,160}\)")
+#: Spans of options, taken out one kind after the other: what one kind takes may open or close another (fixed values).
+_SPANS = tuple(re.compile(p) for p in (r"\[[^\]\n]{1,160}[\]}]", r"\{[^}\n]{1,160}[}\]]", r"\([^)\n]{1,160}\)"))
 _WORD = re.compile(r"[0-9A-Za-z가-힣]+")
 
 
 def answer_of(options: list[str], context: str | None) -> str | None:
     """The option that the context says outside of brackets, as it is or nearly; None if that isn't clear."""
-    said = _WORD.findall(_SPANS.sub(" ", context or "").lower())
+    outside = context or ""
+    for span in _SPANS:
+        outside = span.sub(" ", outside)
+    said = _WORD.findall(outside.lower())
     runs = ["".join(said[i : i + n]) for i in range(len(said)) for n in (1, 2, 3) if i + n <= len(said)]
     scored = []
     for option in options if said else []:

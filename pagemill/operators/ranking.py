@@ -7,7 +7,7 @@ order of its arguments.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -59,6 +59,56 @@ def pick_result(candidates: DataFrame) -> DataFrame:
     return consensus(candidates, by_value=True).withColumn("total", total).withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
 
 
+def available(names: list[str], make: Callable[[str], object], *, allow_missing: bool = False, least: int = 1) -> tuple[dict[str, object], list[str]]:
+    """Engines by name, made by `make`, and what went wrong with the others. Raises if one is missing, unless that is allowed, or if fewer than `least` are there."""
+    found, errors = {}, []
+    for name in names:
+        try:
+            found[name] = make(name)
+        except Exception as e:  # noqa: BLE001  a missing engine is an entry of errors
+            if not allow_missing:
+                raise
+            errors.append(f"{name}: {e}")
+    if len(found) < max(1, least):
+        raise RuntimeError(f"{max(1, least)} engines are needed, {len(found)} are there ({'; '.join(errors) or 'none named'})")
+    return found, errors
+
+
+def ensemble(results: DataFrame) -> DataFrame:
+    """One result of each region from all engines': text, conf, latency_ms and what speaks for it (selected, candidates, errors).
+
+    results: page_id, box_id, cand_seq, engine, text, conf, latency_ms, error; rows with an error have no text. A region whose
+    engines all failed has an empty text of confidence 0.
+    """
+    key = ["page_id", "box_id"]
+    entry = F.struct("cand_seq", "engine", F.round("conf", 4).alias("conf"), F.round("latency_ms", 2).alias("latency_ms"), F.round(T.heuristic_score(F.col("text")), 4).alias("score"))
+    failed = F.struct("cand_seq", "engine", "error")
+    told = results.groupBy(*key).agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNull(), entry))), lambda x: x.dropFields("cand_seq")).alias("candidates"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), failed))), lambda x: x.dropFields("cand_seq")).alias("errors"),
+        F.sum("latency_ms").alias("latency_ms"),
+    )
+    best = pick_result(results.where("error is null")).select(*key, "text", "conf", F.col("engine").alias("selected"))
+    out = told.join(best, key, "left")
+    return out.select(*key, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("conf", F.lit(0.0)).alias("conf"), F.lit("ensemble").alias("engine"), "latency_ms", "selected", "candidates", "errors")
+
+
+#: Errors of a region's calls that are kept (a fixed value).
+MOST_ERRORS = 32
+
+
+def call_statistics(calls: DataFrame) -> DataFrame:
+    """attempted_calls, candidates_added and the first errors of each region's calls (page_id, box_id, cand_seq, engine, variant, text, error).
+
+    A call adds a candidate unless it failed or repeats an engine's text, white space and case aside.
+    """
+    key = ["page_id", "box_id"]
+    added = first_of_signature(calls.where("error is null")).groupBy(*key).agg(F.count("*").alias("added"))
+    failed = F.when(F.col("error").isNotNull(), F.struct("cand_seq", "engine", "variant", "error"))
+    told = calls.groupBy(*key).agg(F.count("*").alias("attempted_calls"), F.transform(F.slice(F.array_sort(F.collect_list(failed)), 1, MOST_ERRORS), lambda x: x.dropFields("cand_seq")).alias("errors"))
+    return told.join(added, key, "left").select(*key, "attempted_calls", F.coalesce("added", F.lit(0)).cast("long").alias("candidates_added"), "errors")
+
+
 def first_of_signature(candidates: DataFrame) -> DataFrame:
     """Candidates without those that repeat an engine's text, white space and case aside."""
     order = Window.partitionBy("page_id", "box_id", "engine", T.compact(F.col("text"))).orderBy("cand_seq")

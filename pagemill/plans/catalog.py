@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import documents, geometry, hints, images, questions, ranking
+from ..operators import documents, geometry, hints, images, prompts, questions, ranking
 from ..sources import files
 from ..sources.adapters import WITH, blocks, boxes, table
 
@@ -566,17 +566,126 @@ def completed_items(spark, sf):
     return documents.add_missing(found, p.select("page_id", "question_no").distinct())
 
 
-@query()
+def _pages(spark, sf) -> DataFrame:
+    """Pages of diagnosed blocks with questions and hints."""
+    b = _placed(spark, sf).withColumn("engine", F.when(F.col("pos") % 2 == 0, "TrOCR").otherwise("tesseract"))
+    return hints.hints(questions.pages(questions.diagnose(b), "suspect", "engine"))
+
+
+_ROLE = f"case when contains(txt, '[') and contains(txt, ']') then 'options' when contains(txt, ')') and {_n('txt', '[(]')} >= 2 then 'options' when contains(txt, '?') or ends_with(txt, '.') then 'prompt' else 'misc' end"
+
+
+@query(f"""{WITH}, {_PIECES},
+nb as (select page_id, string_agg(cast(no as varchar), ',' order by no) as numbers from (select distinct page_id, question_no as no from pc) t group by page_id),
+fn as (select page_id, pos, arg_min(question_no, nth) as no from pc group by page_id, pos),
+bl as (select w.page_id, 1 as part, w.pos, {_id('w.pos')} || ' ' || case when w.pos % 2 = 0 then 'handwriting' else 'printed' end || ' ' || {_ROLE} || ' ' || coalesce(cast(fn.no as varchar), '-') || ' ' || trim(txt) as said
+ from wb_blocks w left join fn on fn.page_id = w.page_id and fn.pos = w.pos where trim(txt) <> ''),
+mf as (select page_id, det_seq, min(det_seq) over (partition by page_id, label) as first from wb_boxes where label like 'marker%'),
+mk as (select page_id, 2 as part, row_number() over (partition by page_id order by first, det_seq) as pos from mf),
+al as (select * from bl union all select page_id, part, pos, replace({_id('pos')}, 'b', 'm') || ' mark misc - ' from mk),
+ag as (select page_id, string_agg(said, chr(10) order by part, pos) as blocks from al group by page_id)
+select p.page_id, coalesce(blocks, '') as blocks, coalesce(numbers, '') as expected, coalesce(numbers, '') as detected, 'page.png' as source from (select distinct page_id from wb_blocks) p left join ag using (page_id) left join nb using (page_id)""")
 def model_payloads(spark, sf):
-    b = _placed(spark, sf)
-    out = documents.payload(b, questions.chunks(b))
-    return out.select("page_id", F.length("payload").alias("characters"), F.size("expected_numbers").alias("expected"))
+    """What a model gets of each page: blocks, marks and numbers as read back from the JSON."""
+    b = boxes(spark, sf)
+    out = documents.payload(_pages(spark, sf), b.where(geometry.is_marker()), F.concat(F.lit("/scans/"), F.col("page_id").cast("string"), F.lit("/page.png")))
+    block = "struct<id:string,kind:string,role:string,text:string,question_no:int>"
+    read = out.withColumn("p", F.from_json("payload", f"struct<source:string,blocks:array<{block}>,expected_question_nos:array<int>,detected_question_nos_from_blocks:array<int>>"))
+
+    def numbers(c: str) -> F.Column:
+        return F.array_join(F.transform(c, lambda n: n.cast("string")), ",")
+
+    said = F.transform("p.blocks", lambda x: F.concat_ws(" ", x["id"], x["kind"], x["role"], F.coalesce(x["question_no"].cast("string"), F.lit("-")), x["text"]))
+    return read.select("page_id", F.array_join(said, "\n").alias("blocks"), numbers("p.expected_question_nos").alias("expected"), numbers("p.detected_question_nos_from_blocks").alias("detected"), "p.source")
+
+
+@query(r"""select item_id, 'user' as first_role, 'You are an OCR post-processing specialist.' || chr(10) || 'Domain: school pages' || chr(10) || 'Style: concise' || chr(10) || 'Rules:' || chr(10)
+|| '- Preserve original meaning' || chr(10) || '- Do not add new facts' || chr(10) || '- Fix only OCR mistakes and spacing' || chr(10) || chr(10) || '[OCR]' || chr(10) || text || chr(10) || chr(10) || '[OUTPUT]' || chr(10) as prompt from benchmark""")
+def basic_prompts(spark, sf):
+    m = prompts.messages(table(spark, sf, "benchmark"), prompts.settings({"domain": "school pages"}, template={"domain": "else"}))
+    return m.select("item_id", F.get("messages", 0)["role"].alias("first_role"), F.get("messages", 0)["content"].alias("prompt"))
+
+
+@query()
+def workbook_prompts(spark, sf):
+    """Chats that ask for pages as structured items; tests hold them against a plain version."""
+    config = {"prompt_mode": "workbook_json"}
+    m = prompts.messages(documents.payload(_pages(spark, sf)).withColumn("text", F.lit("")), config)
+    return m.select("page_id", F.size("messages").alias("n"), F.length(F.get("messages", 1)["content"]).alias("characters"))
+
+
+@query(f"""{WITH}, {_DIAGNOSED},
+tq as (select page_id, count(distinct question_no) as n, string_agg(distinct cast(question_no as varchar), ',' order by cast(question_no as varchar)) as numbers from pc group by page_id),
+ss as (select page_id, pos, row_number() over (partition by page_id order by noise_score desc, pos) as k from dg where reasons <> ''),
+sa as (select page_id, string_agg({_id('pos')}, ',' order by k) as suspects from ss where k <= 12 group by page_id)
+select p.page_id, box_count, coalesce(n, 0) as question_chunk_count, coalesce(numbers, '') as numbers, coalesce(suspects, '') as suspects from (select page_id, count(*) as box_count from wb_blocks group by page_id) p left join tq using (page_id) left join sa using (page_id)""")
+def page_reports(spark, sf):
+    """Counts, numbers and noisiest blocks of each page."""
+    d = questions.diagnose(_placed(spark, sf))
+    out = questions.page_report(d, questions.compose(questions.pages(_placed(spark, sf))))
+    numbers = F.array_join(F.array_sort(F.transform("detected_question_numbers", lambda n: n.cast("string"))), ",")
+    asked = F.when(F.col("question_chunk_text") == "", 0).otherwise(F.col("question_chunk_count")).cast("long")
+    return out.select("page_id", "box_count", asked.alias("question_chunk_count"), numbers.alias("numbers"), F.array_join(F.transform("suspect_boxes", lambda x: x["block_id"]), ",").alias("suspects"))
+
+
+@query(f"""{WITH}, o as (select page_id, det_seq, x1, y1, x2, y2, row_number() over (partition by page_id order by det_seq) as idx from wb_boxes where label = 'option_block'),
+t as (select page_id, pos as idx, txt from wb_blocks where pos % 3 <> 0),
+f as (select page_id, det_seq, label, (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy, min(det_seq) over (partition by page_id, label) as first from wb_boxes where label like 'marker%'),
+j as (select o.page_id, o.idx, regexp_replace(upper(f.label), '^MARKER_', '') as mark, f.first, f.det_seq as m from o left join f on f.page_id = o.page_id and f.cx between o.x1 and o.x2 and f.cy between o.y1 and o.y2),
+g as (select page_id, idx, coalesce(string_agg(mark, ',' order by first, m), '') as marks from j group by page_id, idx)
+select g.page_id, cast(g.idx as int) as idx, coalesce(t.txt, '') as text, marks from g left join t on t.page_id = g.page_id and t.idx = g.idx""")
+def option_texts(spark, sf):
+    """Option boxes with the texts of their places, and the marks in them."""
+    b = boxes(spark, sf)
+    texts = blocks(spark, sf).where("pos % 3 <> 0").select("page_id", F.col("pos").alias("idx"), F.col("txt").alias("text"))
+    return geometry.option_blocks(b.where("label = 'option_block'"), texts, b).select("page_id", "idx", "text", F.array_join("markers", ",").alias("marks"))
+
+
+@query(f"""{WITH}, c as (select page_id, sum(case when label = 'option_block' then 1 else 0 end) as o, sum(case when label = 'formula_region' then 1 else 0 end) as f, count(*) as n from wb_boxes group by page_id),
+t as (select page_id, max(case when trim(txt) <> '' then 1 else 0 end) as said from wb_blocks group by page_id)
+select c.page_id, said = 1 as has_raw_text, c.page_id % 3 <> 0 as has_corrected, cast(o as int) as option_count, cast(f as int) as formula_count, cast(n as int) as ocr_records from c join t using (page_id)""")
+def assembled_documents(spark, sf):
+    """The final document of each page, written as JSON, and what an evaluation reads of it."""
+    b, placed = boxes(spark, sf), _placed(spark, sf)
+    page = questions.pages(placed)
+    regions = placed.select("page_id", F.col("pos").alias("det_seq"), *geometry.BOX, F.col("txt").alias("text"), F.when(F.col("label") == "formula_region", "formula").otherwise("text").alias("kind"))
+    texts = blocks(spark, sf).select("page_id", F.col("pos").alias("idx"), F.col("txt").alias("text"))
+    options = geometry.option_blocks(b.where("label = 'option_block'"), texts, b).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text", "mark", "markers", "reason"))).alias("options"))
+    records = page.select("page_id", F.transform("blocks", lambda x: F.struct(x["block_id"].alias("box_id"), x["txt"].alias("text"), x["conf"].alias("conf"))).alias("ocr_records"), F.transform("questions", lambda q: q.dropFields("text", "context_text")).alias("question_chunks"))
+    parts = questions.compose(page).select("page_id", F.col("selected_text").alias("raw_text")).join(records, "page_id").join(questions.with_formulas(regions).select("page_id", "formula_map"), "page_id", "left").join(options, "page_id", "left")
+    final = documents.assembled(parts.withColumn("corrected", F.when(F.col("page_id") % 3 != 0, "{}").otherwise("")))
+    return documents.evaluate(final.select("page_id", F.from_json("document", documents.READ).alias("d")).select("page_id", "d.*"))
+
+
+@query()
+def ensemble_results(spark, sf):
+    """One result of each conversation's turns, some of which fail; tests hold it against a plain version."""
+    c = _candidates(spark, sf).withColumn("latency_ms", F.length("text") / 10.0).withColumn("error", F.when(F.col("cand_seq.turn") % 3 == 0, "timeout"))
+    return ranking.ensemble(c).select("page_id", "selected", F.length("text").alias("n_chars"), F.size("candidates").alias("candidates"), F.size("errors").alias("errors"))
 
 
-@query("select item_id, 'system' as first_role, 'Correct the text.' || chr(10) || '- keep numbers' || chr(10) || 'TEXT:' || chr(10) || text as prompt from benchmark")
-def prompts(spark, sf):
-    m = documents.messages("You correct recognised text.", documents.basic_prompt(F.col("text"), "Correct the text.", ["keep numbers"]))
-    return table(spark, sf, "benchmark").withColumn("m", m).select("item_id", F.get("m", 0)["role"].alias("first_role"), F.get("m", 1)["content"].alias("prompt"))
+@query(f"""with {_CANDIDATES}, r as (select *, turn % 3 = 0 as failed from cd),
+s as (select page_id, count(distinct role || chr(1) || regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) as added from r where not failed group by page_id)
+select r.page_id, count(*) as attempted_calls, coalesce(max(s.added), 0) as candidates_added, cast(least(32, sum(case when failed then 1 else 0 end)) as int) as errors from r left join s on s.page_id = r.page_id group by r.page_id""")
+def call_statistics(spark, sf):
+    c = _candidates(spark, sf).withColumn("variant", F.lit("as_is")).withColumn("error", F.when(F.col("cand_seq.turn") % 3 == 0, "timeout"))
+    return ranking.call_statistics(c).select("page_id", "attempted_calls", "candidates_added", F.size("errors").alias("errors"))
+
+
+@query("select event_type as plugin, user_id as page_id, count(*) as n from events where event_id % 2 = 0 group by all")
+def plugin_error_maps(spark, sf):
+    """Errors of plugins by page, as a map without the plugins that have none; read back as rows."""
+    found = table(spark, sf, "events").groupBy(F.col("user_id").alias("page_id"), F.col("event_type").alias("plugin")).agg(F.array_sort(F.collect_list(F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")))).alias("errors"))
+    return files.plugin_errors(found).select("page_id", F.explode("plugin_errors").alias("plugin", "errors")).select("plugin", "page_id", F.size("errors").cast("long").alias("n"))
+
+
+@query()
+def plugin_text_boxes(spark, sf):
+    """Boxes of two plugins' polygons, each on its own cleared of overlaps; tests hold the chain against a plain version."""
+    corner = [F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x2", "y1"), ("x2", "y2"), ("x1", "y2"), ("x1", "y1"))]
+    found = boxes(spark, sf).select("page_id", "det_seq", F.array(*corner).alias("polygon"))
+    size = found.select("page_id").distinct().withColumns({"width": F.lit(300), "height": F.lit(100)})
+    return geometry.plugin_boxes({"a": found.where("det_seq % 2 = 0"), "b": found.where("det_seq % 2 = 1"), "c": found}, ["b", "a"], size, min_area=500.0, most=3)
 
 
 @query("""select o_orderkey as page_id, o_orderpriority <> '' as has_raw_text, o_orderkey % 3 <> 0 as has_corrected, coalesce(n, 0) as option_count, cast(o_orderkey % 2 as int) as formula_count, 0 as ocr_records

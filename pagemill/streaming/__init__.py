@@ -1,0 +1 @@
+"""Traces that are still being written, as streams."""

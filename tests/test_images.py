@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
-from pagemill.operators import documents, hints, images, questions
+from pagemill.operators import documents, hints, images, prompts, questions
 from pagemill.plans import catalog
 
 
@@ -189,17 +189,77 @@ def test_cleanup_hints(spark):
     assert two["suspect_block_ids"] == two["rewrite_hints"] == [] and two["canonical_lines"] == ["all is well here"] and len(two["rules"]) == 5
 
 
-def test_models_are_asked_again_and_in_two_stages(spark):
-    def client():
-        return lambda p: '{"items": [{"no": 1}, {"no": 2}]}' if "Missing: [2]" in p else "still no" if "valid JSON" in p else 1 / 0
+def echo(answers):
+    """Makes a model that answers from a list of rules and raises on `bad`."""
 
-    rows = [(1, '{"items": [{"no": 1}]}', [1, 2]), (2, '{"items": [{"no": 1}]}', [1]), (3, "no", [1]), (4, '{"items": [{"no": 5}]}', [1])]
+    class Echo:
+        def chat(self, model, messages, **options):
+            said = messages[-1]["content"]
+            if "bad" in said:
+                raise ZeroDivisionError(said)
+            return next((a for cue, a in answers if cue in said), "none")
+
+        def generate(self, model, prompt, **options):
+            return f"generated {model} {options['max_tokens']}"
+
+    return Echo
+
+
+def test_answers_become_json(spark):
+    rows = [(1, '{"a": 1}', [1]), (2, "no json", [1]), (3, "never json", [1]), (4, None, [1]), (5, "bad", [1])]
+    df = spark.createDataFrame(rows, "page_id long, answer string, expected_numbers array<int>")
+    client = prompts.caller(echo([("no json", '{"b": [2]}')]), {})
+    got = {r.page_id: r for r in prompts.as_json(df, client, {"output_mode": "json"}).collect()}
+    assert got[1].answer == json.dumps({"a": 1}, indent=2) and json.loads(got[2].answer) == {"b": [2]} and got[4].answer is None
+    assert json.loads(got[3].answer) == {"corrected_text": "", "notes": ["json_parse_failed", "none"]}
+    assert got[5].error.startswith("ZeroDivisionError") and json.loads(got[5].answer)["notes"][0] == "json_parse_failed"
+    [three] = prompts.as_json(df.where("page_id = 3"), client, {"output_mode": "json", "prompt_mode": "workbook_json"}).collect()
+    assert json.loads(three.answer) == {"doc_type": "english_workbook_page", "page_meta": {"source": "photo", "page_no": None}, "items": [], "notes": "json_parse_failed: none"}
+    assert {r.answer for r in prompts.as_json(df, client, {}).collect()} == {r[1] for r in rows}
+
+
+def test_missing_numbers_are_asked_for(spark):
+    rows = [(1, '{"items": [{"no": 1}]}', [1, 2]), (2, '{"items": [{"no": 1}]}', [1]), (3, '{"items": [{"no": 5}], "x": "bad"}', [1])]
     df = spark.createDataFrame(rows, "page_id long, answer string, expected_numbers array<int>")
-    got = {r["page_id"]: r for r in documents.ask_again(df, client).collect()}
-    assert json.loads(got[1]["answer"])["items"][1] == {"no": 2}
-    assert [got[i]["answer"] for i in (2, 3, 4)] == [r[1] for r in rows[1:]]
-    assert got[2]["error"] is None and got[4]["error"].startswith("ZeroDivisionError")
-    prompts = spark.createDataFrame([("a",), (None,)], "prompt string")
-    two = {r["prompt"]: r for r in documents.ask_twice(prompts, lambda: str.upper, lambda: lambda p: p[::-1]).collect()}
-    assert two["a"]["draft"] == "A" and two["a"]["answer"] == "a\n\nDRAFT:\nA"[::-1]
-    assert two[None]["answer"] is None
+    client = prompts.caller(echo([("Required numbers: [1, 2]\nMissing numbers: [2]\n", '{"items": [{"no": 1}, {"no": 2}]}')]), {})
+    got = {r.page_id: r for r in prompts.with_all_numbers(df, client, {}).collect()}
+    assert json.loads(got[1].answer)["items"][1] == {"no": 2}
+    assert [got[i].answer for i in (2, 3)] == [r[1] for r in rows[1:]]
+    assert got[2].error is None and got[3].error.startswith("ZeroDivisionError")
+
+
+def test_two_stages(spark):
+    pages = spark.createDataFrame([(1, "teh cat"), (2, "bad")], "page_id long, text string")
+    config = {"model": "m", "stages": {"enabled": True, "fast": {"model": "f"}, "final": {"system_prompt": "be brief"}}}
+    seen = [("Fast model draft:\nthe cat?", "the cat"), ("[OCR]\nteh cat", "the cat?")]
+    got = {r.page_id: r for r in prompts.corrected(pages, lambda c: prompts.caller(echo(seen), c), config).collect()}
+    assert (got[1].draft, got[1].answer, got[1].two_stage, got[1].fast_model, got[1].final_model) == ("the cat?", "the cat", True, "f", "m")
+    assert got[2].answer is None and got[2].draft is None and got[2].error.startswith("ZeroDivisionError")
+    [one] = prompts.corrected(pages.where("page_id = 1"), lambda c: prompts.caller(echo(seen), c), {}).collect()
+    assert (one.draft, one.answer, one.two_stage, one.fast_model, one.final_model) == (None, "the cat?", False, None, prompts.DEFAULTS["model"])
+    assert prompts.caller(echo([]), {"use_chat": False, "max_tokens": 9, "model": "g"})()("x") == "generated g 9"
+    assert prompts.settings({"a": 1}, template={"a": 0, "b": 2}, stage={"c": 3}) == {"a": 1, "b": 2, "c": 3}
+
+
+def test_workbook_prompts_against_plain_version(spark):
+    data = "/root/testdata/sf0.001"
+    of = catalog._pages(spark, data).where("page_id % 50 = 0").cache()
+    b = catalog.boxes(spark, data)
+    got = prompts.messages(documents.payload(of, b.where("label like 'marker%'")).withColumn("text", F.lit(None).cast("string")), {"prompt_mode": "workbook_json"}).collect()
+    assert len(got) > 20
+    for r in got:
+        system, user = r.messages
+        assert system.role == "system" and system.content == prompts.WORKBOOK_SYSTEM
+        payload, own = json.loads(r.payload), json.loads(r.hints)
+        lines = ["Convert the following OCR result into JSON.", "", "### Target JSON Schema (strict)", prompts.WORKBOOK_SCHEMA, "", "### Classification rules", *(f"- {x}" for x in prompts.CLASSIFICATION), "", "### How to extract", *(f"- {x}" for x in prompts.EXTRACTION), ""]
+        if r.expected_numbers:
+            lines += ["### Mandatory coverage", f"- You MUST include every question number in items.no: [{', '.join(map(str, r.expected_numbers))}]", '- If a question is unclear, still include it with type="other" and a short notes field.', ""]
+        lines += ["### OCR cleanup hints (apply conservatively)", *(f"- {x}" for x in prompts.HINT_RULES), json.dumps(own, ensure_ascii=False, indent=2), "", "### Input (ordered OCR blocks)", json.dumps(payload, ensure_ascii=False, indent=2), ""]
+        assert user.content == "\n".join(lines)
+        assert list(payload) == ["page_no", "source", "blocks", "question_chunks", "expected_question_nos", "detected_question_nos_from_blocks"]
+        assert all(set(x) == {"id", "kind", "role", "text", "bbox", "conf"} | (set() if x["kind"] == "mark" else {"question_no", "question_nos"}) for x in payload["blocks"])
+        assert payload["expected_question_nos"] == r.expected_numbers == sorted({q["question_no"] for q in payload["question_chunks"]})
+    [plain] = prompts.messages(spark.createDataFrame([("one\n\ntwo", None, None, None)], "text string, payload string, hints string, expected_numbers array<int>"), {"prompt_mode": "workbook_json"}).collect()
+    shown = json.loads(plain.messages[1].content.split("### Input (ordered OCR blocks)\n")[1])
+    assert shown == {"page_no": None, "blocks": [{"id": f"b00{i}", "kind": "printed", "role": "misc", "text": t, "bbox": None, "conf": None} for i, t in ((1, "one"), (2, "two"))]}
+    assert "cleanup hints" not in plain.messages[1].content and "Mandatory coverage" not in plain.messages[1].content

@@ -8,9 +8,10 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
-from pagemill.operators import documents, geometry, questions, ranking
+from pagemill.operators import documents, geometry, prompts, questions, ranking
 from pagemill.plans import catalog
 from pagemill.sources import files
+from pagemill.streaming import traces
 
 
 def one(spark, value, make):
@@ -105,6 +106,8 @@ def test_documents():
     assert documents.repaired_document("{broken", q) == "{broken"
     assert json.loads(documents.fallback_document(q))["items"][0]["student_answer"] == "went"
     assert documents.answer_of(["apple", "pear"], "[apple, pear]") is None
+    # brackets go first, and take the parenthesis that would have opened with them
+    assert documents.answer_of(["go"], "(a [b) go]") is None and documents.answer_of(["go"], "(a b) go") == "go"
     assert documents.polygons([[[0, 0], [1, 0], [1, 1], [0, 1]], {"a": 1}, [["x"], [[[2, 2], [3, 2], [3, 3], [2, 3]]]]]) == [[(0, 0), (1, 0), (1, 1), (0, 1)], [(2, 2), (3, 2), (3, 3), (2, 3)]]
 
 
@@ -154,3 +157,167 @@ def test_token_ngrams_against_plain_version(spark, tmp_path):
     for i, t in enumerate(texts):
         w = t.split(" ")
         assert got[i] == (len(t), " ".join("".join(w[a : a + k]) for a in range(len(w)) for k in (1, 2, 3) if a + k <= len(w)))
+
+
+def plain_score(text):
+    t = text or ""
+    return sum(c.isalnum() for c in t) + 0.3 * sum(c.isspace() for c in t) - 0.5 * sum(c in "@#$%^&*<>" for c in t) + 0.01 * len(t)
+
+
+def test_ensembles_against_plain_version(spark):
+    r = random.Random(17)
+    rows = []
+    for region in range(60):
+        for seq in range(r.randint(1, 5)):
+            failed = r.random() < 0.3
+            text = None if failed else "".join(r.choice("ab c#1") for _ in range(r.randint(0, 12)))
+            rows.append((region, 1, seq, f"e{seq}", text, None if failed else r.randint(0, 100) / 100, float(seq + 1), "timeout" if failed else None))
+    df = spark.createDataFrame(rows, "page_id long, box_id int, cand_seq int, engine string, text string, conf double, latency_ms double, error string")
+    got = {x.page_id: x for x in ranking.ensemble(df).collect()}
+    for region in range(60):
+        own = [x for x in rows if x[0] == region]
+        there = [x for x in own if x[7] is None]
+        total = [plain_score(x[4]) + sum(SequenceMatcher(None, x[4], y[4]).ratio() for y in there if y[4] != x[4] and x[4]) + x[5] for x in there]
+        g = got[region]
+        assert [e.engine for e in g.errors] == [x[3] for x in own if x[7]] and [c.engine for c in g.candidates] == [x[3] for x in there]
+        assert g.engine == "ensemble" and g.latency_ms == sum(x[6] for x in own)
+        if there:
+            best = max(range(len(there)), key=lambda i: (round(total[i], 9), -i))
+            assert (g.text, g.conf, g.selected) == (there[best][4], there[best][5], there[best][3])
+        else:
+            assert (g.text, g.conf, g.selected) == ("", 0.0, None)
+
+
+def test_engines_that_are_missing():
+    def make(name):
+        if name == "gone":
+            raise ImportError("no such engine")
+        return name.upper()
+
+    assert ranking.available(["a", "gone"], make, allow_missing=True) == ({"a": "A"}, ["gone: no such engine"])
+    for least, allow in ((1, False), (2, True)):
+        try:
+            ranking.available(["a", "gone"], make, allow_missing=allow, least=least)
+        except (ImportError, RuntimeError):
+            continue
+        raise AssertionError
+
+
+def plain_iou(a, b):
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    if w <= 0 or h <= 0:
+        return 0.0
+    size = [max(1e-6, (x[2] - x[0]) * (x[3] - x[1])) for x in (a, b)]
+    return w * h / (size[0] + size[1] - w * h)
+
+
+def plain_suppressed(found, threshold, most):
+    kept = []
+    for _, b in sorted(found, key=lambda x: (-(x[1][2] - x[1][0]) * (x[1][3] - x[1][1]), x[0])):
+        if all(plain_iou(k, b) <= threshold for k in kept):
+            kept.append(b)
+    return kept[:most]
+
+
+def test_detector_chain_against_plain_version(spark):
+    r = random.Random(23)
+    rows = [(p, s, [(float(r.randint(-20, 120)), float(r.randint(-20, 90))) for _ in range(4)]) for p in range(12) for s in range(1, 15)]
+    found = spark.createDataFrame([(p, s, [{"x": x, "y": y} for x, y in poly]) for p, s, poly in rows], "page_id long, det_seq int, polygon array<struct<x:double,y:double>>")
+    size = spark.createDataFrame([(p, 100, 70) for p in range(12)], "page_id long, width int, height int")
+    odd, even = found.where("det_seq % 2 = 1"), found.where("det_seq % 2 = 0")
+    out = geometry.plugin_boxes({"odd": odd, "even": even, "off": found}, ["even", "odd"], size, min_area=200.0, most=4).collect()
+    got = {p: [(x.plugin, x.x1, x.y1, x.x2, x.y2) for x in sorted((x for x in out if x.page_id == p), key=lambda x: x.det_seq)] for p in range(12)}
+    sources = {}
+    for p in range(12):
+        want = []
+        for name, rest in (("even", 0), ("odd", 1)):
+            on = []
+            for q, s, poly in rows:
+                if q == p and s % 2 == rest:
+                    x1, y1, x2, y2 = min(x for x, _ in poly), min(y for _, y in poly), max(x for x, _ in poly), max(y for _, y in poly)
+                    if (x2 - x1) * (y2 - y1) >= 200:
+                        b = (max(0.0, min(100.0, x1)), max(0.0, min(70.0, y1)), max(0.0, min(100.0, x2)), max(0.0, min(70.0, y2)))
+                        if b[2] > b[0] and b[3] > b[1]:
+                            on.append((s, b))
+            sources[p, name] = plain_suppressed(on, 0.4, 4)
+            want += [(name, *b) for b in sources[p, name]]
+        assert got[p] == want
+    groups = [spark.createDataFrame([(p, i, *b) for p in range(12) for i, b in enumerate(sources[p, name])], "page_id long, det_seq int, x1 double, y1 double, x2 double, y2 double") for name in ("even", "odd")]
+    merged = geometry.merged(groups, 0.5, 5).collect()
+    for p in range(12):
+        every = list(enumerate(sources[p, "even"] + sources[p, "odd"]))
+        assert [tuple(getattr(x, c) for c in geometry.BOX) for x in sorted((x for x in merged if x.page_id == p), key=lambda x: x["rank"])] == plain_suppressed(every, 0.5, 5)
+    assert geometry.plugin_boxes({}, [], size).count() == 0
+
+
+def test_fallback_boxes(spark):
+    size = spark.createDataFrame([(1, 100, 60)], "page_id long, width int, height int")
+    assert [tuple(r) for r in geometry.fallback_grid(size, mode="full").collect()] == [(1, 1, 8.0, 8.0, 92.0, 52.0)]
+    assert geometry.fallback_grid(size, enabled=False).count() == 0 and geometry.fallback_grid(size, 0, 1).count() == 1
+
+
+def test_documents_are_written_and_read(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "said", "", [{"idx": 1}], {"[FORMULA_1]": [0.0, 1.0, 2.0, 3.0]}), (2, "", "{}", [], None)], "page_id long, raw_text string, corrected string, options array<map<string,int>>, formula_map map<string,array<double>>")
+    final = documents.assembled(pages)
+    first = json.loads(final.where("page_id = 1").first().document)
+    assert list(first) == list(documents.PARTS) and first["formula_map"] == {"[FORMULA_1]": [0, 1, 2, 3]} and first["llama"] is None
+    documents.write_documents(final, str(tmp_path / "d"))
+    got = documents.evaluate(documents.read_documents(spark, str(tmp_path / "d")))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, True, False, 1, 1, 0), (2, False, True, 0, 0, 0)]
+    (tmp_path / "one.json").write_text(json.dumps(first, indent=2), encoding="utf-8")
+    [whole] = documents.evaluate(documents.read_documents(spark, str(tmp_path / "one.json"), whole_files=True)).collect()
+    assert tuple(whole)[1:] == (True, False, 1, 1, 0)
+    documents.write_report(got, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 2
+    try:
+        documents.read_documents(spark, str(tmp_path / "missing")).count()
+    except Exception as e:
+        assert "PATH_NOT_FOUND" in str(e)
+    else:
+        raise AssertionError
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "train.txt").write_text("a/b.png\n\n c.png \n")
+    assert [r.path for r in files.listed_paths(spark, str(tmp_path / "train.txt")).collect()] == ["a/b.png", "c.png"]
+    assert [one(spark, p, T.base_name) for p in ("/a/b.png", "b.png", "a/b/", "", None)] == ["b.png", "b.png", "b", "", None]
+    (tmp_path / "c.yaml").write_text("a: 1\nb: [x, 가]\n", encoding="utf-8")
+    assert prompts.read_config(str(tmp_path / "c.yaml")) == {"a": 1, "b": ["x", "가"]}
+    for name in ("good", "bad"):
+        (tmp_path / "scans").mkdir(exist_ok=True)
+        (tmp_path / "scans" / f"{name}.bin").write_bytes(name.encode())
+
+    def engine():
+        def find(content):
+            if content == b"bad":
+                raise ValueError("unreadable")
+            return [{"text": "x"}, {"text": "y"}]
+
+        return find
+
+    out = files.recognise(files.pages(spark, str(tmp_path / "scans")), engine, "text string").collect()
+    assert sorted((r.text or "", bool(r.errors)) for r in out) == [("", True), ("x", False), ("y", False)] and all(r.latency_ms >= 0 for r in out)
+    page = spark.createDataFrame([(1, list(range(500)), list(range(500)))], "page_id long, boxes array<int>, chars array<int>")
+    [t] = files.traced(page).collect()
+    assert (len(t.boxes), len(t.chars)) == (200, 400)
+
+
+def test_artifacts(spark, tmp_path):
+    e = spark.createDataFrame([(1, "ocr/raw", "said", None, None), (1_000_000, "x y", None, "{}", b"png")], "log_seq long, stage_name string, text string, json string, image binary")
+    named = files.with_artifacts(e, "run/")
+    assert [dict(r.artifacts) for r in named.orderBy("log_seq").collect()] == [{"text": "run/000001_ocr_raw.txt"}, {"json": "run/1000000_x_y.json", "image": "run/1000000_x_y.png"}]
+    files.write_artifacts(named, str(tmp_path / "a"))
+    assert {r.name: bytes(r.content) for r in spark.read.parquet(str(tmp_path / "a")).collect()}["run/1000000_x_y.png"] == b"png"
+
+
+def test_streams_of_traces(spark, tmp_path):
+    rows = [("a", "2026-01-01T00:00:00Z", 5.0), ("a", "2026-01-01T00:00:30Z", 7.0), ("b", "2026-01-01T00:05:00Z", None), ("", "2026-01-01T00:06:00Z", 1.0), ("a", "2026-01-01T01:00:00Z", 9.0)]
+    for i, (stage, at, took) in enumerate(rows):
+        files.write_trace(spark.createDataFrame([(stage, at, took, "{}", None)], files.TRACE), str(tmp_path / f"t{i}"))
+    stream = traces.events(spark, str(tmp_path / "t*"), files_a_batch=100)
+    for name, df, mode in (("latest", traces.latest_by_stage(stream), "complete"), ("latency", traces.latency(stream), "append")):
+        query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"c_{name}")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    assert {(r.stage_name, r.latency_ms, r.events) for r in spark.table("latest").collect()} == {("a", 9.0, 3), ("b", None, 1)}
+    got = {(r.stage_name, r.start.minute, r.events, r.mean_ms) for r in spark.table("latency").collect()}
+    assert ("a", 0, 2, 6.0) in got and all(r[0] != "a" or r[2] == 2 for r in got)  # the last window is still open
