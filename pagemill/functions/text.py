@@ -5,6 +5,8 @@ White space is Unicode's, as in `(?U)\\s`; letters and digits are Unicode's in `
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,16 @@ NUMBER = rf"(?<![0-9])([0-9]{{1,3}})[.,](?=(?U:\s)|$|[A-Za-z{HANGUL}(\[])"
 SUSPICIOUS = r"|\[\]{}<>@#$%^&*=+~`"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it, also within functions of an array's elements."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def first_by(rows: Column, key: Callable[[Column], Column]) -> Column:
+    """Of an array's elements with one key, the first."""
+    return let(rows, lambda r: let(F.transform(r, key), lambda keys: F.filter(r, lambda _, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -154,27 +166,24 @@ def option_candidates(c: Column) -> Column:
 
     def split_group(g: Column) -> Column:
         signs, words = parts(g, r"(?U)\s*[,|/·ㆍ]\s*"), parts(g, r"(?U)\s+(?:or|OR|또는)\s+")
-        return F.when(F.size(signs) >= 2, signs).when(F.size(words) >= 2, words).otherwise(F.array().cast("array<string>"))
+        none = F.array().cast("array<string>")
+        return let(signs, lambda x: F.when(F.size(x) >= 2, x).otherwise(let(words, lambda y: F.when(F.size(y) >= 2, y).otherwise(none))))
 
     bare = F.filter(F.transform(F.flatten(F.transform(groups, split_group)), lambda p: F.regexp_replace(p, "^['\"“”‘’`]+|['\"“”‘’`]+$", "")), lambda p: p != "")
-
-    def seen(kept: Column, p: Column) -> Column:
-        return F.exists(kept, lambda k: compact(k) == compact(p))
-
-    return F.aggregate(bare, F.array().cast("array<string>"), lambda kept, p: F.when(seen(kept, p), kept).otherwise(F.array_append(kept, p)))
+    return first_by(bare, compact)
 
 
 def noisy_tokens(c: Column) -> Column:
     """Tokens with signs of recognition errors, or of both scripts, each once, whatever its case."""
     tokens = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(rf"([A-Za-z0-9{HANGUL}{{}}\[\]|`~^_+-]{{2,32}})"), F.lit(1))
     noisy = F.filter(tokens, lambda t: (F.length(normalised(t)) >= 2) & (t.rlike(r"[{}\[\]|`~^]") | (t.rlike("[A-Za-z]") & t.rlike(f"[{HANGUL}]"))))
-    return F.aggregate(noisy, F.array().cast("array<string>"), lambda kept, p: F.when(F.exists(kept, lambda k: F.lower(k) == F.lower(p)), kept).otherwise(F.array_append(kept, p)))
+    return first_by(noisy, F.lower)
 
 
 def lexicon_tokens(c: Column) -> Column:
     """Words, each once by its normalised form."""
     tokens = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"([A-Za-z{HANGUL}]{{2,24}})"), F.lit(1))
-    return F.aggregate(tokens, F.array().cast("array<string>"), lambda kept, p: F.when(F.exists(kept, lambda k: F.lower(k) == F.lower(p)), kept).otherwise(F.array_append(kept, p)))
+    return first_by(tokens, F.lower)
 
 
 def preview(c: Column, n: int = 180) -> Column:
@@ -209,6 +218,9 @@ def append_note(note: Column, more: str) -> Column:
 
 def ngrams(tokens: Column, most: int = 3) -> Column:
     """Joined runs of one to `most` tokens, by start, then length."""
-    n = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.when(i + k - 1 <= n, F.array_join(F.slice(tokens, i, k), ""))))
-    return F.array_compact(F.flatten(runs))
+
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.when(i + k - 1 <= n, F.array_join(F.slice(w, i, k), ""))))
+
+    return F.array_compact(F.flatten(let(tokens, runs)))

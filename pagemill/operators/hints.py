@@ -61,12 +61,6 @@ def _keyed(lines: Column, least: int) -> Column:
     return F.filter(F.transform(lines, lambda x: F.struct(x.alias("line"), T.normalised(x).alias("key"))), lambda x: F.length(x["key"]) >= least)
 
 
-def _first(rows: Column, same: Callable[[Column], Column]) -> Column:
-    """Of rows that are the same, the first."""
-    keys = F.transform(rows, same)
-    return F.filter(rows, lambda x, i: F.array_position(keys, same(x)) == i + 1)
-
-
 def _each(rows: Column, texts: Callable[[Column], Column]) -> Column:
     return F.flatten(F.transform(rows, texts))
 
@@ -104,16 +98,16 @@ def hints(of: DataFrame) -> DataFrame:
         "_tokens": F.transform(_each(F.col("_suspects"), lambda b: T.noisy_tokens(b["txt"])), lambda x: F.struct(x.alias("line"), F.lower(x).alias("low"))),
     })
     key = lambda x: x["key"]
-    noisy = F.slice(_first(F.col("_tokens"), lambda x: x["low"]), 1, TOKENS)
-    page = page.withColumns({"_known": _first(F.col("_known"), key), "_words": _first(F.col("_words"), key), "_tokens": _keyed(F.transform(noisy, lambda x: x["line"]), 2)})
+    noisy = F.slice(T.first_by(F.col("_tokens"), lambda x: x["low"]), 1, TOKENS)
+    page = page.withColumns({"_known": T.first_by(F.col("_known"), key), "_words": T.first_by(F.col("_words"), key), "_tokens": _keyed(F.transform(noisy, lambda x: x["line"]), 2)})
     page = page.withColumns({
         "_like": closest(F.transform("_lines", key), F.transform("_known", key), F.lit(-1)),
         "_like_token": closest(F.transform("_tokens", key), F.transform("_words", key), F.lit(BAND)),
     })
     page = page.withColumns({"_lines": _matched("_lines", "_like", "_known", LINE_LIKENESS), "_tokens": _matched("_tokens", "_like_token", "_words", TOKEN_LIKENESS)})
     found, missed = F.filter("_lines", lambda x: x["match"].isNotNull()), F.filter("_lines", lambda x: x["match"].isNull())
-    rewritten = _first(F.filter(found, lambda x: x["match_key"] != x["of"]["key"]), lambda x: F.struct(x["of"]["key"], x["match_key"]))
-    open_lines = _first(missed, lambda x: F.struct(x["of"]["block_id"], x["of"]["key"]))
+    rewritten = T.first_by(F.filter(found, lambda x: x["match_key"] != x["of"]["key"]), lambda x: F.struct(x["of"]["key"], x["match_key"]))
+    open_lines = T.first_by(missed, lambda x: F.struct(x["of"]["block_id"], x["of"]["key"]))
     replaced = F.filter("_tokens", lambda x: x["match_key"] != x["of"]["key"])
     open_tokens = F.filter("_tokens", lambda x: x["match"].isNull())
     block, line, match, ratio = (lambda x: x["of"]["block_id"]), (lambda x: x["of"]["line"]), (lambda x: x["match"]), (lambda x: x["ratio"])

@@ -43,36 +43,39 @@ def pages(blocks: DataFrame, *more: str) -> DataFrame:
     read = read.withColumns({"pieces": F.filter(said, lambda p: p["text"] != ""), "options": T.option_candidates(F.col("txt"))})
     held = read.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in read.columns if c not in ("page_id", "pos")]))).alias("blocks"))
     found = F.flatten(F.transform("blocks", lambda b: F.transform(b["pieces"], lambda p: F.struct(b["pos"].alias("pos"), b["block_id"].alias("block_id"), b["conf"].alias("conf"), p["number"].alias("number"), p["text"].alias("text"), p["options"].alias("options")))))
-    held = held.withColumn("_pieces", found).withColumn("_numbers", F.array_distinct(F.transform("_pieces", lambda p: p["number"])))  # by first appearance
-    anchors = F.transform("_numbers", lambda n: F.filter("blocks", lambda b: F.exists(b["pieces"], lambda p: p["number"] == n))[0])
-    held = held.withColumn("_anchors", anchors)
-
-    def nearest(b: Column) -> Column:
-        """The least cost first, then the question seen first."""
-        costs = F.transform("_anchors", lambda a, i: F.struct(F.when(a["pos"] <= LAST_ANCHOR, geometry.proximity_of(a, b)).alias("cost"), i.alias("i")))
-        best = F.array_min(F.filter(costs, lambda c: c["cost"].isNotNull()))
-        return F.when(best["cost"] <= FARTHEST, F.get("_numbers", best["i"]))
-
-    def owner(b: Column) -> Column:
-        """Of the questions that the block begins, the one seen last."""
-        seen = F.array_max(F.transform(b["pieces"], lambda p: F.array_position("_numbers", p["number"]))).cast("int")
-        return F.when(F.size(b["pieces"]) > 0, F.get("_numbers", seen - 1)).otherwise(nearest(b))
-
-    offers = F.transform(F.filter("blocks", lambda b: F.size(b["options"]) > 0), lambda b: F.struct(owner(b).alias("number"), b["options"].alias("options"), b["stripped"].alias("text")))
-    held = held.withColumn("_offers", offers)
-
-    def question(n: Column) -> Column:
-        own = F.filter("_pieces", lambda p: p["number"] == n)
-        given = F.filter("_offers", lambda o: o["number"] == n)
-        text = T.strip(F.array_join(F.transform(own, lambda p: p["text"]), "\n"))
-        return F.struct(
-            n.alias("question_no"), text.alias("text"), F.array_distinct(F.transform(own, lambda p: p["block_id"])).alias("block_ids"), F.array_min(F.transform(own, lambda p: p["conf"])).alias("confidence_min"),
-            F.array_distinct(F.concat(F.flatten(F.transform(own, lambda p: p["options"])), F.flatten(F.transform(given, lambda o: o["options"])))).alias("option_candidates"),
-            T.strip(F.array_join(F.concat(F.array(text), F.transform(given, lambda o: o["text"])), "\n")).alias("context_text"),
-        )
-
-    asked = F.transform(F.array_sort("_numbers"), question)
-    return held.select("page_id", "blocks", asked.alias("questions"))
+
+    def asked(pieces: Column) -> Column:
+        """The questions of a page's pieces."""
+        numbers = F.array_distinct(F.transform(pieces, lambda p: p["number"]))  # by first appearance
+        return T.let(numbers, lambda n: T.let(anchors_of(n), lambda a: T.let(offers_of(n, a), lambda o: F.transform(F.array_sort(n), lambda x: question(x, pieces, o)))))
+
+    def anchors_of(numbers: Column) -> Column:
+        return F.transform(numbers, lambda n: F.get(F.filter("blocks", lambda b: F.exists(b["pieces"], lambda p: p["number"] == n)), 0))
+
+    def offers_of(numbers: Column, anchors: Column) -> Column:
+        some = F.filter("blocks", lambda b: F.size(b["options"]) > 0)
+        return F.transform(some, lambda b: F.struct(owner(b, numbers, anchors).alias("number"), b["options"].alias("options"), b["stripped"].alias("text")))
+
+    def owner(b: Column, numbers: Column, anchors: Column) -> Column:
+        """Of the questions that the block begins, the one seen last; without any the nearest one, at equal costs the one seen first."""
+        seen = F.array_max(F.transform(b["pieces"], lambda p: F.array_position(numbers, p["number"]))).cast("int")
+        costs = F.transform(anchors, lambda a, i: F.struct(F.when(a["pos"] <= LAST_ANCHOR, geometry.proximity_of(a, b)).alias("cost"), i.alias("i")))
+        nearest = T.let(F.array_min(F.filter(costs, lambda c: c["cost"].isNotNull())), lambda best: F.when(best["cost"] <= FARTHEST, F.get(numbers, best["i"])))
+        return F.when(F.size(b["pieces"]) > 0, F.get(numbers, seen - 1)).otherwise(nearest)
+
+    def question(n: Column, pieces: Column, offers: Column) -> Column:
+        own, given = F.filter(pieces, lambda p: p["number"] == n), F.filter(offers, lambda o: o["number"] == n)
+
+        def made(own: Column, given: Column, text: Column) -> Column:
+            return F.struct(
+                n.alias("question_no"), text.alias("text"), F.array_distinct(F.transform(own, lambda p: p["block_id"])).alias("block_ids"), F.array_min(F.transform(own, lambda p: p["conf"])).alias("confidence_min"),
+                F.array_distinct(F.concat(F.flatten(F.transform(own, lambda p: p["options"])), F.flatten(F.transform(given, lambda o: o["options"])))).alias("option_candidates"),
+                T.strip(F.array_join(F.concat(F.array(text), F.transform(given, lambda o: o["text"])), "\n")).alias("context_text"),
+            )
+
+        return T.let(own, lambda x: T.let(given, lambda y: T.let(T.strip(F.array_join(F.transform(x, lambda p: p["text"]), "\n")), lambda t: made(x, y, t))))
+
+    return held.select("page_id", "blocks", T.let(found, asked).alias("questions"))
 
 
 def chunks(blocks: DataFrame) -> DataFrame:
@@ -83,8 +86,8 @@ def chunks(blocks: DataFrame) -> DataFrame:
 def compose(of: DataFrame) -> DataFrame:
     """A page's text: its questions and what no question took, or all blocks if it has no question; with the coverage. of: `pages`."""
     taken = F.array_distinct(F.flatten(F.transform("questions", lambda q: q["block_ids"])))
-    every = of.withColumn("_taken", taken).withColumn("_filled", F.filter("blocks", lambda b: b["stripped"] != ""))
-    every = every.withColumn("_rest", F.filter("_filled", lambda b: ~F.array_contains("_taken", b["block_id"])))
+    every = of.withColumn("_filled", F.filter("blocks", lambda b: b["stripped"] != ""))
+    every = every.withColumn("_rest", T.let(taken, lambda ids: F.filter("_filled", lambda b: ~F.array_contains(ids, b["block_id"]))))
     asked = F.filter("questions", lambda q: T.strip(q["text"]) != "")
     every = every.select(
         "page_id",
