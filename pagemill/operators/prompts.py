@@ -7,12 +7,11 @@ expressions over a page's payload; only pretty-printing of JSON needs Python, on
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from . import documents
 
@@ -110,17 +109,23 @@ def settings(config: dict | None, template: dict | None = None, stage: dict | No
     return {**(template or {}), **(config or {}), **(stage or {})}
 
 
-@F.pandas_udf(StringType())
-def pretty(texts: pd.Series) -> pd.Series:
+def indented(text: str | None) -> str | None:
     """JSON with indents of two; null for what isn't JSON."""
+    try:
+        return json.dumps(json.loads(text), ensure_ascii=False, indent=2) if text is not None else None
+    except json.JSONDecodeError:
+        return None
 
-    def one(text: str | None) -> str | None:
-        try:
-            return json.dumps(json.loads(text), ensure_ascii=False, indent=2) if text is not None else None
-        except json.JSONDecodeError:
-            return None
 
-    return texts.map(one, na_action="ignore").astype(object)
+def with_indents(df: DataFrame, *columns: str) -> DataFrame:
+    """df with the JSON of columns indented."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = {c: pa.array([indented(x) for x in batch.column(c).to_pylist()], batch.schema.field(c).type) for c in columns}
+            yield pa.RecordBatch.from_arrays([held.get(c, batch.column(c)) for c in batch.schema.names], schema=batch.schema)
+
+    return df.mapInArrow(run, df.schema)
 
 
 def _rules(lines: tuple | list) -> str:
@@ -140,7 +145,7 @@ def basic(text: Column, config: dict) -> Column:
 def workbook(payload: Column, hints: Column, expected: Column, config: dict, draft: Column | None = None) -> Column:
     """Asks for a page's payload as structured items: schema, rules, numbers that must be there, draft, hints and input.
 
-    payload and hints are JSON, hints or a draft may be null or empty; expected is an array of numbers.
+    payload and hints are indented JSON, hints or a draft may be null or empty; expected is an array of numbers.
     """
     head = (
         f"Convert the following OCR result into JSON.\n\n### Target JSON Schema (strict)\n{config.get('target_schema_text', WORKBOOK_SCHEMA)}\n\n"
@@ -152,8 +157,8 @@ def workbook(payload: Column, hints: Column, expected: Column, config: dict, dra
     if draft is not None:
         said = F.concat(F.lit("### Fast model draft (reference only)\n"), draft, F.lit("\n\nUse the draft only as a hint. Fix errors and output final JSON only.\n\n"))
         parts.append(F.when(F.coalesce(draft, F.lit("")) != "", said).otherwise(""))
-    shown = F.concat(F.lit(f"### OCR cleanup hints (apply conservatively)\n{_rules(HINT_RULES)}\n"), pretty(hints), F.lit("\n\n"))
-    parts += [F.coalesce(shown, F.lit("")), F.lit("### Input (ordered OCR blocks)\n"), pretty(payload), F.lit("\n")]
+    shown = F.concat(F.lit(f"### OCR cleanup hints (apply conservatively)\n{_rules(HINT_RULES)}\n"), hints, F.lit("\n\n"))
+    parts += [F.coalesce(shown, F.lit("")), F.lit("### Input (ordered OCR blocks)\n"), payload, F.lit("\n")]
     return F.concat(*parts)
 
 
@@ -173,9 +178,10 @@ def messages(pages: DataFrame, config: dict, draft: str | None = None) -> DataFr
     """
     shown = F.col(draft) if draft else None
     if str(config.get("prompt_mode", "basic")).lower() == "workbook_json":
-        payload = F.coalesce("payload", plain_payload(F.col("text")))
+        shaped = with_indents(pages.withColumns({"_payload": F.coalesce("payload", plain_payload(F.col("text"))), "_hints": F.col("hints").cast("string")}), "_payload", "_hints")
         expected = F.coalesce("expected_numbers", F.array().cast("array<int>"))
-        return pages.withColumn("messages", documents.messages(config.get("system_prompt", WORKBOOK_SYSTEM), workbook(payload, F.col("hints"), expected, config, shown)))
+        chat = documents.messages(config.get("system_prompt", WORKBOOK_SYSTEM), workbook(F.col("_payload"), F.col("_hints"), expected, config, shown))
+        return shaped.withColumn("messages", chat).drop("_payload", "_hints")
     prompt = basic(F.col("text"), config)
     if shown is not None:
         more = F.concat(F.lit("\nFast model draft:\n"), shown, F.lit("\n\nUse draft only as hint and output final answer.\n"))
@@ -234,7 +240,7 @@ def as_json(answered: DataFrame, client: Callable[[], Callable[[str], str]], con
     again = F.coalesce("answer", F.lit(""))
     chosen = F.when(F.col("_prompt").isNull(), F.col("_answer")).when(F.try_parse_json("answer").isNotNull(), F.col("answer")).otherwise(fallback(again, config))
     error = F.coalesce("error", "_error") if "error" in answered.columns else F.col("error")
-    return second.withColumns({"answer": pretty(chosen), "error": error}).drop("_prompt", "_answer", "_error")
+    return with_indents(second.withColumns({"answer": chosen, "error": error}).drop("_prompt", "_answer", "_error"), "answer")
 
 
 def with_all_numbers(answered: DataFrame, client: Callable[[], Callable[[str], str]], config: dict) -> DataFrame:
