@@ -35,6 +35,8 @@ COMMON = 256
 LONG, LONG_SHINGLES, CHUNK, CHUNK_SHINGLES = 1_024, 1_000_000, 768, 500_000
 #: Standard deviations that an estimate may lie below the threshold before a pair is left out (a chance of about 1e-7).
 DEVIATIONS = 5.2
+#: Rows, and columns, of a cell's matrices that are worked on at a time.
+ROWS, COLUMNS = 128, 1024
 #: Distinct words whose hashes a task remembers.
 REMEMBERED = 150_000
 _M = np.uint64(0xFF51AFD7ED558CCD)
@@ -108,28 +110,34 @@ def candidates(ids: np.ndarray, sizes: np.ndarray, sketches_: list[np.ndarray],
     shared = np.zeros((g, g), dtype=np.float32)
     order = np.argsort(columns, kind="stable")
     rows, columns = rows[order], columns[order]
-    for start in range(0, width, 4096):
-        lo, hi = np.searchsorted(columns, [start, start + 4096])
-        m = np.zeros((g, min(4096, width - start)), dtype=np.float32)
+    for start in range(0, width, COLUMNS):
+        lo, hi = np.searchsorted(columns, [start, start + COLUMNS])
+        m = np.zeros((g, min(COLUMNS, width - start)), dtype=np.float32)
         m[rows[lo:hi], columns[lo:hi] - start] = 1
         shared += m @ m.T
     # values up to the smaller of both last values are a sample of the union; whole sets end nowhere
     last = np.array([float(s[-1]) if n > len(s) else math.inf for s, n in zip(sketches_, sizes, strict=True)])
     below = np.stack([np.searchsorted(s, last, side="right") for s in sketches_], axis=1).astype(np.float32)  # [i, j]: of j's, up to i's last
-    own = np.where(last[:, None] <= last[None, :], lengths[:, None], below.T)  # i's values in the sample
-    sample = own + own.T - shared
-    union = (sizes[:, None] + sizes[None, :]) / (1 + similar / 100)
     p = similar / 100
-    slack = DEVIATIONS * np.sqrt(p * (1 - p) / sample * np.clip(1 - sample / union, 0, None))
-    likely = shared / sample
-    if parts is None:
-        fits = likely >= p - slack - 1e-3
-    else:
-        fits = 100 * shared.astype(np.float64) >= similar * sample.astype(np.float64)
-    fits &= 100 * np.minimum(sizes[:, None], sizes[None, :]) >= similar * np.maximum(sizes[:, None], sizes[None, :])
-    np.fill_diagonal(fits, False)
+
+    def likeness(part: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Of some rows: the likeness to all by their sample, and whether the pair may reach the threshold (with parts: does)."""
+        own = np.where(last[part, None] <= last[None, :], lengths[part, None], below[:, part].T)  # i's values in the sample
+        other = np.where(last[None, :] <= last[part, None], lengths[None, :], below[part])  # j's
+        sample = own + other - shared[part]
+        if parts is None:
+            union = (sizes[part, None] + sizes[None, :]) / (1 + p)
+            slack = DEVIATIONS * np.sqrt(p * (1 - p) / sample * np.clip(1 - sample / union, 0, None))
+            fits = shared[part] / sample >= p - slack - 1e-3
+        else:
+            fits = 100 * shared[part].astype(np.float64) >= similar * sample.astype(np.float64)
+            fits &= parts[part, None] != parts[None, :]
+        fits &= 100 * np.minimum(sizes[part, None], sizes[None, :]) >= similar * np.maximum(sizes[part, None], sizes[None, :])
+        fits[np.arange(fits.shape[0]), np.arange(part.start, part.stop)] = False
+        return shared[part] / sample, fits
+
+    blocks = [slice(i, min(i + ROWS, g)) for i in range(0, g, ROWS)]  # so that few matrices of all pairs are held
     if parts is not None:
-        fits &= parts[:, None] != parts[None, :]
         above = {int(x): int(x) for x in parts}
 
         def top(x: int) -> int:
@@ -137,15 +145,20 @@ def candidates(ids: np.ndarray, sizes: np.ndarray, sketches_: list[np.ndarray],
                 above[x] = x = above[above[x]]
             return x
 
-        for i, j in zip(*np.nonzero(np.triu(fits)), strict=True):
-            x, y = top(int(parts[i])), top(int(parts[j]))
-            if x != y:
-                above[max(x, y)] = min(x, y)
-                yield (int(ids[i]), int(ids[j])) if ids[i] < ids[j] else (int(ids[j]), int(ids[i]))
+        for block in blocks:
+            for i, j in zip(*np.nonzero(likeness(block)[1]), strict=True):
+                i += block.start
+                x, y = top(int(parts[i])), top(int(parts[j]))
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    yield (int(ids[i]), int(ids[j])) if ids[i] < ids[j] else (int(ids[j]), int(ids[i]))
         return
-    likely = np.where(fits, likely, -1.0)
-    left = fits.any(axis=1)
-    best, by = np.full(g, -1.0), np.zeros(g, dtype=np.int64)
+    likely = np.empty((g, g), dtype=np.float32)
+    for block in blocks:
+        like, fits = likeness(block)
+        likely[block] = np.where(fits, like, -1.0)
+    left = (likely >= 0).any(axis=1)
+    best, by = np.full(g, -1.0, dtype=np.float32), np.zeros(g, dtype=np.int64)
     while left.any():
         i = int(np.argmax(np.where(left, best, -2.0)))
         if best[i] >= 0:

@@ -27,6 +27,8 @@ SLICES, HASHES = 1 << 17, 3
 ORDERS = (3, 4)
 #: n-grams that a filter holds at least to be evidence; share of a text's n-grams that some language has, below which it is foreign.
 LEAST_GRAMS, LEAST_KNOWN = 200, 0.05
+#: n-grams that a task holds before it passes their counts on.
+HELD = 1_000_000
 #: Characters whose n-grams are looked up at once.
 CHARACTERS = 1 << 18
 
@@ -166,7 +168,7 @@ def learn(docs: DataFrame, *, max_train: int = MAX_TRAIN) -> Filters:
                 h = np.unique(all_grams(text))
                 held.setdefault(lang, []).append(h)
                 size += len(h)
-                if size > 4_000_000:
+                if size > HELD:
                     yield from flush()
                     size = 0
         yield from flush()

@@ -25,6 +25,8 @@ from .common import fold_of, most_frequent, sample_by_hash, slices, table, writt
 MAX_TRAIN = 30_000
 #: Terms that are counted in clean rows, and that a lexicon keeps, at most.
 MAX_CANDIDATES, MAX_TERMS, MAX_EXCEPTIONS = 50_000, 2_000, 2_000
+#: Different terms that a task counts at a time.
+HELD = 100_000
 #: Lengths of a term in characters, without the space before it.
 SHORTEST, LONGEST = 4, 12
 #: Words that a text's length counts as having besides its own, so that short texts need more than a chance hit.
@@ -159,15 +161,25 @@ def learn(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, fol
         return Lexicon()
 
     def count(make):
+        """Rows of either kind that have each key; a task passes its counts on before it holds too many."""
+        schema = pa.schema([("key", pa.string()), ("one", pa.int64()), ("none", pa.int64())])
+
         def run(batches):
-            one, none = Counter(), Counter()
+            held = {1: Counter(), 0: Counter()}
+
+            def flush():
+                for toxic, counts in held.items():
+                    n = pa.array(list(counts.values()), pa.int64())
+                    zero = pa.array(np.zeros(len(n), dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), n if toxic else zero, zero if toxic else n], schema=schema)
+                    counts.clear()
+
             for batch in slices(batches, "text"):
                 for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                    (one if toxic else none).update(make(text))
-            keys = list(one.keys() | none.keys())
-            for i in range(0, len(keys), 50_000):
-                part = keys[i : i + 50_000]
-                yield pa.RecordBatch.from_pydict({"key": part, "one": [one[k] for k in part], "none": [none[k] for k in part]}, schema=pa.schema([("key", pa.string()), ("one", pa.int64()), ("none", pa.int64())]))
+                    held[int(bool(toxic))].update(make(text))
+                    if len(held[0]) + len(held[1]) > HELD:
+                        yield from flush()
+            yield from flush()
 
         return run
 
