@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
-#: Rows that Spark hands to a Python worker at once: texts are long, and both sides hold a whole batch.
-BATCH_ROWS = "1000"
+#: Rows and bytes that Spark hands to a Python worker at once, at most: texts are long, and both sides hold a whole batch.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. Lowers the session's bound of Arrow batches, which counts rows as if they were short, if it is higher."""
-    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(size)) <= int(BATCH_ROWS):
-        spark.conf.set(size, BATCH_ROWS)
+    """A table of the folder. Lowers the session's bounds of Arrow batches, which are made for short rows, if they are higher."""
+    for key, most in BATCH.items():
+        if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
