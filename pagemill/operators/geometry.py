@@ -124,24 +124,26 @@ def option_blocks(options: DataFrame, texts: DataFrame, markers: DataFrame, prio
     return out.select("page_id", "idx", F.coalesce("text", F.lit("")).alias("text"), final.alias("mark"), "markers", reason.alias("reason"))
 
 
-def lines(df: DataFrame, threshold: float = 0.5, by_centre: bool = False) -> DataFrame:
-    """line_no and reading_rank (both from 1) of each box.
+def lines(df: DataFrame, threshold: float = 0.5, by_centre: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """line_no and reading_rank (both from 1) of each box, with the columns `carry`.
 
     Boxes come by top, then left edge (or by vertical centre). A box joins the line whose running centre is within threshold
     times its running height; both then move halfway to the box's own. Lines read from left to right.
     """
     centre, height = (F.col("y1") + F.col("y2")) / 2, F.greatest(F.lit(1.0), F.col("y2") - F.col("y1"))
     first = centre if by_centre else F.col("y1")
-    pages = df.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(first.alias("first"), F.col("x1").alias("left"), "det_seq", centre.alias("cy"), height.alias("h")))).alias("boxes"))
-    start = "named_struct('cy', cast(null as double), 'ch', cast(null as double), 'line', 0, 'out', cast(array() as array<struct<line:int,left:double,at:int,det_seq:int>>))"
+    row = F.struct(F.lit(0).alias("_"), *carry)
+    kept = df.select(row.alias("row")).schema["row"].dataType.simpleString()
+    pages = df.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(first.alias("first"), F.col("x1").alias("left"), "det_seq", centre.alias("cy"), height.alias("h"), row.alias("row")))).alias("boxes"))
+    start = f"named_struct('cy', cast(null as double), 'ch', cast(null as double), 'line', 0, 'out', cast(array() as array<struct<line:int,left:double,at:int,det_seq:int,row:{kept}>>))"
     same = f"s.cy is not null and abs(b.cy - s.cy) <= s.ch * {threshold}D"
     line = f"if({same}, s.line, s.line + 1)"
     step = (
         f"named_struct('cy', if({same}, (s.cy + b.cy) / 2, b.cy), 'ch', if({same}, (s.ch + b.h) / 2, b.h), 'line', {line}, "
-        f"'out', array_append(s.out, named_struct('line', {line}, 'left', b.left, 'at', size(s.out), 'det_seq', b.det_seq)))"
+        f"'out', array_append(s.out, named_struct('line', {line}, 'left', b.left, 'at', size(s.out), 'det_seq', b.det_seq, 'row', b.row)))"
     )
     folded = pages.select("page_id", F.array_sort(F.expr(f"aggregate(boxes, {start}, (s, b) -> {step}, s -> s.out)")).alias("out"))
-    return folded.select("page_id", F.posexplode("out").alias("rank", "b")).select("page_id", "b.det_seq", F.col("b.line").alias("line_no"), (F.col("rank") + 1).alias("reading_rank"))
+    return folded.select("page_id", F.posexplode("out").alias("rank", "b")).select("page_id", "b.det_seq", F.col("b.line").alias("line_no"), (F.col("rank") + 1).alias("reading_rank"), *[F.col(f"b.row.{c}").alias(c) for c in carry])
 
 
 def intersecting(text: DataFrame, markers: DataFrame) -> DataFrame:

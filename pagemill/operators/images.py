@@ -13,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import geometry
 
 #: Half degrees of hue that count as red on both sides of zero, least saturation and value, darkness of text.
 HUE, SATURATION, VALUE, DARK = 15, 70, 35, 150
@@ -29,6 +32,12 @@ def read_ppm(content: bytes) -> np.ndarray:
     return np.frombuffer(content, np.uint8, width * height * 3, head.end()).reshape(height, width, 3)
 
 
+def write_ppm(image: np.ndarray) -> bytes:
+    """The pixmap of an image, or of a grey plane."""
+    full = np.stack([image] * 3, axis=-1) if image.ndim == 2 else image
+    return b"P6 %d %d 255\n" % (full.shape[1], full.shape[0]) + np.ascontiguousarray(full, np.uint8).tobytes()
+
+
 def red_ink(image: np.ndarray, saturation: int = SATURATION, value: int = VALUE) -> np.ndarray:
     """Where red ink is. Integers alone: hue is rounded to half degrees, saturation to 255ths, without dividing."""
     r, g, b = (image[..., i].astype(np.int64) for i in range(3))
@@ -185,6 +194,104 @@ def variants(crop: np.ndarray, most: int = 5, more: dict[str, Callable[[np.ndarr
     return [(name, f(crop)) for name, f in list(made.items())[: max(1, most)]]
 
 
+def _stretched(image: np.ndarray, size: int, axis: int) -> np.ndarray:
+    """An axis brought to a larger size: a cubic through four neighbours, fewer at the edges."""
+    old = image.shape[axis]
+    centre = (np.arange(size) + 0.5) * old / size
+    first = np.floor(centre - 0.5).astype(np.int64) - 1
+    shape = [-1 if a == axis else 1 for a in range(image.ndim)]
+    out, total = 0.0, np.zeros(size)
+    for at in (first + k for k in range(4)):
+        d = np.abs(at + 0.5 - centre)
+        weight = np.where(d < 1, (1.5 * d - 2.5) * d * d + 1, ((2.5 - 0.5 * d) * d - 4) * d + 2) * ((at >= 0) & (at < old))
+        out, total = out + np.take(image, np.clip(at, 0, old - 1), axis) * weight.reshape(shape), total + weight
+    return np.clip(np.floor(out / total.reshape(shape) + 0.5), 0, 255)
+
+
+def enlarged(image: np.ndarray, scale: float) -> np.ndarray:
+    """The image with both sides multiplied and cut to whole pixels; as it is for scales up to 1."""
+    if scale <= 1.0 or not image.size:
+        return image
+    wide = _stretched(image.astype(np.float64), int(image.shape[1] * scale), 1)
+    return _stretched(wide, int(image.shape[0] * scale), 0).astype(np.uint8)
+
+
+#: Width of the surroundings and distance to their mean, by which a crop becomes black and white.
+CROP_BLOCK, CROP_C = 35, 11
+
+
+def prepared(crop: np.ndarray, mode: str = "none", scale: float = 1.0) -> np.ndarray:
+    """A crop to recognise: as it is, in grey (`gray`) or black and white (`adaptive`), then enlarged."""
+    if mode == "gray":
+        crop = np.stack([grey(crop)] * 3, axis=-1)
+    elif mode == "adaptive":
+        crop = np.stack([np.where(marks(grey(crop), blur=1, block=CROP_BLOCK, c=CROP_C), 0, 255).astype(np.uint8)] * 3, axis=-1)
+    return enlarged(crop, scale)
+
+
+def crops(images: DataFrame, boxes: DataFrame, pad: int = 0, kernel: Callable[[np.ndarray], np.ndarray] = lambda crop: crop, decode: Callable[[bytes], np.ndarray] = read_ppm, encode: Callable[[np.ndarray], bytes] = write_ppm) -> DataFrame:
+    """page_id, box_id, crop and errors of each box (page_id, box_id, x1, y1, x2, y2): what the kernel makes of its part of the page's image (page_id, content).
+
+    Boxes are cut to whole numbers, padded and kept on the page. A page's image is moved and decoded once, with all its
+    boxes. A box of a missing or unreadable image, one outside the page and one with a null edge are rows with errors.
+    """
+    of = boxes.groupBy("page_id").agg(F.collect_list(F.struct(F.col("box_id").cast("long").alias("box_id"), *[F.col(c).cast("double").alias(c) for c in geometry.BOX])).alias("boxes"))
+    pages = of.join(images.select("page_id", "content"), "page_id", "left").select(F.col("page_id").cast("long").alias("page_id"), "content", "boxes")
+
+    def cut(image: np.ndarray, box: dict) -> bytes:
+        x1, y1, x2, y2 = (int(box[c]) for c in geometry.BOX)
+        part = image[max(0, y1 - pad) : max(0, y2 + pad), max(0, x1 - pad) : max(0, x2 + pad)]
+        if not part.size:
+            raise ValueError("nothing of the box is on the page")
+        return encode(kernel(part))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("page_id", pa.int64()), ("box_id", pa.int64()), ("crop", pa.binary()), ("errors", pa.list_(pa.string()))])
+        for batch in batches:
+            for page, content, some in zip(*(batch.column(c) for c in ("page_id", "content", "boxes")), strict=True):
+                rows, image, failed = [], None, None
+                try:
+                    image = decode(content.as_py())
+                except Exception as e:  # noqa: BLE001  an unreadable image is an error of each of its boxes
+                    failed = f"{type(e).__name__}: {e}"
+                for box in some.as_py():
+                    crop, error = None, failed
+                    if image is not None:
+                        try:
+                            crop = cut(image, box)
+                        except Exception as e:  # noqa: BLE001  one box's failure is that box's row
+                            error = f"{type(e).__name__}: {e}"
+                    rows.append({"page_id": page.as_py(), "box_id": box["box_id"], "crop": crop, "errors": [error] if error else None})
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return pages.mapInArrow(run, "page_id long, box_id long, crop binary, errors array<string>")
+
+
+#: Settings of `characters` where the caller's have none (fixed values).
+CHARACTERS = {"blur_kernel": 3, "threshold_mode": "adaptive", "adaptive_block_size": 31, "adaptive_c": 11, "min_area": 16, "max_area_ratio": 0.03, "min_w": 2, "min_h": 6, "max_boxes": 5000, "line_thresh": 0.6, "label_limit": 120, "gallery_limit": 120, "gallery_columns": 12}
+
+
+def characters(images: DataFrame, config: dict | None = None, decode: Callable[[bytes], np.ndarray] = read_ppm) -> DataFrame:
+    """The marks of each image (page_id, content): box, det_seq by vertical centre, line_no and reading_rank, labels, place in a gallery.
+
+    label and reading_label number the first marks of either order and are empty for the rest; row and column place the
+    first marks of the reading order, and are null for the rest. An image without marks, or unreadable, has no rows.
+    """
+    c = {**CHARACTERS, **(config or {})}
+
+    def kernel(image: np.ndarray) -> list[dict]:
+        mask = marks(grey(image), str(c["threshold_mode"]), int(c["blur_kernel"]), int(c["adaptive_block_size"]), int(c["adaptive_c"]))
+        found = mark_boxes(mask, int(c["min_area"]), float(c["max_area_ratio"]), int(c["min_w"]), int(c["min_h"]), int(c["max_boxes"]))
+        return [{"det_seq": n, **dict(zip(geometry.BOX, box, strict=True))} for n, box in enumerate(found, 1)]
+
+    found = apply(images, kernel, "det_seq int, x1 double, y1 double, x2 double, y2 double", decode).where("errors is null")
+    placed = geometry.lines(found, float(c["line_thresh"]), by_centre=True, carry=geometry.BOX)
+    at = F.col("reading_rank") - 1
+    shown, wide = at < max(1, int(c["gallery_limit"])), max(1, int(c["gallery_columns"]))
+    label = [F.when(F.col(n) <= int(c["label_limit"]), F.col(n).cast("string")).otherwise("") for n in ("det_seq", "reading_rank")]
+    return placed.withColumns({"label": label[0], "reading_label": label[1], "row": F.when(shown, F.floor(at / wide).cast("int")), "column": F.when(shown, (at % wide).cast("int"))})
+
+
 def apply(images: DataFrame, kernel: Callable[[np.ndarray], list[dict]], schema: str, decode: Callable[[bytes], np.ndarray] = read_ppm) -> DataFrame:
     """Rows that the kernel makes of each image (page_id, content), with page_id and errors; a null image is an error too.
 

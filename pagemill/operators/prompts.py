@@ -109,6 +109,12 @@ def settings(config: dict | None, template: dict | None = None, stage: dict | No
     return {**(template or {}), **(config or {}), **(stage or {})}
 
 
+def with_template(config: dict | None) -> dict:
+    """Settings over those of the file that they name as prompt_template, if any."""
+    path = (config or {}).get("prompt_template")
+    return settings(config, read_config(path) if path else None)
+
+
 def indented(text: str | None) -> str | None:
     """JSON with indents of two; null for what isn't JSON."""
     try:

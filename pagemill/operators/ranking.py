@@ -52,9 +52,9 @@ def rank(candidates: DataFrame, consensus_column: str | None = "consensus") -> D
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("page_id", "box_id").orderBy(F.desc("composite"), "cand_seq")))
 
 
-def pick_result(candidates: DataFrame) -> DataFrame:
-    """The candidate of each region with the largest sum of score, consensus by value and confidence; the earliest wins ties."""
-    total = T.heuristic_score(F.col("text")) + F.col("consensus") + F.coalesce("conf", F.lit(0.0))
+def pick_result(candidates: DataFrame, confidence: bool = True) -> DataFrame:
+    """The candidate of each region with the largest sum of score, consensus by value and, if wanted, confidence; the earliest wins ties."""
+    total = T.heuristic_score(F.col("text")) + F.col("consensus") + (F.coalesce("conf", F.lit(0.0)) if confidence else F.lit(0.0))
     order = Window.partitionBy("page_id", "box_id").orderBy(F.desc("total"), "cand_seq")
     return consensus(candidates, by_value=True).withColumn("total", total).withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
 

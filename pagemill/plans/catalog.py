@@ -772,10 +772,12 @@ def red_ink_counts(spark, sf):
     return images.apply(drawn, lambda image: [{"red": int(images.red_ink(image).sum())}], "red long").select(F.col("page_id").alias("p_partkey"), "red")
 
 
-@query("""select p_partkey, cast(2 + 20 * j as double) as x1, cast(2 + (p_partkey + j) % 4 as double) as y1, cast(2 + 20 * j + 4 + (p_partkey * (j + 3)) % 9 as double) as x2,
-cast(2 + (p_partkey + j) % 4 + 7 + (p_partkey * (j + 1)) % 8 as double) as y2 from part, range(3) t(j)""")
-def mark_boxes(spark, sf):
-    """Boxes of the marks of an image for each part: three dark rectangles, found again by threshold and connected regions."""
+_MARKS = """cast(2 + 20 * j as double) as x1, cast(2 + (p_partkey + j) % 4 as double) as y1, cast(2 + 20 * j + 4 + (p_partkey * (j + 3)) % 9 as double) as x2,
+cast(2 + (p_partkey + j) % 4 + 7 + (p_partkey * (j + 1)) % 8 as double) as y2 from part, range(3) t(j)"""
+
+
+def _marked(spark, sf) -> DataFrame:
+    """An image for each part, of three dark rectangles."""
     p = F.col("p_partkey")
 
     def colour(i):
@@ -786,9 +788,36 @@ def mark_boxes(spark, sf):
             inside |= (x >= left) & (x < left + 4 + (p * (j + 3)) % 9) & (y >= top) & (y < top + 7 + (p * (j + 1)) % 8)
         return F.when(inside, "202020").otherwise("F0F0F0")
 
+    return table(spark, sf, "part").select(p.alias("page_id"), _pixmap(60, 24, colour).alias("content"))
+
+
+@query(f"select p_partkey, {_MARKS}")
+def mark_boxes(spark, sf):
+    """Boxes of the marks of an image for each part, found again by threshold and connected regions."""
+
     def kernel(image):
         found = images.mark_boxes(images.marks(images.grey(image), "otsu", blur=1), max_ratio=1.0)
         return [dict(zip(("x1", "y1", "x2", "y2"), box, strict=True)) for box in found]
 
-    drawn = table(spark, sf, "part").select(p.alias("page_id"), _pixmap(60, 24, colour).alias("content"))
-    return images.apply(drawn, kernel, "x1 double, y1 double, x2 double, y2 double").select(F.col("page_id").alias("p_partkey"), "x1", "y1", "x2", "y2")
+    return images.apply(_marked(spark, sf), kernel, "x1 double, y1 double, x2 double, y2 double").select(F.col("page_id").alias("p_partkey"), "x1", "y1", "x2", "y2")
+
+
+@query(f"""with recursive m as (select p_partkey as page_id, {_MARKS}), b as (select *, row_number() over (partition by page_id order by (y1 + y2) / 2, x1) as det_seq from m),
+{_lines_sql('(y1 + y2) / 2', 0.6, 'b')}
+select page_id, det_seq, x1, y1, x2, y2, line_no, reading_rank, case when det_seq <= 2 then cast(det_seq as varchar) else '' end as label, case when reading_rank <= 2 then cast(reading_rank as varchar) else '' end as reading_label,
+ cast((reading_rank - 1) // 2 as int) as row, (reading_rank - 1) % 2 as column from placed join b using (page_id, det_seq)""")
+def character_marks(spark, sf):
+    """The marks of an image for each part in reading order, with labels and places in a gallery of two columns."""
+    return images.characters(_marked(spark, sf), {"threshold_mode": "otsu", "blur_kernel": 1, "max_area_ratio": 1.0, "label_limit": 2, "gallery_columns": 2})
+
+
+@query(f"""with b as (select p_partkey as page_id, j + 1 as box_id, greatest(0, 2 + 20 * j - 1) as l, greatest(0, 1 + (p_partkey + j) % 4) as t, least(60, 20 * j + 13) as r, least(24, 12 + p_partkey % 20) as b from part, range(3) g(j)),
+px as (select page_id, box_id, y, x, coalesce((select max(1) from range(3) m(j) where x >= 2 + 20 * j and x < 6 + 20 * j + (page_id * (j + 3)) % 9 and y >= 2 + (page_id + j) % 4 and y < 9 + (page_id + j) % 4 + (page_id * (j + 1)) % 8), 0) as dark, r - l as w, b - t as h
+ from b, range(60) u(x), range(24) v(y) where x >= l and x < r and y >= t and y < b)
+select page_id, box_id, hex(encode('P6 ' || max(w) || ' ' || max(h) || ' 255' || chr(10))) || string_agg(case dark when 1 then '202020' else 'F0F0F0' end, '' order by y, x) as crop from px group by page_id, box_id""")
+def page_crops(spark, sf):
+    """A padded crop for each of three boxes on an image for each part."""
+    j, p = F.col("box_id") - 1, F.col("page_id")
+    edges = {"x1": 2.7 + 20 * j, "y1": 2 + (p + j) % 4, "x2": 12.9 + 20 * j, "y2": 11 + p % 20}
+    asked = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("box_id")).withColumns(edges)
+    return images.crops(_marked(spark, sf), asked, 1).select("page_id", "box_id", F.hex("crop").alias("crop"))

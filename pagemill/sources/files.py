@@ -94,6 +94,20 @@ def write_artifacts(events: DataFrame, path: str) -> None:
     named.select("name", content.alias("content")).write.mode("overwrite").parquet(path)
 
 
+#: Settings of a detector where the caller's have none (fixed values).
+DETECTOR = {"model": "yolov8n.pt", "conf": 0.25, "imgsz": 1024, "device": None, "classes": None, "max_det": 300, "crop_padding": 6, "line_thresh": 0.5}
+
+
+def detector_options(config: dict, accelerated: Callable[[], bool] = lambda: False) -> dict:
+    """A detector's settings: defaults, numbers of their defaults' types, and the processor for a device that isn't there.
+
+    accelerated says whether other devices than the processor and `mps` can be used; it is asked only where one is named.
+    """
+    out = {k: config.get(k, v) if v is None or isinstance(v, str) else type(v)(config.get(k, v)) for k, v in DETECTOR.items()}
+    named = out["device"] is not None and str(out["device"]).strip().lower() not in ("cpu", "mps", "")
+    return {**out, "device": "cpu" if named and not accelerated() else out["device"]}
+
+
 def class_name(index: Column, names: dict[int, str]) -> Column:
     """The name of a detector's class, or class_<i> for one without."""
     known = F.create_map(*[x for i, n in names.items() for x in (F.lit(i), F.lit(n))])

@@ -111,6 +111,57 @@ def test_unreadable_images_are_rows(spark):
     assert all(got[i]["red"] is None and got[i]["errors"] for i in (2, 3, 4))
 
 
+def test_crops(spark):
+    """Boxes beyond the page, null edges, missing and unreadable images are rows with errors; the rest is cut as an array is."""
+    image = np.arange(7 * 9 * 3, dtype=np.uint8).reshape(7, 9, 3)
+    pages = spark.createDataFrame([(1, images.write_ppm(image), "x"), (2, b"GIF", "x")], "page_id long, content binary, errors string")
+    rows = [(1, 1, 2.9, 1.0, 5.0, 4.0), (1, 2, -3.0, -2.0, 99.0, 99.0), (1, 3, 20.0, 1.0, 25.0, 3.0), (1, 4, None, 1.0, 2.0, 3.0), (2, 1, 0.0, 0.0, 1.0, 1.0), (3, 1, 0.0, 0.0, 1.0, 1.0)]
+    boxes = spark.createDataFrame(rows, "page_id long, box_id long, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.page_id, r.box_id): r for r in images.crops(pages, boxes, 1).collect()}
+    assert len(got) == len(rows)
+    assert (images.read_ppm(got[1, 1].crop) == image[0:5, 1:6]).all() and got[1, 1].errors is None
+    assert (images.read_ppm(got[1, 2].crop) == image).all()
+    assert all(got[k].crop is None and got[k].errors for k in ((1, 3), (1, 4), (2, 1), (3, 1)))
+    assert images.crops(pages, boxes.limit(0)).count() == 0
+    twice = {(r.page_id, r.box_id): r.crop for r in images.crops(pages, boxes, 0, lambda crop: images.prepared(crop, "gray", 2.0)).collect()}
+    assert images.read_ppm(twice[1, 1]).shape == (6, 6, 3)
+
+
+def plain_cubic(image, width, height):
+    def weight(d):
+        d = abs(d)
+        return 1.5 * d**3 - 2.5 * d**2 + 1 if d < 1 else -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2 if d < 2 else 0.0
+
+    def weights(n, m):
+        all_of = [[weight(x + 0.5 - (i + 0.5) * n / m) for x in range(n)] for i in range(m)]
+        return np.array([[w / sum(row) for w in row] for row in all_of])
+
+    wide = np.einsum("xw,hwc->hxc", weights(image.shape[1], width), image.astype(float))
+    wide = np.clip(np.floor(wide + 0.5), 0, 255)
+    return np.clip(np.floor(np.einsum("yh,hwc->ywc", weights(image.shape[0], height), wide) + 0.5), 0, 255)
+
+
+def test_prepared_crops():
+    crop = np.random.default_rng(4).integers(0, 256, (11, 13, 3), dtype=np.uint8)
+    assert images.prepared(crop) is crop and images.prepared(crop, "none", 0.5) is crop
+    grey = images.prepared(crop, "gray")
+    assert grey.shape == crop.shape and (grey[..., 0] == images.grey(crop)).all() and (grey[..., 0] == grey[..., 2]).all()
+    assert set(np.unique(images.prepared(crop, "adaptive"))) <= {0, 255}
+    big = images.prepared(crop, "none", 1.7)
+    assert big.shape == (18, 22, 3) and np.abs(big - plain_cubic(crop, 22, 18)).max() <= 1
+    assert images.enlarged(np.full((1, 1, 3), 7, np.uint8), 3.0).tolist() == [[[7] * 3] * 3] * 3
+
+
+def test_characters(spark):
+    page = np.full((40, 60, 3), 240, np.uint8)
+    for x, y in ((30, 4), (5, 6), (20, 25)):
+        page[y : y + 9, x : x + 6] = 10
+    df = spark.createDataFrame([(1, images.write_ppm(page)), (2, images.write_ppm(np.full((9, 9, 3), 240, np.uint8))), (3, b"GIF"), (4, None)], "page_id long, content binary")
+    found = images.characters(df, {"blur_kernel": 1, "max_area_ratio": 1.0, "gallery_limit": 2, "gallery_columns": 1, "label_limit": 1}).orderBy("reading_rank").collect()
+    assert [(r.page_id, r.x1, r.y1, r.x2, r.y2, r.det_seq, r.line_no) for r in found] == [(1, 5, 6, 11, 15, 2, 1), (1, 30, 4, 36, 13, 1, 1), (1, 20, 25, 26, 34, 3, 2)]
+    assert [(r.label, r.reading_label, r.row, r.column) for r in found] == [("", "1", 0, 0), ("1", "", 1, 0), ("", "", None, None)]
+
+
 def once(rows, key):
     out = {}
     for x in rows:

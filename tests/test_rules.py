@@ -71,6 +71,59 @@ def test_consensus_against_plain_version(spark):
     assert [r.cand_seq for r in ranking.rank(ranking.consensus(df)).orderBy("rank").limit(2).collect()] == [1, 0] or got[0] == got[1]
 
 
+def plain_score(text):
+    t = text or ""
+    return sum(c.isalnum() for c in t) + 0.3 * sum(c.isspace() for c in t) - 0.5 * sum(c in "@#$%^&*<>" for c in t) + 0.01 * len(t)
+
+
+def test_picked_results_against_plain_version(spark):
+    """Ties go to the earliest; copies of a text don't speak for it; null and empty texts count as nothing."""
+    r = random.Random(7)
+    texts = ["The cat sat", "the cat sat", "The cat  sat", "a c@t #at", "", None, "dog"]
+    rows = [(page, 1, seq, r.choice(texts), r.choice([None, 0.1, 0.9])) for page in range(25) for seq in range(r.randint(1, 5))]
+    df = spark.createDataFrame(rows, "page_id int, box_id int, cand_seq int, text string, conf double")
+    for confidence in (True, False):
+        got = {x.page_id: (x.cand_seq, x.total) for x in ranking.pick_result(df, confidence).collect()}
+        assert len(got) == 25
+        for page in range(25):
+            own = [x for x in rows if x[0] == page]
+            totals = []
+            for _, _, seq, text, conf in own:
+                a = text or ""
+                agree = sum(SequenceMatcher(None, a, b[3] or "").ratio() for b in own if (b[3] or "") != a) if a else 0.0
+                totals.append((plain_score(a) + agree + (conf or 0.0 if confidence else 0.0), seq))
+            best = max(t for t, _ in totals)
+            assert abs(got[page][1] - best) < 1e-9
+            assert got[page][0] == min(seq for t, seq in totals if abs(t - best) < 1e-12) or sum(abs(t - best) < 1e-9 for t, _ in totals) > 1
+
+
+def test_guarded_candidates_against_plain_version(spark):
+    texts = ["the old river bank", "the  old river\nbank", "theoldriverbank", "zzz", "", None, "The old river banks of seven wise men, all of them long"]
+    rows = [(i, a, b, ca, cb) for i, (a, b, ca, cb) in enumerate((a, b, ca, cb) for a in texts for b in texts for ca in (0.2, 0.6) for cb in (0.2, 0.5))]
+    out = ranking.consistent(spark.createDataFrame(rows, "i int, text string, original_text string, conf double, original_conf double"), 0.5, 0.3, 20.0).collect()
+    assert len(out) == len(rows)
+    for x in out:
+        bare = [re.sub(r"\s+", "", t or "") for t in (x.text, x.original_text)]
+        like = SequenceMatcher(None, *bare).ratio() if all(bare) else 1.0
+        reverted = like < 0.5 and x.conf - x.original_conf < 0.3 and plain_score(x.text) - plain_score(x.original_text) < 20.0
+        assert abs(x.similarity - like) < 1e-12 and x.reverted == reverted
+
+
+def test_detector_options():
+    assert files.detector_options({}) == {"model": "yolov8n.pt", "conf": 0.25, "imgsz": 1024, "device": None, "classes": None, "max_det": 300, "crop_padding": 6, "line_thresh": 0.5}
+    asked = files.detector_options({"conf": "0.5", "imgsz": 640.0, "device": "cuda:0", "classes": [1], "other": 1})
+    assert (asked["conf"], asked["imgsz"], asked["device"], asked["classes"]) == (0.5, 640, "cpu", [1]) and "other" not in asked
+    assert files.detector_options({"device": 0}, lambda: True)["device"] == 0
+    assert [files.detector_options({"device": d})["device"] for d in ("cpu", "MPS", "")] == ["cpu", "MPS", ""]
+
+
+def test_settings_of_a_template(tmp_path):
+    (tmp_path / "t.yaml").write_text("domain: books\nstyle: long\n", encoding="utf-8")
+    asked = {"prompt_template": str(tmp_path / "t.yaml"), "style": "short"}
+    assert prompts.with_template(asked) == {**asked, "domain": "books"}
+    assert prompts.with_template(None) == {} and prompts.with_template({"a": 1}) == {"a": 1}
+
+
 def test_best_of_all_against_plain_version(spark, monkeypatch):
     monkeypatch.setattr(ranking, "PREPARED", 3)
     r = random.Random(3)
