@@ -314,3 +314,15 @@ def test_workbook_prompts_against_plain_version(spark):
     shown = json.loads(plain.messages[1].content.split("### Input (ordered OCR blocks)\n")[1])
     assert shown == {"page_no": None, "blocks": [{"id": f"b00{i}", "kind": "printed", "role": "misc", "text": t, "bbox": None, "conf": None} for i, t in ((1, "one"), (2, "two"))]}
     assert "cleanup hints" not in plain.messages[1].content and "Mandatory coverage" not in plain.messages[1].content
+
+
+def test_marked_images_are_dealt_out(spark):
+    """Drawn as pixel by pixel, on all tasks though the keys are one small file."""
+    drawn = catalog._marked(spark, "/root/testdata/sf0.001")
+    assert drawn.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    for r in drawn.where("page_id < 72").collect():
+        p, want = r.page_id, np.full((24, 60, 3), 0xF0, np.uint8)
+        for j in range(3):
+            left, top = 2 + 20 * j, 2 + (p + j) % 4
+            want[top : top + 7 + (p * (j + 1)) % 8, left : left + 4 + (p * (j + 3)) % 9] = 0x20
+        assert r.content == images.write_ppm(want)
