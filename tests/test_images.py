@@ -93,6 +93,30 @@ def test_marks_in_holes_do_not_count():
     assert images.mark_boxes(mask[:0], max_ratio=1.0) == images.mark_boxes(mask & False) == []
 
 
+def plain_boxes(mask):
+    """Boxes of the marks that touch paper around the page, 4-connected, or its edge."""
+    around = np.pad(mask, 1)
+    paper, _ = plain_regions(~around, False)
+    numbered, n = plain_regions(around, True)
+    found = []
+    for i in range(1, n + 1):
+        ys, xs = np.nonzero(numbered == i)
+        if any(paper[y + a, x + b] == 1 for y, x in zip(ys, xs, strict=True) for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0))):
+            found.append((float(xs.min() - 1), float(ys.min() - 1), float(xs.max()), float(ys.max())))
+    return sorted(found, key=lambda b: ((b[1] + b[3]) / 2, b[0]))
+
+
+def test_runs_of_all_rows_are_found_at_once(monkeypatch):
+    rng = np.random.default_rng(11)
+    masks = [rng.random((h, w)) < d for h, w, d in ((17, 23, 0.4), (1, 9, 0.5), (9, 1, 0.5), (12, 12, 0.8), (20, 20, 1.0))] + [np.kron(rng.random((6, 5)) < 0.5, np.ones((3, 4))) > 0]
+    for mask in masks:
+        assert images.mark_boxes(mask, 1, 1.0, 1, 1) == plain_boxes(mask)
+    calls, found = [], np.flatnonzero
+    monkeypatch.setattr(np, "flatnonzero", lambda x: calls.append(1) or found(x))
+    assert images.mark_boxes(np.ones((200, 3), bool), max_ratio=1.0) == [(0.0, 0.0, 3.0, 200.0)]
+    assert len(calls) <= 2  # marks and paper, not each row
+
+
 def test_thresholds():
     plane = np.full((60, 60), 200, np.uint8)
     plane[20:40, 25:30] = 30
