@@ -6,10 +6,13 @@ order of its arguments.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from heapq import heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +22,8 @@ from ..functions import text as T
 
 #: Texts that a task holds prepared for comparison at once.
 PREPARED = 1_000
+#: Texts whose subsequences are found together.
+TOGETHER = 32
 
 
 @F.pandas_udf(DoubleType())
@@ -166,65 +171,142 @@ def best_match(left: DataFrame, right: DataFrame, least: float, band: int | None
     return left.join(best, ["page_id", "seq"], "left")
 
 
-def ratio_from(m: SequenceMatcher, least: float) -> float | None:
-    """The ratio of a matcher's texts; null as soon as what is left to compare can't bring it to `least`."""
-    total = len(m.a) + len(m.b)
+class Known:
+    """A text that others are compared with, as SequenceMatcher(None, other, text) sees it: with how many characters from each place a match may begin.
+
+    Of texts of 200 characters and more that's none where a character is popular; those only lengthen matches.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        popular = SequenceMatcher(None, "", text).bpopular
+        self.reach = [0] * (len(text) + 1)
+        for j in range(len(text) - 1, -1, -1):
+            if text[j] not in popular:
+                self.reach[j] = self.reach[j + 1] + 1
+        self.places = [j for j, n in enumerate(self.reach) if n]
+        self.whole = not popular
+
+    def longest(self, other: str, lo: int, hi: int, b_lo: int, b_hi: int) -> tuple[int, int, int]:
+        """What find_longest_match gives, by searching for the pieces of text in the other."""
+        text, part = self.text, other[lo:hi]
+        size = at = to = 0
+        for j in self.places[bisect_left(self.places, b_lo) : bisect_left(self.places, b_hi)]:
+            most, k = min(self.reach[j], b_hi - j), size or 1
+            if k > most or text[j : j + k] not in part:
+                continue
+            while k < most and text[j : j + k + 1] in part:
+                k += 1
+            i = part.index(text[j : j + k])
+            if k > size or i < at:
+                size, at, to = k, i, j
+        i, j, k = (lo + at, to, size) if size else (lo, b_lo, 0)
+        if not self.whole:
+            while i > lo and j > b_lo and other[i - 1] == text[j - 1]:
+                i, j, k = i - 1, j - 1, k + 1
+            while i + k < hi and j + k < b_hi and other[i + k] == text[j + k]:
+                k += 1
+        return i, j, k
+
+
+def ratio_from(other: str, known: Known, least: float) -> float | None:
+    """difflib's ratio of both texts; null as soon as what is left to compare can't bring it to `least`. Largest parts come first."""
+    total = len(other) + len(known.text)
     if not total:
         return 1.0
-    matched, left = 0, min(len(m.a), len(m.b))
-    todo = [(0, len(m.a), 0, len(m.b))]
+    matched, left = 0, min(len(other), len(known.text))
+    todo = [(-left, 0, len(other), 0, len(known.text))]
     while todo:
         if 2.0 * (matched + left) / total < least:
             return None
-        a, a_end, b, b_end = todo.pop()
-        left -= min(a_end - a, b_end - b)
-        i, j, k = m.find_longest_match(a, a_end, b, b_end)
+        most, a, a_end, b, b_end = heappop(todo)
+        left += most
+        i, j, k = known.longest(other, a, a_end, b, b_end)
         if k:
             matched += k
             for part in ((a, i, b, j), (i + k, a_end, j + k, b_end)):
-                if part[0] < part[1] and part[2] < part[3]:
-                    todo.append(part)
-                    left += min(part[1] - part[0], part[3] - part[2])
+                most = min(part[1] - part[0], part[3] - part[2])
+                if most > 0:
+                    heappush(todo, (-most, *part))
+                    left += most
     ratio = 2.0 * matched / total
     return ratio if ratio >= least else None
 
 
+class Subsequences:
+    """Lengths of the longest common subsequences of a text and several others, all of them in one integer's bits (of one more for each, which stays empty)."""
+
+    def __init__(self, texts: list[str]):
+        self.lengths, self.masks, self.full, self.starts, at = [len(t) for t in texts], {}, 0, [], 0
+        for t in texts:
+            self.starts.append(at)
+            for x, c in enumerate(t, at):
+                self.masks[c] = self.masks.get(c, 0) | 1 << x
+            self.full |= ((1 << len(t)) - 1) << at
+            at += len(t) + 1
+
+    def of(self, other: str) -> list[int]:
+        v, full, masks = self.full, self.full, self.masks
+        for c in other:
+            if c in masks:
+                u = v & masks[c]
+                v = ((v + u) | (v - u)) & full
+        return [n - ((v >> at) & ((1 << n) - 1)).bit_count() for n, at in zip(self.lengths, self.starts, strict=True)]
+
+
+class Block:
+    """Texts prepared for comparison at once, with bounds of their ratios to a text."""
+
+    def __init__(self, texts: list[str]):
+        self.known = [Known(t) for t in texts]
+        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        self.row = {c: i for i, c in enumerate(sorted({c for t in texts for c in t}))}
+        self.counts = np.zeros((len(self.row), len(texts)), dtype=np.int32)
+        for at, t in enumerate(texts):
+            for c, n in Counter(t).items():
+                self.counts[self.row[c], at] = n
+        # where popular characters are left out, ratios are far below what subsequences allow
+        whole = sorted((at for at, k in enumerate(self.known) if k.whole), key=lambda at: len(texts[at]))
+        self.groups = [(np.array(some), Subsequences([texts[at] for at in some])) for some in (whole[x : x + TOGETHER] for x in range(0, len(whole), TOGETHER))]
+
+    def bounds(self, other: str, least: float) -> np.ndarray:
+        """What the ratio to each text can't exceed: by common characters, then by subsequences where that reaches `least`."""
+        counts = {self.row[c]: n for c, n in Counter(other).items() if c in self.row}
+        shared = np.minimum(self.counts[list(counts)], np.array(list(counts.values()), dtype=np.int64)[:, None]).sum(axis=0) if counts else np.zeros(len(self.known), dtype=np.int64)
+        total = len(other) + self.lengths
+        out = np.where(total > 0, 2.0 * shared / np.maximum(total, 1), 1.0)
+        for some, subsequences in self.groups:
+            if other and (out[some] >= least).any():
+                out[some] = 2.0 * np.array(subsequences.of(other)) / total[some]
+        return out
+
+
 def best_of_all(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """left with match and ratio: the most similar of all texts of right (seq, text) for each text; null below `least`; ties to the first.
 
-    right has few rows, which every task holds. Pairs that can't reach `least` or the best so far, by their characters or by
-    what a comparison has left, are given up: results are those of comparing all.
+    right has few rows, which every task holds. Pairs that can't reach `least` or the best so far, by their characters, their
+    common subsequences or what a comparison has left, are given up: results are those of comparing all.
     """
     known = [r["text"] for r in right.where("text is not null").orderBy("seq").select("text").collect()]
     spark = left.sparkSession
 
     @F.pandas_udf("match string, ratio double")
     def find(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        def prepare(start: int) -> list[tuple]:
-            return [(at, SequenceMatcher(None, "", known[at]), Counter(known[at])) for at in range(start, min(len(known), start + PREPARED))]
-
-        first = prepare(0)
+        first = Block(known[:PREPARED])
         for texts in columns:
             best = [(least, len(known))] * len(texts)
             for start in range(0, len(known), PREPARED):
-                block = prepare(start) if start else first
+                block = Block(known[start : start + PREPARED]) if start else first
                 for n, text in enumerate(texts):
                     if text is None:
                         continue
-                    counts = Counter(text)
-                    bounds = []
-                    for at, m, other in block:
-                        total = len(text) + len(m.b)
-                        bound = 2.0 * sum(min(k, other[c]) for c, k in counts.items() if c in other) / total if total else 1.0
-                        if bound >= best[n][0]:
-                            bounds.append((-bound, at, m))
-                    for bound, at, m in sorted(bounds, key=lambda x: x[:2]):
-                        if -bound < best[n][0]:
+                    bounds = block.bounds(text, best[n][0])
+                    for at in np.argsort(-bounds, kind="stable").tolist():
+                        if bounds[at] < best[n][0]:
                             break
-                        m.set_seq1(text)
-                        ratio = ratio_from(m, best[n][0])
-                        if ratio is not None and (ratio > best[n][0] or at < best[n][1]):
-                            best[n] = (ratio, at)
+                        ratio = ratio_from(text, block.known[at], best[n][0])
+                        if ratio is not None and (ratio > best[n][0] or start + at < best[n][1]):
+                            best[n] = (ratio, start + at)
             found = [(known[at], ratio) if at < len(known) else (None, None) for ratio, at in best]
             yield pd.DataFrame({"match": pd.Series([x for x, _ in found], dtype=object), "ratio": pd.Series([x for _, x in found], dtype="float64")})
 

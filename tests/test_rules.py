@@ -142,6 +142,27 @@ def test_best_of_all_against_plain_version(spark, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_comparisons_are_difflibs():
+    """Matches and ratios of texts with and without popular characters; bounds hold, and leave few pairs to compare."""
+    r = random.Random(5)
+    words = "The quick, brown fox jumps over a lazy dog near old river banks; while Seven wise men watch.".split()
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(3, 90))) for _ in range(30)] + ["", "a", "aaaa", "ab" * 120, "x" + "ab" * 120, "".join(chr(200 + i) for i in range(250))]
+    for b in texts:
+        known = ranking.Known(b)
+        for a in texts:
+            m = SequenceMatcher(None, a, b)
+            assert ranking.ratio_from(a, known, 0.0) == m.ratio()
+            for _ in range(4):
+                lo, hi, b_lo, b_hi = *sorted(r.randint(0, len(a)) for _ in range(2)), *sorted(r.randint(0, len(b)) for _ in range(2))
+                assert known.longest(a, lo, hi, b_lo, b_hi) == tuple(m.find_longest_match(lo, hi, b_lo, b_hi))
+    block = ranking.Block(texts)
+    for a in texts:
+        assert all(x >= SequenceMatcher(None, a, b).ratio() for x, b in zip(block.bounds(a, 0.3).tolist(), texts, strict=True))
+    lines = ["".join(r.choice("etaoinshr ") for _ in range(150)) for _ in range(40)]
+    left = sum((ranking.Block(lines).bounds("".join(r.choice("etaoinshr ") for _ in range(300)), 0.6) >= 0.6).sum() for _ in range(5))
+    assert left <= 20  # of 200, which all have enough characters in common
+
+
 def test_matched_lines_compares_whole_texts(spark, tmp_path):
     passage = "seven wise men watch the old river banks while a quick brown fox jumps over the lazy dog"
     spark.createDataFrame([(1, 0, "user", "So, before anything else, I would like to say this: " + passage)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
