@@ -24,6 +24,8 @@ from ..functions import text as T
 PREPARED = 1_000
 #: Texts whose subsequences are found together.
 TOGETHER = 32
+#: Characters of the n-grams by which texts with popular characters are told apart.
+GRAM = 4
 
 
 @F.pandas_udf(DoubleType())
@@ -254,6 +256,44 @@ class Subsequences:
         return [n - ((v >> at) & ((1 << n) - 1)).bit_count() for n, at in zip(self.lengths, self.starts, strict=True)]
 
 
+class Pieces:
+    """How much of texts with popular characters another text can match.
+
+    A match holds one of the text's rare characters, each in common with the other, or begins both texts. If it has GRAM
+    characters or more, all its n-grams are in the other text: it lies in a stretch of such n-grams that has a rare character.
+    """
+
+    def __init__(self, known: list[Known], row: dict[str, int]):
+        self.grams: dict[str, int] = {}
+        ids, rare, of = [], [], []
+        self.rare = np.zeros((len(row), len(known)), dtype=np.int32)
+        self.first = np.array([k.places[0] if k.places else len(k.text) for k in known], dtype=np.int64)
+        for at, k in enumerate(known):
+            n, t = len(k.text), k.text
+            ids += [self.grams.setdefault(t[x : x + GRAM], len(self.grams) + 1) if x + GRAM <= n else 0 for x in range(n + 1)]  # a gap behind each text
+            rare += [x > 0 for x in k.reach]
+            of += [at] * (n + 1)
+            for j in k.places:
+                self.rare[row[t[j]], at] += 1
+        self.ids, self.of = np.array(ids, dtype=np.int64), np.array(of, dtype=np.int64)
+        self.before = np.concatenate([[0], np.cumsum(rare)])
+
+    def bounds(self, other: str, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Characters that matches have together, at most; counts of the other's characters by their rows."""
+        present = np.zeros(len(self.grams) + 1, dtype=bool)
+        present[[self.grams[g] for g in {other[x : x + GRAM] for x in range(len(other) - GRAM + 1)} if g in self.grams]] = True
+        has = present[self.ids]
+        inside = np.zeros(len(has) + 2, dtype=bool)
+        inside[1:-1] = has
+        for back in range(1, GRAM):
+            inside[1 + back : -1] |= has[:-back]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, stops = edges[::2], edges[1::2]
+        held = self.before[stops] > self.before[starts]
+        long = np.bincount(self.of[starts[held]], (stops - starts)[held], len(self.first)).astype(np.int64)
+        return long + (GRAM - 1) * np.minimum(self.rare[rows], counts[:, None]).sum(axis=0) + self.first
+
+
 class Block:
     """Texts prepared for comparison at once, with bounds of their ratios to a text."""
 
@@ -266,18 +306,24 @@ class Block:
             for c, n in Counter(t).items():
                 self.counts[self.row[c], at] = n
         # where popular characters are left out, ratios are far below what subsequences allow
+        popular = [at for at, k in enumerate(self.known) if not k.whole]
+        self.popular, self.pieces = np.array(popular, dtype=np.int64), Pieces([self.known[at] for at in popular], self.row) if popular else None
         whole = sorted((at for at, k in enumerate(self.known) if k.whole), key=lambda at: len(texts[at]))
         self.groups = [(np.array(some), Subsequences([texts[at] for at in some])) for some in (whole[x : x + TOGETHER] for x in range(0, len(whole), TOGETHER))]
 
     def bounds(self, other: str, least: float) -> np.ndarray:
-        """What the ratio to each text can't exceed: by common characters, then by subsequences where that reaches `least`."""
-        counts = {self.row[c]: n for c, n in Counter(other).items() if c in self.row}
-        shared = np.minimum(self.counts[list(counts)], np.array(list(counts.values()), dtype=np.int64)[:, None]).sum(axis=0) if counts else np.zeros(len(self.known), dtype=np.int64)
+        """What the ratio to each text can't exceed: by common characters, then by subsequences or pieces where that reaches `least`."""
+        found = {self.row[c]: n for c, n in Counter(other).items() if c in self.row}
+        rows, counts = np.array(list(found), dtype=np.int64), np.array(list(found.values()), dtype=np.int64)
+        shared = np.minimum(self.counts[rows], counts[:, None]).sum(axis=0)
         total = len(other) + self.lengths
         out = np.where(total > 0, 2.0 * shared / np.maximum(total, 1), 1.0)
         for some, subsequences in self.groups:
             if other and (out[some] >= least).any():
                 out[some] = 2.0 * np.array(subsequences.of(other)) / total[some]
+        if self.pieces and (out[self.popular] >= least).any():
+            most = np.minimum(shared[self.popular], self.pieces.bounds(other, rows, counts))
+            out[self.popular] = 2.0 * most / total[self.popular]
         return out
 
 

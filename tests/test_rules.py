@@ -5,6 +5,7 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
@@ -163,6 +164,24 @@ def test_comparisons_are_difflibs():
     assert left <= 20  # of 200, which all have enough characters in common
 
 
+def test_pieces_bound_ratios_of_texts_with_popular_characters():
+    r = random.Random(6)
+
+    def sentence():
+        return " ".join("".join(r.choice("etaoinshr") for _ in range(r.randint(1, 9))) for _ in range(8)).capitalize() + ". "
+
+    texts = ["".join(sentence() for _ in range(r.randint(6, 8))) for _ in range(30)]
+    others = ["".join(sentence() for _ in range(r.randint(1, 9))) for _ in range(10)] + [t[x : x + 180] for x, t in enumerate(texts[:10])] + ["", "e", texts[0]]
+    block, left = ranking.Block(texts), 0
+    assert not any(k.whole for k in block.known)
+    for a in others:
+        ratios = np.array([SequenceMatcher(None, a, b).ratio() for b in texts])
+        bounds = block.bounds(a, 0.0)
+        assert (bounds >= ratios).all()
+        left += int((bounds >= 0.45).sum()) - int((ratios >= 0.45).sum())
+    assert left <= 0.2 * len(others) * len(texts)  # nearly all pairs have enough characters in common
+
+
 def test_matched_lines_compares_whole_texts(spark, tmp_path):
     passage = "seven wise men watch the old river banks while a quick brown fox jumps over the lazy dog"
     spark.createDataFrame([(1, 0, "user", "So, before anything else, I would like to say this: " + passage)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
