@@ -187,14 +187,32 @@ class Known:
             if text[j] not in popular:
                 self.reach[j] = self.reach[j + 1] + 1
         self.places = [j for j, n in enumerate(self.reach) if n]
+        self.far = [(j, text[j : j + GRAM]) for j in self.places if self.reach[j] >= GRAM]
         self.whole = not popular
 
-    def longest(self, other: str, lo: int, hi: int, b_lo: int, b_hi: int) -> tuple[int, int, int]:
-        """What find_longest_match gives, by searching for the pieces of text in the other."""
-        text, part = self.text, other[lo:hi]
+    def starts(self, grams: set[str]) -> list[int]:
+        """Where matches of GRAM characters and more may begin, by the other text's n-grams."""
+        return [j for j, g in self.far if g in grams]
+
+    def longest(self, other: str, lo: int, hi: int, b_lo: int, b_hi: int, starts: list[int]) -> tuple[int, int, int]:
+        """What find_longest_match gives, by searching for the pieces of text in the other; short ones only if there are no others."""
+        size, at, to = self._found(other[lo:hi], starts, b_lo, b_hi, GRAM)
+        if not size:
+            size, at, to = self._found(other[lo:hi], self.places, b_lo, b_hi, 1)
+        i, j, k = (lo + at, to, size) if size else (lo, b_lo, 0)
+        if not self.whole:
+            while i > lo and j > b_lo and other[i - 1] == self.text[j - 1]:
+                i, j, k = i - 1, j - 1, k + 1
+            while i + k < hi and j + k < b_hi and other[i + k] == self.text[j + k]:
+                k += 1
+        return i, j, k
+
+    def _found(self, part: str, places: list[int], b_lo: int, b_hi: int, least: int) -> tuple[int, int, int]:
+        """Length of the longest match of `least` characters that begins at one of the places (0: none), where in the part and where in the text; the first of equals."""
+        text = self.text
         size = at = to = 0
-        for j in self.places[bisect_left(self.places, b_lo) : bisect_left(self.places, b_hi)]:
-            most, k = min(self.reach[j], b_hi - j), size or 1
+        for j in places[bisect_left(places, b_lo) : bisect_left(places, b_hi)]:
+            most, k = min(self.reach[j], b_hi - j), size or least
             if k > most or text[j : j + k] not in part:
                 continue
             while k < most and text[j : j + k + 1] in part:
@@ -202,28 +220,29 @@ class Known:
             i = part.index(text[j : j + k])
             if k > size or i < at:
                 size, at, to = k, i, j
-        i, j, k = (lo + at, to, size) if size else (lo, b_lo, 0)
-        if not self.whole:
-            while i > lo and j > b_lo and other[i - 1] == text[j - 1]:
-                i, j, k = i - 1, j - 1, k + 1
-            while i + k < hi and j + k < b_hi and other[i + k] == text[j + k]:
-                k += 1
-        return i, j, k
+        return size, at, to
 
 
-def ratio_from(other: str, known: Known, least: float) -> float | None:
-    """difflib's ratio of both texts; null as soon as what is left to compare can't bring it to `least`. Largest parts come first."""
+def grams_of(text: str) -> set[str]:
+    return {text[x : x + GRAM] for x in range(len(text) - GRAM + 1)}
+
+
+def ratio_from(other: str, known: Known, least: float, grams: set[str]) -> float | None:
+    """difflib's ratio of both texts; null as soon as what is left to compare can't bring it to `least`. Largest parts come first.
+
+    grams: the other text's n-grams.
+    """
     total = len(other) + len(known.text)
     if not total:
         return 1.0
     matched, left = 0, min(len(other), len(known.text))
-    todo = [(-left, 0, len(other), 0, len(known.text))]
+    todo, starts = [(-left, 0, len(other), 0, len(known.text))], known.starts(grams)
     while todo:
         if 2.0 * (matched + left) / total < least:
             return None
         most, a, a_end, b, b_end = heappop(todo)
         left += most
-        i, j, k = known.longest(other, a, a_end, b, b_end)
+        i, j, k = known.longest(other, a, a_end, b, b_end, starts)
         if k:
             matched += k
             for part in ((a, i, b, j), (i + k, a_end, j + k, b_end)):
@@ -278,10 +297,10 @@ class Pieces:
         self.ids, self.of = np.array(ids, dtype=np.int64), np.array(of, dtype=np.int64)
         self.before = np.concatenate([[0], np.cumsum(rare)])
 
-    def bounds(self, other: str, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Characters that matches have together, at most; counts of the other's characters by their rows."""
+    def bounds(self, grams: set[str], rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Characters that matches have together, at most; from the other's n-grams and its counts of characters by their rows."""
         present = np.zeros(len(self.grams) + 1, dtype=bool)
-        present[[self.grams[g] for g in {other[x : x + GRAM] for x in range(len(other) - GRAM + 1)} if g in self.grams]] = True
+        present[[self.grams[g] for g in grams if g in self.grams]] = True
         has = present[self.ids]
         inside = np.zeros(len(has) + 2, dtype=bool)
         inside[1:-1] = has
@@ -311,7 +330,7 @@ class Block:
         whole = sorted((at for at, k in enumerate(self.known) if k.whole), key=lambda at: len(texts[at]))
         self.groups = [(np.array(some), Subsequences([texts[at] for at in some])) for some in (whole[x : x + TOGETHER] for x in range(0, len(whole), TOGETHER))]
 
-    def bounds(self, other: str, least: float) -> np.ndarray:
+    def bounds(self, other: str, least: float, grams: set[str]) -> np.ndarray:
         """What the ratio to each text can't exceed: by common characters, then by subsequences or pieces where that reaches `least`."""
         found = {self.row[c]: n for c, n in Counter(other).items() if c in self.row}
         rows, counts = np.array(list(found), dtype=np.int64), np.array(list(found.values()), dtype=np.int64)
@@ -322,7 +341,7 @@ class Block:
             if other and (out[some] >= least).any():
                 out[some] = 2.0 * np.array(subsequences.of(other)) / total[some]
         if self.pieces and (out[self.popular] >= least).any():
-            most = np.minimum(shared[self.popular], self.pieces.bounds(other, rows, counts))
+            most = np.minimum(shared[self.popular], self.pieces.bounds(grams, rows, counts))
             out[self.popular] = 2.0 * most / total[self.popular]
         return out
 
@@ -346,11 +365,12 @@ def best_of_all(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
                 for n, text in enumerate(texts):
                     if text is None:
                         continue
-                    bounds = block.bounds(text, best[n][0])
+                    grams = grams_of(text)
+                    bounds = block.bounds(text, best[n][0], grams)
                     for at in np.argsort(-bounds, kind="stable").tolist():
                         if bounds[at] < best[n][0]:
                             break
-                        ratio = ratio_from(text, block.known[at], best[n][0])
+                        ratio = ratio_from(text, block.known[at], best[n][0], grams)
                         if ratio is not None and (ratio > best[n][0] or start + at < best[n][1]):
                             best[n] = (ratio, start + at)
             found = [(known[at], ratio) if at < len(known) else (None, None) for ratio, at in best]

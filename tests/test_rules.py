@@ -152,15 +152,16 @@ def test_comparisons_are_difflibs():
         known = ranking.Known(b)
         for a in texts:
             m = SequenceMatcher(None, a, b)
-            assert ranking.ratio_from(a, known, 0.0) == m.ratio()
+            assert ranking.ratio_from(a, known, 0.0, ranking.grams_of(a)) == m.ratio()
             for _ in range(4):
                 lo, hi, b_lo, b_hi = *sorted(r.randint(0, len(a)) for _ in range(2)), *sorted(r.randint(0, len(b)) for _ in range(2))
-                assert known.longest(a, lo, hi, b_lo, b_hi) == tuple(m.find_longest_match(lo, hi, b_lo, b_hi))
+                assert known.longest(a, lo, hi, b_lo, b_hi, known.starts(ranking.grams_of(a))) == tuple(m.find_longest_match(lo, hi, b_lo, b_hi))
     block = ranking.Block(texts)
     for a in texts:
-        assert all(x >= SequenceMatcher(None, a, b).ratio() for x, b in zip(block.bounds(a, 0.3).tolist(), texts, strict=True))
+        assert all(x >= SequenceMatcher(None, a, b).ratio() for x, b in zip(block.bounds(a, 0.3, ranking.grams_of(a)).tolist(), texts, strict=True))
     lines = ["".join(r.choice("etaoinshr ") for _ in range(150)) for _ in range(40)]
-    left = sum((ranking.Block(lines).bounds("".join(r.choice("etaoinshr ") for _ in range(300)), 0.6) >= 0.6).sum() for _ in range(5))
+    longer = ["".join(r.choice("etaoinshr ") for _ in range(300)) for _ in range(5)]
+    left = sum((ranking.Block(lines).bounds(a, 0.6, ranking.grams_of(a)) >= 0.6).sum() for a in longer)
     assert left <= 20  # of 200, which all have enough characters in common
 
 
@@ -176,7 +177,7 @@ def test_pieces_bound_ratios_of_texts_with_popular_characters():
     assert not any(k.whole for k in block.known)
     for a in others:
         ratios = np.array([SequenceMatcher(None, a, b).ratio() for b in texts])
-        bounds = block.bounds(a, 0.0)
+        bounds = block.bounds(a, 0.0, ranking.grams_of(a))
         assert (bounds >= ratios).all()
         left += int((bounds >= 0.45).sum()) - int((ratios >= 0.45).sum())
     assert left <= 0.2 * len(others) * len(texts)  # nearly all pairs have enough characters in common
